@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, row_key, small, stored
 
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: After folding A-Z: the complement of [\x00-\x2F\x3A-\x60\x7B-\x7F], said positively, which Java matches many times faster.
+WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
