@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language, licences, quality, toxicity
+from .common import fold
 from .decontaminate import decontaminate
+from .fingerprint import compare_edits
 from .near_dup import near_duplicates
 from .packing import pack
 from .substring import substring_dedup
@@ -103,7 +106,37 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = licences.scan_documents(docs, licences.fit(docs))
+    return found.select("doc_id", "n_paragraphs", "n_licensed", F.array_join("families", ",").alias("families"), "probability")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edits(table(spark, sf_dir, "documents")).withColumnRenamed("n", "n_chars")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.prototypes(docs.where(fold(F.col("doc_id"), 3) != 1)))
+    return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_decontaminate": op1_decontaminate, "op3_near_dup": op3_near_dup, "op4_warc": op4_warc, "op7_substring_dedup": op7_substring_dedup, "op8_pack": op8_pack,
+    "op1_decontaminate": op1_decontaminate, "op2_quality": op2_quality, "op3_near_dup": op3_near_dup, "op4_warc": op4_warc, "op5_licences": op5_licences, "op6_fingerprint": op6_fingerprint,
+    "op7_substring_dedup": op7_substring_dedup, "op8_pack": op8_pack, "op9_toxicity": op9_toxicity, "op10_language": op10_language,
 }
 SQL: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op3_near_dup": OP3_SQL, "op4_warc": OP4_SQL, "op7_substring_dedup": OP7_SQL}
