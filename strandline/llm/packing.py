@@ -13,6 +13,7 @@ ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import chunks, split_words
 
-#: Words whose ids a worker remembers, and tokens that it keeps for them, before it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a task remembers before it starts anew, and words looked up together.
+REMEMBERED, TOGETHER = 600_000, 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
@@ -38,9 +39,12 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<")}
+        self.mark_id, self.mark = max(special.items(), default=(-1, None))
         self.forget()
 
     def forget(self) -> None:
@@ -53,15 +57,26 @@ class WordTokenizer:
             self.forget()
         get = self.slots.get
         new = [w for w in words if get(w) is None]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.sizes = [np.concatenate([*self.sizes, sizes])]
-            self.ids = [np.concatenate([*self.ids, np.fromiter((i for e in found for i in e), np.uint32, int(sizes.sum()))])]
+        for i in range(0, len(new), TOGETHER):
+            ids, sizes = self.look_up(new[i : i + TOGETHER])
+            self.ids.append(ids)
+            self.sizes.append(sizes)
+        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
+        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
         slots = np.fromiter(map(get, words), np.int64, len(words))
         return slots, np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
 
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, ids in each): one text of many words is quicker than many texts; a special token, which no
+        word here holds, keeps them apart."""
+        if self.mark is None or any(self.mark in w for w in words if "<" in w):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for e in found for i in e], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark_id)
+        ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
+        return np.delete(ids, marks), np.diff(ends, prepend=0)
+
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by `end`; where each text begins, and the total)."""
         offsets, words = split_words(text)
