@@ -57,6 +57,11 @@ def row_key(*cols: str | Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> list[Column]:
+    """The columns that an operator passes through beside its own, as one struct whose names can't clash with them."""
+    return [F.struct(*(docs[c] for c in carry)).alias("carried")] if carry else []
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(mod))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, small, stored
+from .common import ascii_lower, carried, row_key, small, stored
 
 #: After folding A-Z: the complement of [\x00-\x2F\x3A-\x60\x7B-\x7F], said positively, which Java matches many times faster.
 WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
@@ -31,10 +31,10 @@ def items_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text")
     return own.select(row_key("item_id", "_text").alias("item"), "item_id", words(F.col("_text")).alias("terms")).where(F.size("terms") > 0)
 
 
-def rows_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, text); row stands for the id and the text together."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return own.select(row_key("doc_id", "text").alias("row"), "doc_id", "text")
+def rows_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row, doc_id, text, carried); row stands for the id and the text together."""
+    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), *carried(docs, carry))
+    return own.select(row_key("doc_id", "text").alias("row"), *own.columns)
 
 
 def term_bytes(items: DataFrame) -> int:
@@ -89,13 +89,14 @@ def alignments(docs_rows: DataFrame, items: DataFrame, width: int, lookups: int)
     return met.join(small(windowed, measured * lookups * 2), "item").where(F.expr("exists(windows, w -> size(array_except(w, ps)) = 0)")).select("row", "item", "item_id", "terms", "diagonal")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, lookups: int = 2, share: float = 0.05, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, lookups: int = 2, share: float = 0.05, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Exact phrase matches: per document row doc_id, text, n_words, hits (positions of words inside a benchmark window,
     ascending), items (ids of items with a window in the text) and contaminated (hit share of the words at least `share`).
 
-    lookups: of how many of a window's rarest terms the postings are intersected before the comparison.
+    lookups: of how many of a window's rarest terms the postings are intersected before the comparison. A struct
+    `carried` holds the columns in `carry`.
     """
-    rows = rows_of(docs, doc_id, text)
+    rows = rows_of(docs, doc_id, text, carry)
     found = alignments(rows, items_of(benchmark), width, lookups).groupBy("row").agg(F.collect_list(F.struct("item_id", "terms", "diagonal")).alias("met"))
     joined = rows.join(found.hint("shuffle_hash"), "row", "left")
     # transform(array(x), v -> ...) binds x once, so that the words are not extracted again for each alignment
@@ -110,10 +111,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, lookup
     )
     return (
         compared.withColumn("n_words", F.col("_m.n").cast("long"))
-        .withColumn("hits", F.expr("array_sort(array_distinct(flatten(transform(flatten(_m.found.starts), x -> sequence(x.at, x.at + x.w - 1)))))"))
+        .withColumn("hits", F.expr("sort_array(array_distinct(flatten(transform(flatten(_m.found.starts), x -> sequence(x.at, x.at + x.w - 1)))))"))
         .withColumn("items", F.expr("array_distinct(filter(_m.found.item_id, x -> x is not null))"))
         .withColumn("contaminated", (F.size("hits") > 0) & (F.size("hits") >= F.lit(share) * F.col("n_words")))
-        .select("doc_id", "text", "n_words", "hits", "items", "contaminated")
+        .select(*rows.columns[1:], "n_words", "hits", "items", "contaminated")
     )
 
 

@@ -8,8 +8,10 @@ Survivors are confirmed on the full shingle sets.
 
 Only components are asked for, so pairs are not listed: in a bucket every node meets one leader (a row per member, two
 aggregations and a join that Spark can split); what this joins becomes one component. A second round takes other
-leaders. Then nodes of one bucket that still lie in different components, and were not compared yet, meet each other,
-so that no link is lost. Components are found by star contraction in stored tables.
+leaders. What is left are nodes of one bucket in different components. Of such a node only shingles that also occur in
+another component can be shared by a new link; their number bounds its similarity to anything in the bucket, exactly, and
+most nodes go by that. The rest meet the members of other components (those outside the bucket's largest component meet
+all), so that no link is lost. Components are found by star contraction in stored tables.
 
 Shingles are compared by 64-bit hashes. Nulls, empty texts: no shingles, linked with nothing. A null doc_id is linked
 with nothing, component_id null, kept. Rows that share a doc_id are one node, so each such row gets that component.
@@ -148,6 +150,19 @@ def confirmer(k: int, num: int, den: int):
     return run
 
 
+def shingler(k: int):
+    """(node, shingle) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [s for s, _ in shingle_sets(part.column("text"), k)]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["node", "shingle"])
+
+    return run
+
+
 class _Search:
     """One run: the nodes with their bands, and what was compared and linked so far, all in stored tables."""
 
@@ -200,9 +215,28 @@ class _Search:
         met = around.alias("x").join(leaders.alias("y"), "band").where(f"x.comp <> y.comp and {self.near()}")
         return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
+    def bounded(self, around: DataFrame) -> DataFrame:
+        """Members that may still have a link to another component of their bucket, with the number of their shingles
+        that occur in another component at all."""
+        nodes = around.select("node", "comp").distinct()
+        shingles = stored(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shingler(self.k), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
+        common = shingles.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle")
+        shared = shingles.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
+        left = around.join(shared, "node")
+        num, den = self.similarity.numerator, self.similarity.denominator
+        for _ in range(2):
+            # the similarity to a set of n is at most shared / (n_shingles + n - shared), and n is at least `shared`
+            told = left.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
+            left = stored(left.join(told, "band").where(f"{den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least", "a", "b"), "bounded")
+        return left
+
     def all_left(self, around: DataFrame) -> DataFrame:
-        met = around.alias("x").join(around.alias("y"), "band").where(f"x.node < y.node and x.comp <> y.comp and {self.near()}")
-        return met.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct()
+        sizes = around.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        outside = around.join(sizes, "band").where("comp <> main").drop("main")
+        num, den = self.similarity.numerator, self.similarity.denominator
+        both = "least(x.shared, y.shared)"
+        met = outside.alias("x").join(around.alias("y"), "band").where(f"x.comp <> y.comp and {den} * {both} >= {num} * (x.n_shingles + y.n_shingles - {both})")
+        return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) of linked nodes."""
@@ -212,7 +246,7 @@ class _Search:
         self.compare(self.by_leader(around, 1))
         told = components(self.links)
         around = self.open(told)
-        self.compare(self.all_left(around))
+        self.compare(self.all_left(self.bounded(around)))
         return stored(components(self.links), "components")
 
 

@@ -17,8 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import carried
 from .samples import labelled_sample
 from .tokens import ODD, chunks, mix, split_words, word_hashes
 
@@ -134,12 +135,12 @@ def scorer(weights: np.ndarray, bias: float):
                 total = np.bincount(text, weights=word[index], minlength=many) + np.bincount(owner, weights=sent[pairs], minlength=many)
                 n = np.bincount(text, weights=sizes[index], minlength=many) + np.bincount(owner, minlength=many)
                 z = np.divide(total, n, out=np.zeros(many), where=n > 0) + bias
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=["doc_id", "text", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], names=[*part.schema.names, "score"])
 
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row doc_id, text, score (the probability of label 1)."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(scorer(*model), "doc_id bigint, text string, score double")
+def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row doc_id, text, score (the probability of label 1), and a struct `carried` of the columns in `carry`."""
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *carried(docs, carry))
+    return rows.mapInArrow(scorer(*model), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

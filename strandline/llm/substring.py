@@ -21,8 +21,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import plan_bytes
+from .common import carried, plan_bytes
 from .tokens import chunks, rolling, split_words, word_hashes
 
 NO_ID = (1 << 63) - 1
@@ -31,7 +32,7 @@ FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 8 << 20
 WORD = re.compile(r"[^ \t-\r]+")
 PACKED = "bucket int, n int, docs binary, counts binary, hashes binary, places binary"
 COVERED = "id bigint, crc bigint, places binary"
-SPLIT = "doc_id bigint, text string, kept_text string, n_words bigint, removed array<struct<start: int, end: int>>"
+SPLIT = T.StructType.fromDDL("kept_text string, n_words bigint, removed array<struct<start: int, end: int>>").fields
 
 
 def _zip(a: np.ndarray) -> bytes:
@@ -148,25 +149,26 @@ def cutter(width: int):
                         edge = np.bincount(starts, minlength=n_words[i] + 1)[: n_words[i] + 1] > 0
                         since = np.maximum.accumulate(np.where(edge, np.arange(n_words[i] + 1), -width))
                         kept[i], removed[i] = cut(kept[i], (np.arange(n_words[i] + 1) - since < width)[:-1])
+                through = [n for n in part.schema.names if n != "lists"]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), part.column("text"), pa.array(kept, pa.string()) if len(some) else kept, pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
-                    names=["doc_id", "text", "kept_text", "n_words", "removed"],
+                    [*(part.column(n) for n in through), pa.array(kept, pa.string()) if len(some) else kept, pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    names=[*through, "kept_text", "n_words", "removed"],
                 )
 
     return run
 
 
-def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row doc_id, text, kept_text (the text without its removed words and the white space behind each; null stays),
-    n_words, removed (maximal word intervals, end excluded).
+    n_words, removed (maximal word intervals, end excluded), and a struct `carried` of the columns in `carry`.
 
     A word goes if a window of `width` words around it also starts in a document with a smaller id.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"), "text"
-    )
+    own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *carried(docs, carry))
+    rows = own.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     buckets = max(48, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
     covered = packed.groupBy("bucket").applyInArrow(settle, COVERED)
     lists = covered.groupBy("id", "crc").agg(F.collect_list("places").alias("lists"))
-    return rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select("doc_id", "text", "lists").mapInArrow(cutter(width), SPLIT)
+    joined = rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "lists")
+    return joined.mapInArrow(cutter(width), T.StructType([*own.schema.fields, *SPLIT]))
