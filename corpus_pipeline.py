@@ -1,15 +1,74 @@
-"""The training-data pipeline: STAGES run one after the other over `documents`."""
+"""The training-data pipeline: quality, near-duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
+`documents`. Null texts pass as they are; a null doc_id is never a duplicate. A text whose every word is a repeat goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.llm import quality
+from strandline.llm.common import stored
+from strandline.llm.decontaminate import decontaminate
+from strandline.llm.near_dup import near_duplicates
+from strandline.llm.packing import pack
+from strandline.llm.queries import table, tokenizer_path
+from strandline.llm.substring import substring_dedup
+
+REJECT_BELOW = 0.3
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+
+def _restore(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    own = {"doc_id": F.col("doc_id"), "text": F.col(text)}
+    return found.select(*((own[c] if c in own else F.col("carried")[c]).alias(c) for c in docs.columns))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _restore(quality.score(docs, model, carry=_others(docs)).where(F.col("score") >= REJECT_BELOW), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that a document with a smaller id has; texts that were nothing else go."""
+    found = substring_dedup(docs, carry=_others(docs))
+    changed = F.size("removed") > 0
+    out = _restore(found.where(~changed | (F.trim(F.regexp_replace("kept_text", r"[\x09-\x0D]", " ")) != "")), docs, "kept_text")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words lie in benchmark windows."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=_others(docs))
+    hits = F.size("hits")
+    return _restore(found.where((hits == 0) | (20 * hits < F.col("n_words"))), docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path())
+
 
-STAGES: list = []
+STAGES = [("quality", keep_quality), ("near duplicates", drop_near_duplicates), ("repeated passages", drop_repeats), ("decontamination", drop_contaminated), ("packing", pack_sequences)]
+#: The quality model can't be said in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"stage-{k}")
     return docs
