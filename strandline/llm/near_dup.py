@@ -10,8 +10,8 @@ Only components are asked for, so pairs are not listed: in a bucket every node m
 aggregations and a join that Spark can split); what this joins becomes one component. A second round takes other
 leaders. What is left are nodes of one bucket in different components. Of such a node only shingles that also occur in
 another component can be shared by a new link; their number bounds its similarity to anything in the bucket, exactly, and
-most nodes go by that. The rest meet the members of other components (those outside the bucket's largest component meet
-all), so that no link is lost. Components are found by star contraction in stored tables.
+most nodes go by that. The rest are dealt into blocks, of which each pair meets in a task that counts all intersections of
+their sets and returns only links, so none is lost and no other pair is ever a row. Components are found by star contraction in stored tables.
 
 Shingles are compared by 64-bit hashes. Nulls, empty texts: no shingles, linked with nothing. A null doc_id is linked
 with nothing, component_id null, kept. Rows that share a doc_id are one node, so each such row gets that component.
@@ -36,6 +36,8 @@ from .tokens import ODD, chunks, mix, split_words, word_hashes
 
 #: Chosen probability of missing a pair that lies at the threshold, by the bands and by the pruning.
 MISS, SIGNATURE, BATCH = 1e-6, 120, 20
+#: Nodes of a block (and 512 times as many shingles), and shingles of a slice.
+BLOCK, SLICE = 512, 4096
 SIGNED = "doc_id bigint, class binary, n_shingles bigint, signature binary, bands array<bigint>"
 CHECKED = "u bigint, v bigint"
 
@@ -163,6 +165,37 @@ def shingler(k: int):
     return run
 
 
+def blocks(similarity: Fraction):
+    """Linked pairs (u, v) of one block of a cluster against one block of its nodes outside the main component: sizes of
+    all intersections by products of the 0/1 matrices of nodes and shingles, a slice of shingles at a time."""
+    num, den = similarity.numerator, similarity.denominator
+
+    def run(group: pa.Table) -> pa.Table:
+        guest = group.column("guest").to_numpy() == 1
+        node, comp, size = (group.column(c).to_numpy() for c in ("node", "comp", "n_shingles"))
+        lists = group.column("shingles").combine_chunks()
+        owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        rank = np.cumsum(guest) * guest + np.cumsum(~guest) * ~guest - 1  # place among the guests, or among the others
+        shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        both = np.zeros((int(guest.sum()), int((~guest).sum())), np.float32)
+        for a in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, SLICE):
+            at = slice(*np.searchsorted(shingle, (a, a + SLICE)))
+            sides = []
+            for side in (guest, ~guest):
+                mine = side[owner[at]]
+                sides.append(np.zeros((int(side.sum()), SLICE), np.float32))
+                sides[-1][rank[owner[at][mine]], shingle[at][mine] - a] = 1
+            both += sides[0] @ sides[1].T
+        g, o = np.flatnonzero(guest), np.flatnonzero(~guest)
+        x, y = np.nonzero((den * both >= num * (size[g][:, None] + size[o][None, :] - both)) & (comp[g][:, None] != comp[o][None, :]))
+        u, v = node[g[x]], node[o[y]]
+        return pa.table({"u": pa.array(np.minimum(u, v)), "v": pa.array(np.maximum(u, v))})
+
+    return run
+
+
 class _Search:
     """One run: the nodes with their bands, and what was compared and linked so far, all in stored tables."""
 
@@ -215,28 +248,39 @@ class _Search:
         met = around.alias("x").join(leaders.alias("y"), "band").where(f"x.comp <> y.comp and {self.near()}")
         return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
-    def bounded(self, around: DataFrame) -> DataFrame:
-        """Members that may still have a link to another component of their bucket, with the number of their shingles
-        that occur in another component at all."""
+    def bounded(self, around: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(members that may still have a link to another component of their bucket; node, shingle: those of their
+        shingles that occur in another component at all)."""
         nodes = around.select("node", "comp").distinct()
         shingles = stored(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shingler(self.k), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
         common = shingles.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle")
-        shared = shingles.join(common, "shingle").groupBy("node").agg(F.count("*").alias("shared"))
-        left = around.join(shared, "node")
+        shared = stored(shingles.join(common, "shingle").select("node", "shingle"), "shared")
+        left = around.join(shared.groupBy("node").agg(F.count("*").alias("shared")), "node")
         num, den = self.similarity.numerator, self.similarity.denominator
         for _ in range(2):
             # the similarity to a set of n is at most shared / (n_shingles + n - shared), and n is at least `shared`
             told = left.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
             left = stored(left.join(told, "band").where(f"{den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least", "a", "b"), "bounded")
-        return left
-
-    def all_left(self, around: DataFrame) -> DataFrame:
-        sizes = around.groupBy("band", "comp").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"))
-        outside = around.join(sizes, "band").where("comp <> main").drop("main")
-        num, den = self.similarity.numerator, self.similarity.denominator
-        both = "least(x.shared, y.shared)"
-        met = outside.alias("x").join(around.alias("y"), "band").where(f"x.comp <> y.comp and {den} * {both} >= {num} * (x.n_shingles + y.n_shingles - {both})")
-        return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+        return left, shared
+
+    def all_left(self, around: DataFrame, shared: DataFrame) -> DataFrame:
+        """Links between different components. Nodes that share a bucket, directly or over others, are a cluster; those
+        outside its main component meet all, block by block: only links leave as rows, and no block outgrows a task."""
+        stars = around.groupBy("band").agg(F.min("node").alias("v")).join(around.select("band", F.col("node").alias("u")), "band").select("u", "v")
+        nodes = around.select("node", "comp", "n_shingles", "shared").distinct()
+        placed = nodes.join(components(stars), "node").withColumnRenamed("component", "cluster")
+        per = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("shared").alias("w")).groupBy("cluster").agg(
+            F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("main")
+        )
+        many = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / (BLOCK * 512)), F.lit(1))
+        per = per.select("cluster", F.col("main.comp").alias("main"), many(F.col("n"), F.col("w")).alias("rows"), many(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("guests"))
+        sets = shared.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("shingles"))
+        told = placed.join(per, "cluster").join(sets, "node")
+        columns = ("cluster", "node", "comp", "n_shingles", "shingles")
+        hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+        own = told.select(*columns, hashed("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(0).alias("guest"))
+        guests = told.where("comp <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), hashed("guests").alias("j"), F.lit(1).alias("guest"))
+        return own.union(guests).groupBy("cluster", "i", "j").applyInArrow(blocks(self.similarity), CHECKED).distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) of linked nodes."""
@@ -246,7 +290,7 @@ class _Search:
         self.compare(self.by_leader(around, 1))
         told = components(self.links)
         around = self.open(told)
-        self.compare(self.all_left(self.bounded(around)))
+        self.compare(self.all_left(*self.bounded(around)))
         return stored(components(self.links), "components")
 
 
