@@ -1,8 +1 @@
 """Training-data operators: one module per operator, general interfaces; `queries` holds the registered queries."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Python workers get these functions with the task, so executors need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -23,7 +23,7 @@ from .common import carried
 from .samples import labelled_sample
 from .tokens import ODD, chunks, mix, split_words, word_hashes
 
-BUCKETS, GRAMS, SAMPLE = 1 << 17, (2, 3, 4), 6000
+BUCKETS, GRAMS, SAMPLE = 1 << 17, (2, 3, 4), 3000
 DIMENSIONS, EPOCHS, RATE, SEED = 8, 12, 2.0, 5
 #: Features are averaged, so one of thousands gets a tiny gradient; it is taken so many times larger.
 SHARPEN = 20.0
@@ -95,11 +95,11 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     draw = np.random.default_rng(SEED)
     vectors = (draw.random((BUCKETS, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
-    ready = [(y, b.astype(np.int64), (c / c.sum()).astype(np.float32)) for y, b, c in examples]
-    steps, done = max(1, EPOCHS * len(ready)), 0
+    steps, done = max(1, EPOCHS * len(examples)), 0
     for _ in range(EPOCHS):
-        for i in draw.permutation(len(ready)).tolist():
-            y, buckets, share = ready[i]
+        for i in draw.permutation(len(examples)).tolist():
+            y, buckets, counts = examples[i]
+            share = (counts / max(1, counts.sum())).astype(np.float32)
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
             own = vectors[buckets]
