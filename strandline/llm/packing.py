@@ -14,11 +14,14 @@ ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,65 +35,92 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
 
+class Remembered:
+    """Texts and their ids: one flat array, and where each text's ids begin."""
+
+    def __init__(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def add(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.slots.update(zip(texts, range(len(self.slots), len(self.slots) + len(texts)), strict=True))
+        self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+        self.firsts = np.cumsum(self.sizes) - self.sizes
+
+    def of(self, texts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.slots.__getitem__, texts), np.int64, len(texts))
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids of these slots, one after the other; ids of each)."""
+        count = self.sizes[slots]
+        before = np.cumsum(count) - count
+        return self.ids[np.repeat(self.firsts[slots] - before, count) + np.arange(count.sum())], count
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer file whose pre-tokens never cross ASCII white space: each distinct word is
-    encoded once and remembered."""
+    """Ids of whole texts from a tokenizer file whose pre-tokens never cross ASCII white space and whose normaliser lowers
+    case: each distinct word is encoded once and remembered. A plain word (small Latin letters, then a comma or a full stop
+    or nothing) needs neither normaliser nor pattern, and its stem is looked up alone, by the same model."""
+
+    PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([,.]?)")
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and t.content.startswith("<")}
-        self.mark_id, self.mark = max(special.items(), default=(-1, None))
-        self.forget()
-
-    def forget(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids, self.sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-
-    def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot of each word, first id and number of ids of each slot)."""
-        if len(self.slots) > REMEMBERED:
-            self.forget()
-        get = self.slots.get
-        new = [w for w in words if get(w) is None]
-        for i in range(0, len(new), TOGETHER):
-            ids, sizes = self.look_up(new[i : i + TOGETHER])
-            self.ids.append(ids)
-            self.sizes.append(sizes)
-        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new)), strict=True))
-        self.ids, self.sizes = [np.concatenate(self.ids)], [np.concatenate(self.sizes)]
-        slots = np.fromiter(map(get, words), np.int64, len(words))
-        return slots, np.cumsum(self.sizes[0]) - self.sizes[0], self.sizes[0]
-
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, ids in each): one text of many words is quicker than many texts; a special token, which no
-        word here holds, keeps them apart."""
-        if self.mark is None or any(self.mark in w for w in words if "<" in w):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            return np.array([i for e in found for i in e], np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, np.uint32)
-        marks = np.flatnonzero(ids == self.mark_id)
-        ends = np.append(marks - np.arange(len(marks)), len(ids) - len(marks))
-        return np.delete(ids, marks), np.diff(ends, prepend=0)
+        self.tokenizer, self.stemmer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.stemmer):
+            t.no_padding()
+            t.no_truncation()
+        self.stemmer.normalizer = None
+        self.stemmer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
+        probe = ["thing", "a", "\u00e9t\u00e9", "zzq"]
+        self.stems_work = all(len(x) == 1 for x in self.marks.values()) and all(
+            self.stemmer.encode(f"{a} {b}", add_special_tokens=False).ids == [i for x in (a, b) for i in self.tokenizer.encode(x + ",", add_special_tokens=False).ids[:-1]] for a in probe for b in probe
+        )
+        self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.words, self.stems = Remembered(), Remembered()
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.words.slots) > REMEMBERED:
+            self.words, self.stems = Remembered(), Remembered()
+        new = [w for w in words if w not in self.words.slots]
+        met = [self.PLAIN.fullmatch(w) for w in new] if self.stems_work else [None] * len(new)
+        plain = [m for m in met if m]
+        stems = [m[1] for m in plain]
+        fresh = [x for x in dict.fromkeys(stems) if x not in self.stems.slots]
+        if fresh:
+            # each stem is one pre-token, which the model closes by its last id
+            parts = [np.array(self.stemmer.encode_batch_fast([" ".join(fresh[i : i + TOGETHER])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(fresh), TOGETHER)]
+            ids = np.concatenate(parts)
+            self.stems.add(fresh, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+        if plain:
+            ids, sizes = self.stems.gather(self.stems.of(stems))
+            mark = np.array([self.marks[m[2]][0] if m[2] else -1 for m in plain])
+            ends = np.cumsum(sizes)
+            self.words.add([m[0] for m in plain], np.insert(ids, ends[mark >= 0], mark[mark >= 0].astype(np.uint32)), sizes + (mark >= 0))
+        rest = [w for w, m in zip(new, met, strict=True) if not m]
+        for i in range(0, len(rest), TOGETHER // 8):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[i : i + TOGETHER // 8], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            self.words.add(rest[i : i + TOGETHER // 8], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by `end`; where each text begins, and the total)."""
+        if self.lowers and not pc.any(pc.match_substring(text, "<|")).as_py():  # special tokens keep their case
+            text = pc.ascii_lower(text)
         offsets, words = split_words(text)
         coded = words.dictionary_encode()
-        slots, firsts, sizes = self.learn(coded.dictionary.to_pylist())
-        slot = slots[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        count = sizes[slot]
-        before = np.concatenate(([0], np.cumsum(count)))
-        bounds = before[offsets] + np.arange(len(offsets))
-        out = np.full(int(bounds[-1]), end, np.uint32)
-        shift = np.repeat(np.arange(len(offsets) - 1), np.diff(before[offsets]))
-        at = np.arange(before[-1])
-        out[at + shift] = self.ids[0][np.repeat(firsts[slot] - before[:-1], count) + at]
-        return out, bounds
+        distinct = coded.dictionary.to_pylist()
+        self.learn(distinct)
+        slot = self.words.of(distinct)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        ids, count = self.words.gather(slot) if len(words) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        before = np.concatenate(([0], np.cumsum(count)))[offsets]
+        return np.insert(ids, before[1:], np.uint32(end)), before + np.arange(len(offsets))
 
 
 def cutter(path: str, capacity: int, end: int):

@@ -215,7 +215,7 @@ def test_pack_matches_the_tokenizer(spark):
 
     path = queries.tokenizer_path()
     t = Tokenizer.from_file(path)
-    rows = corpus(7) + [(500, "<|endoftext|> it's <|start"), (501, "a b c é ΑΣ"), (502, "b" * 3000)]
+    rows = corpus(7) + [(500, "<|endoftext|> it's <|start"), (503, "<|ENDOFTEXT|> The End, the end. THE END... été, ÉTÉ. e\u0301te ß, İx don't 12a a12, ﬁn"), (501, "a b c é ΑΣ"), (502, "b" * 3000)]
     got = pack(frame(spark, rows).repartition(3), path).collect()
     expected = {}
     for i, text in rows:
@@ -236,7 +236,7 @@ def test_pack_matches_the_tokenizer(spark):
     assert len(by) <= -(-sum(r["length"] for r in got) // 2048) + 1
     assert pack(frame(spark, []), path).count() == 0
     assert pack(frame(spark, [(None, None), (1, "a"), (1, "a")]), path).count() == 3
-    assert WordTokenizer(path).mark is not None
+    assert WordTokenizer(path).stems_work and WordTokenizer(path).lowers
 
 
 def test_fingerprints_and_edits(spark):
