@@ -75,16 +75,17 @@ def followers(rows: DataFrame) -> DataFrame:
 def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n, text, edited, own and next row's keys: the last floor(n/3) code points give way to the first as many of
     the next document in descending id. Identical rows are one document in that order; null ids come last."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text")).withColumn("n", F.length("text"))
-    links = stored(followers(rows.select("doc_id", "key", "n")), "links")
-    texts = rows.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key", "n", "text")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    links = stored(followers(rows.select("doc_id", "key", F.length("text").alias("n"))), "links")
+    # both joins read these columns and no other, so that one shuffle of the texts serves both
+    texts = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key", "text")
     asked = links.select(F.col("next_id").alias("id"), F.col("next_key").alias("key"), F.col("id").alias("asker"), F.col("key").alias("asker_key"), F.floor(F.col("n") / 3).cast("int").alias("q"))
     heads = texts.join(asked.hint("shuffle_hash"), ["id", "key"]).select(F.col("asker").alias("id"), F.col("asker_key").alias("key"), F.expr("left(text, q)").alias("head"))
     if links.where("copies > 1").limit(1).count():
         heads = heads.dropDuplicates(["id", "key"])
+    joined = texts.join(links.select("id", "key", "n", "next_id", "next_key").hint("shuffle_hash"), ["id", "key"]).join(heads.hint("shuffle_hash"), ["id", "key"])
     edited = F.concat(F.expr("left(text, n - cast(floor(n / 3) as int))"), F.col("head"))
-    joined = texts.join(links.select("id", "key", "next_id", "next_key").hint("shuffle_hash"), ["id", "key"])
-    return joined.join(heads.hint("shuffle_hash"), ["id", "key"]).select("doc_id", "id", "key", "next_id", "next_key", F.col("n").cast("long").alias("n"), "text", edited.alias("edited"))
+    return joined.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "id", "key", "next_id", "next_key", F.col("n").cast("long").alias("n"), "text", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, take: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
