@@ -11,7 +11,7 @@ EPSILON = 1.1920928955078125e-07  # of 32-bit floats
 def parse(gt: str) -> dict[str, Column]:
     """gt (array of indices, null for a missing one), phased, ploidy, status of a GT field; `.` or empty: no allele."""
     raw = F.split(F.col(gt), r"[/|]")
-    indices = F.transform(raw, lambda x: F.when(x != ".", x).cast("int"))
+    indices = F.transform(raw, lambda x: x.try_cast("int"))
     none = F.col(gt).isNull() | (F.col(gt) == "")
     known = F.size(F.filter(indices, lambda x: x.isNotNull()))
     return {
