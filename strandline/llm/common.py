@@ -31,9 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's size in bytes (for a file scan: the size of its files)."""
+    """Bytes of df: Catalyst's estimate (for a file scan the size of its files) or, where it has none, its measured texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 62 else 1 << 40
+    if size < 1 << 50:
+        return size
+    wide = [F.coalesce(F.octet_length(F.col(c)), F.lit(0)) if kind in ("string", "binary") else F.lit(8) for c, kind in df.dtypes]
+    return int(df.agg(F.sum(sum(wide[1:], wide[0]).cast("long"))).first()[0] or 0)
 
 
 def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:

@@ -32,7 +32,8 @@ FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 8 << 20
 WORD = re.compile(r"[^ \t-\r]+")
 PACKED = "bucket int, n int, docs binary, counts binary, hashes binary, places binary"
 COVERED = "id bigint, crc bigint, places binary"
-SPLIT = T.StructType.fromDDL("kept_text string, n_words bigint, removed array<struct<start: int, end: int>>").fields
+INTERVALS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+SPLIT = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("removed", INTERVALS)]
 
 
 def _zip(a: np.ndarray) -> bytes:
