@@ -61,7 +61,8 @@ def term_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def holder(terms: list[str]):
-    """For each labelled text: y, its number of words, and the terms it has, with the words on both sides of each."""
+    """For each labelled text: y, its number of words, and of each occurrence of a term the term, and it with the word
+    before and with the word behind."""
     wanted = frozenset(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,9 +72,9 @@ def holder(terms: list[str]):
                 for y, text in zip(part.column("y").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = WORD.findall(fold(text or ""))
                     at = [i for i, w in enumerate(words) if w in wanted]
-                    near = {p for i in at for p in (" ".join(words[max(0, i - 1) : i + 1]), " ".join(words[i : i + 2]))}
-                    rows.append((int(y > 0), len((text or "").split()), [words[i] for i in at], sorted(near)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string())), strict=True)], names=["y", "n_words", "terms", "phrases"])
+                    rows.append((int(y > 0), len((text or "").split()), [words[i] for i in at], [" ".join(words[max(0, i - 1) : i + 1]) for i in at], [" ".join(words[i : i + 2]) for i in at]))
+                kinds = (pa.int32(), pa.int64(), *[pa.list_(pa.string())] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["y", "n_words", "terms", "before", "behind"])
 
     return run
 
@@ -129,13 +130,19 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = S
     sample = labelled_sample(docs, labels, target, size)
     counts = sample.mapInArrow(term_counter, "term string, toxic int, n bigint").groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum("n").alias("n"))
     terms = [r["term"] for r in counts.where(f"bad >= {least} and bad * 2 >= n").orderBy(F.desc("bad"), "term").limit(CANDIDATES).collect()]
-    rows = sample.mapInArrow(holder(terms), "y int, n_words bigint, terms array<string>, phrases array<string>").collect()  # at most `size` labelled ids
+    rows = sample.mapInArrow(holder(terms), "y int, n_words bigint, terms array<string>, before array<string>, behind array<string>").collect()  # at most `size` labelled ids
     y = np.array([r["y"] for r in rows], np.float64)
     if not y.sum():
         return Model({}, set(), None)
+    # phrases with a word on one side at least, that clean texts hold and toxic ones don't
+    phrases = [{p for p in (*r["before"], *r["behind"]) if " " in p} for r in rows]
+    seen = Counter(p for r, own in zip(rows, phrases, strict=True) if not r["y"] for p in own)
+    toxic = {p for r, own in zip(rows, phrases, strict=True) if r["y"] for p in own}
+    exceptions = {p for p, n in seen.items() if n >= least and p not in toxic}
+    counted = [Counter(t for t, a, b in zip(r["terms"], r["before"], r["behind"], strict=True) if a not in exceptions and b not in exceptions) for r in rows]
     has = {t: set() for t in terms}
-    for i, r in enumerate(rows):
-        for t in set(r["terms"]):
+    for i, own in enumerate(counted):
+        for t in own:
             has[t].add(i)
     bad = {i for i, r in enumerate(rows) if r["y"]}
     gain = {t: len(d & bad) - 3 * len(d - bad) for t, d in has.items()}
@@ -154,20 +161,11 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = S
         weights[best] = float(np.log((len(own & bad) + 0.5) / (len(bad) + 1)) - np.log((len(own - bad) + 0.5) / (clean + 1)))
         left -= own
     weights = {t: w for t, w in weights.items() if w > 0}
-    seen = Counter(p for r in rows if not r["y"] for p in r["phrases"])
-    toxic = {p for r in rows if r["y"] for p in r["phrases"]}
-    exceptions = {p for p, n in seen.items() if n >= least and p not in toxic and any(w in weights for w in p.split()) and " " in p}
-    model = Model(weights, exceptions, None)
-    automaton = model.automaton() if weights else None
-
-    def weight(r) -> float:
-        own = Counter(t for t in r["terms"] if t in weights)
-        spared = Counter(w for p in r["phrases"] if p in exceptions for w in p.split() if w in weights)
-        return sum(weights[t] * max(0, n - spared[t]) for t, n in own.items())
-
-    if automaton is not None:
-        model.beta = regress(inputs(np.array([weight(r) for r in rows]), np.array([r["n_words"] for r in rows], np.float64)), y)
-    return model
+    if not weights:
+        return Model({}, set(), None)
+    total = np.array([sum(weights.get(t, 0) * n for t, n in own.items()) for own in counted])
+    beta = regress(inputs(total, np.array([r["n_words"] for r in rows], np.float64)), y)
+    return Model(weights, {p for p in exceptions if any(w in weights for w in p.split())}, beta)
 
 
 def scorer(model: Model):
