@@ -72,13 +72,12 @@ def concordance(truth: DataFrame, calls: DataFrame) -> DataFrame:
 def transmission(calls: DataFrame, letters: DataFrame, alleles: int = 3) -> DataFrame:
     """htv per variant: over all assignments of alleles to the four founder haplotypes A to D (letters: sample, first,
     second), how many agree with every complete call: FALSE for none, TRUE for one, MULTI-TRUE for more."""
-    spark = calls.sparkSession
-    ways = F.broadcast(spark.createDataFrame([tuple(x) for x in product(range(alleles), repeat=4)], "A int, B int, C int, D int"))  # alleles ** 4 rows
+    ways = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(way, "ABCD", strict=True))) for way in product(range(alleles), repeat=4)))
     own = calls.where("missing = 0").join(F.broadcast(letters), "sample")  # a row for each sample of the pedigree
     needs = own.groupBy("variant_id").agg(F.collect_set(F.struct("first", "second", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))).alias("needs"))
-    of = "map('A', A, 'B', B, 'C', C, 'D', D)"
-    fits = F.expr(f"forall(needs, n -> least({of}[n.first], {of}[n.second]) = n.low and greatest({of}[n.first], {of}[n.second]) = n.high)")
-    counts = needs.crossJoin(ways).groupBy("variant_id").agg(F.sum(fits.cast("int")).alias("n_ways"))
+    of = "map('A', w.A, 'B', w.B, 'C', w.C, 'D', w.D)"
+    fits = f"filter(ways, w -> forall(needs, n -> least({of}[n.first], {of}[n.second]) = n.low and greatest({of}[n.first], {of}[n.second]) = n.high))"
+    counts = needs.withColumn("ways", ways).select("variant_id", F.size(F.expr(fits)).cast("long").alias("n_ways"))
     return counts.withColumn("htv", F.when(F.col("n_ways") == 0, "FALSE").when(F.col("n_ways") == 1, "TRUE").otherwise("MULTI-TRUE"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import alleles, genotypes, sequence
-from strandline.operators import callsets, genotyping, inference, intervals, kmers
+from strandline.operators import callsets, genotyping, graph, inference, intervals, kmers, tools
+from strandline.sources import fasta, vcf
 
 from .adapters import K, duck, load
 
@@ -510,3 +511,115 @@ def gibbs_posterior(spark, d):
 @registered("noise_trace")
 def noise_trace(spark, d):
     return inference.noise_trace(kmers.noise_histogram(sample_counts(spark, d)))
+
+
+# ---- tools, lookups and text forms
+
+
+@registered(
+    "filter_tool",
+    f"""{duck('call')}, f as (select *, case when nak < 2 then 1 else 0 end + case when nak > 0 and fak < 1 - exp(-0.275 * 1.5) then 2 else 0 end as saf from call), g as (select *, app >= 0.95 and saf = 0 and missing = 0 as called from f),
+    p as (select variant_id, sum(case when called then 2 else 0 end)::bigint as an, max(case when saf = 0 then app end) as acp, sum(case when called and a = b then 1 else 0 end)::bigint as n_homozygotes from g group by variant_id)
+    select *, round(case when coalesce(acp, 0) >= 1 - 1e-5 then 99 when coalesce(acp, 0) = 0 then 0 else -10 * log10(1 - acp) end, 6) as qual, case when an = 0 then 'AN0' when n_homozygotes < 1 then 'HOM' else 'PASS' end as filter from p""",
+)
+def filter_tool(spark, d):
+    return rounded(tools.filter_calls(load(spark, d, "call"), 1, 0.95, 2, 1.5), "qual")
+
+
+@registered("filter_counts", SQL["filter_tool"].replace("select *, round(case when coalesce", ", z as (select *, round(case when coalesce") + ") select filter, count(*) as n from z group by filter")
+def filter_counts(spark, d):
+    return tools.filter_counts(tools.filter_calls(load(spark, d, "call"), 1, 0.95, 2, 1.5))
+
+
+@registered(
+    "reset_filters",
+    f"""{duck('call')}, g as (select variant_id, sample, round(app / 2, 2) as x, round(1 - app, 2) as y from call)
+    select variant_id, sample, case when x > greatest(y, 0.45) then 0 when y > greatest(x, 0.45) then 1 when 0.45 > greatest(x, y) then 2 end as genotype, 0 as saf from g""",
+)
+def reset_filters(spark, d):
+    g = load(spark, d, "call").select("variant_id", "sample", F.array(F.round(F.col("app") / 2, 2), F.round(1 - F.col("app"), 2), F.lit(0.45)).alias("gpp"))
+    return tools.reset_filters(g).select("variant_id", "sample", "genotype", "saf")
+
+
+@registered(
+    "genotype_parse",
+    f"""{duck('call')} select variant_id, sample, case when missing = 1 then 1 else 2 end as ploidy, missing = 1 or sample % 2 = 1 as phased, case when missing = 1 then 'Missing' when a = 2 then 'Partial' else 'Complete' end as status,
+    case when missing = 1 then -1 when a = 2 then -1 else a end as first from call""",
+)
+def genotype_parse(spark, d):
+    sep = F.when(F.col("sample") % 2 == 1, "|").otherwise("/")
+    gt = F.when(F.col("missing") == 1, ".").otherwise(F.concat(F.when(F.col("a") == 2, ".").otherwise(F.col("a").cast("string")), sep, F.col("b").cast("string")))
+    parsed = load(spark, d, "call").withColumn("_gt", gt).withColumns(genotypes.parse("_gt"))
+    return parsed.select("variant_id", "sample", "ploidy", "phased", "status", F.coalesce(F.get("gt", F.lit(0)), F.lit(-1)).alias("first"))
+
+
+@registered("remove_alleles", f"{duck('call')} select variant_id, sample, case a when 0 then 0 when 2 then 1 else -1 end as a, case b when 0 then 0 when 2 then 1 else -1 end as b, case b when 2 then 1 else 0 end as to_ref from call")
+def remove_alleles(spark, d):
+    c = load(spark, d, "call").withColumn("gt", F.array("a", "b"))
+    keep = F.array(F.lit(2))
+    gone = alleles.remove_alleles("gt", keep)
+    return c.select("variant_id", "sample", F.coalesce(gone[0], F.lit(-1)).alias("a"), F.coalesce(gone[1], F.lit(-1)).alias("b"), alleles.remove_alleles("gt", keep, True)[1].alias("to_ref"))
+
+
+@registered(
+    "symbolic_expand",
+    """with p as (select p_partkey as id, substr('ACGTTGCATC', 1 + cast(p_partkey % 10 as int), 1) as ref, substr(repeat('ACGTTGCATC', 3), 2 + cast(p_partkey % 10 as int), 1 + cast(p_size % 9 as int)) as segment, p_partkey % 6 as kind from part)
+    select id, case when kind = 5 then ref else ref || segment end as new_ref, case kind when 0 then ref when 1 then ref || segment || segment when 2 then ref || reverse(translate(segment, 'ACGT', 'TGCA')) when 3 then ref || segment || segment || segment when 4 then null else ref || 'TTT' end as new_alt from p""",
+)
+def symbolic_expand(spark, d):
+    k = F.col("p_partkey") % 10
+    p = spark.read.parquet(f"{d}/part.parquet").select(
+        F.col("p_partkey").alias("id"), F.substr(F.lit("ACGTTGCATC"), (1 + k).cast("int"), F.lit(1)).alias("ref"), F.substr(F.lit("ACGTTGCATC" * 3), (2 + k).cast("int"), (1 + F.col("p_size") % 9).cast("int")).alias("segment"),
+        F.get(F.array(*map(F.lit, ("<DEL>", "<DUP>", "<INV>", "<CN3>", "<XX>", "<INS>"))), (F.col("p_partkey") % 6).cast("int")).alias("alt"), F.lit("TTT").alias("insert"),
+    )
+    return callsets.expand_symbolic(p).select("id", "new_ref", "new_alt")
+
+
+@registered(
+    "symbolic_name",
+    f"""{TRIM} select variant_id, case when base_type = 'Deletion' and length(tr) >= 2 then '<DEL>' when base_type = 'Insertion' and length(ta) >= 2 and left('ACG', length(ta)) = ta then '<DUP>' when base_type = 'Complex' and inv then '<INV>' end as symbol from ty""",
+)
+def symbolic_name(spark, d):
+    return callsets.to_symbolic(load(spark, d, "allele").withColumn("after", F.lit("ACG")), 2).select("variant_id", "symbol")
+
+
+@registered("genome_lookup", f"{duck('seq')}, g as (select cast(seq_id as varchar) as id, string_agg(run, '' order by run) as seq from seq group by seq_id) select id as chrom, cast(x as int) as \"at\", nullif(substr(seq, cast(x as int) + 1, 4), '') as bases from g, (select unnest(range(0, 57, 7)) as x) a")
+def genome_lookup(spark, d):
+    g = load(spark, d, "seq").groupBy(F.col("seq_id").cast("string").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("run")), "").alias("seq"))
+    places = g.select(F.col("id").alias("chrom"), F.explode(F.sequence(F.lit(0), F.lit(56), F.lit(7))).alias("at")).withColumn("n", F.lit(4))
+    return fasta.lookup(places, fasta.chunks(g, 16, 3), 16).select("chrom", "at", F.nullif("bases", F.lit("")).alias("bases"))
+
+
+@registered("vcf_lines", f"{COMBINE}, a as (select chrom, pos, ref, string_agg(alt, ',' order by alt) as alts, string_agg(aco, ',' order by alt) as aco from cs group by all) select replace(chrom, ' ', '_') || chr(9) || pos || chr(9) || '.' || chr(9) || ref || chr(9) || alts || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'ACO=' || aco as value from a")
+def vcf_lines(spark, d):
+    rows = callsets.combine(load(spark, d, "callset")).groupBy("chrom", "pos", "ref").agg(F.sort_array(F.collect_list(F.struct("alt", "aco"))).alias("x"))
+    none = F.array().cast("array<string>")
+    return vcf.to_lines(
+        rows.select(F.replace("chrom", F.lit(" "), F.lit("_")).alias("chrom"), "pos", none.alias("ids"), "ref", F.col("x.alt").alias("alts"), F.lit(None).cast("double").alias("qual"), F.array(F.lit("PASS")).alias("filters"), F.create_map(F.lit("ACO"), F.array_join(F.col("x.aco"), ",")).alias("info"), none.alias("format"), none.alias("raw"))
+    )
+
+
+@registered("repeat_attribute", f"{GROUPED}, k as (select contig, sum(greatest(0, end_pos - greatest(pos - 1, coalesce(b, pos - 1)))) as c from n group by contig) select 'c' as chrom, cast(contig as int) as pos, 1 as alt_idx, 'All#' || cast(c as bigint) as rma from k")
+def repeat_attribute(spark, d):
+    ivl = load(spark, d, "ivl")
+    repeats = ivl.select(F.concat_ws("_", F.lit("c"), "contig", F.lit(1)).alias("key"), F.col("pos").alias("start"), F.col("end_pos").alias("end"), F.lit("All").alias("family"))
+    return tools.repeat_attribute(ivl.select(F.lit("c").alias("chrom"), F.col("contig").cast("int").alias("pos"), F.lit(1).alias("alt_idx")).distinct(), repeats).select("chrom", "pos", "alt_idx", "rma")
+
+
+@registered("value_format", f"{duck('call')} select variant_id, sample, case when missing = 1 then '1' else '0' end as flag, case when missing = 1 then 'NA' else printf('%.4f', app) end as app, case when a = 2 then 'NA' else cast(a as varchar) end as a from call")
+def value_format(spark, d):
+    c = load(spark, d, "call")
+    app = tools.formatted(F.when(F.col("missing") == 0, F.col("app")), "float")
+    return c.select("variant_id", "sample", tools.formatted(F.col("missing") == 1, "flag").alias("flag"), app.alias("app"), tools.formatted(F.when(F.col("a") != 2, F.col("a")), "int").alias("a"))
+
+
+@registered("haplotype_graph")
+def haplotype_graph(spark, d):
+    """Candidate haplotypes of the combined call sets: places within k of one another are a cluster, each with its graph."""
+    reference = "ACGTTGCATCAG" * 8
+    rows = callsets.combine(load(spark, d, "callset")).withColumn("pos", F.col("pos") - 1)
+    places = rows.groupBy("chrom", "pos", "ref").agg(F.sort_array(F.collect_set("alt")).alias("alts"))
+    told = intervals.groups(places.select(F.col("chrom").alias("contig"), "pos", (F.col("pos") + F.length("ref") - 1).alias("end_pos"), "ref", "alts"), 5)
+    clusters = told.groupBy("contig", "group_no").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts"))).alias("variants"))
+    ready = clusters.select(F.concat_ws("/", "contig", F.col("group_no").cast("string")).alias("cluster"), "variants", F.lit(reference).alias("reference"), F.lit(0).alias("first"), sequence.canonical_kmers(F.lit(reference), 5).alias("kmers"))
+    return graph.haplotypes(ready, 5, most=8)

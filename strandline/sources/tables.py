@@ -37,8 +37,8 @@ def write_regions(regions: DataFrame, path: str) -> None:
 def read_parameter_kmers(spark: SparkSession, path: str, k: int) -> DataFrame:
     """kmer of the lines after `>k<size>`; a file of another size gives no row."""
     lines = spark.read.text(path)
-    of = lines.where(F.col("value") == f">k{k}").limit(1).select(F.lit(True).alias("fits"))
-    return lines.where(~F.col("value").startswith(">") & (F.length("value") == k)).crossJoin(F.broadcast(of)).select(F.col("value").alias("kmer"))
+    fits = lines.where(F.col("value") == f">k{k}").limit(1).count() > 0
+    return lines.where(F.lit(fits) & ~F.col("value").startswith(">") & (F.length("value") == k)).select(F.col("value").alias("kmer"))
 
 
 def write_parameter_kmers(kmers: DataFrame, path: str, k: int, most: int) -> None:
