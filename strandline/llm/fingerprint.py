@@ -83,9 +83,9 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     heads = texts.join(asked.hint("shuffle_hash"), ["id", "key"]).select(F.col("asker").alias("id"), F.col("asker_key").alias("key"), F.expr("left(text, q)").alias("head"))
     if links.where("copies > 1").limit(1).count():
         heads = heads.dropDuplicates(["id", "key"])
-    joined = texts.join(links.select("id", "key", "n", "next_id", "next_key").hint("shuffle_hash"), ["id", "key"]).join(heads.hint("shuffle_hash"), ["id", "key"])
+    joined = texts.join(links.select("id", "key", "n", "copies", "next_id", "next_key").hint("shuffle_hash"), ["id", "key"]).join(heads.hint("shuffle_hash"), ["id", "key"])
     edited = F.concat(F.expr("left(text, n - cast(floor(n / 3) as int))"), F.col("head"))
-    return joined.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "id", "key", "next_id", "next_key", F.col("n").cast("long").alias("n"), "text", edited.alias("edited"))
+    return joined.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "id", "key", "copies", "next_id", "next_key", F.col("n").cast("long").alias("n"), "text", edited.alias("edited"))
 
 
 def fingerprints(docs: DataFrame, k: int = 3, take: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,14 +93,20 @@ def fingerprints(docs: DataFrame, k: int = 3, take: int = 2, doc_id: str = "doc_
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("fingerprint", fingerprint("text", k, take))
 
 
+def _entries(packed: str) -> Column:
+    return F.regexp_extract_all(F.hex(packed), F.lit(".{8}"), F.lit(0))
+
+
 def compare_edits(docs: DataFrame, k: int = 3, take: int = 2) -> DataFrame:
     """Per row doc_id, n, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     pairs = with_edits(docs)
-    own = stored(
-        pairs.select("doc_id", "id", "key", "next_id", "next_key", "n", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint("text", k, take).alias("own"), fingerprint("edited", k, take).alias("other")),
-        "fingerprints",
-    )
-    nexts = own.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next")).dropDuplicates(["next_id", "next_key"])
-    return own.join(nexts, ["next_id", "next_key"]).select(
-        "doc_id", "n", "edited_sha256", F.array_join("own", "").alias("fingerprint"), F.array_join("other", "").alias("edited_fingerprint"), likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next")
+    keys = ("doc_id", "id", "key", "next_id", "next_key", "n", "copies")
+    printed = pairs.select(*keys, F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), fingerprint("text", k, take).alias("own"), fingerprint("edited", k, take).alias("other"))
+    packed = lambda x: F.unhex(F.array_join(x, "")).alias(x)
+    own = stored(printed.select(*keys, "sha", packed("own"), packed("other"), likeness(F.col("own"), F.col("other")).alias("near_edited")), "fingerprints")
+    nexts = own.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), F.col("own").alias("next"))
+    if own.where("copies > 1").limit(1).count():
+        nexts = nexts.dropDuplicates(["next_id", "next_key"])
+    return own.join(nexts.hint("shuffle_hash"), ["next_id", "next_key"]).select(
+        "doc_id", "n", F.lower(F.hex("sha")).alias("edited_sha256"), F.hex("own").alias("fingerprint"), F.hex("other").alias("edited_fingerprint"), "near_edited", likeness(_entries("own"), _entries("next")).alias("near_next")
     )
