@@ -30,7 +30,7 @@ NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
 FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 8 << 20
 WORD = re.compile(r"[^ \t-\r]+")
-PACKED = "bucket int, n int, docs binary, counts binary, hashes binary, places binary"
+PACKED = "bucket int, n int, n_docs int, docs binary, counts binary, hashes binary, places binary"
 COVERED = "id bigint, crc bigint, places binary"
 INTERVALS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPLIT = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("removed", INTERVALS)]
@@ -45,16 +45,24 @@ def _unzip(blob: bytes, dtype: type, n: int) -> np.ndarray:
 
 
 def _pack(bucket: int, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray | None, ids: np.ndarray) -> tuple:
-    """doc ascending: indices into ids, which holds (id, crc) rows."""
-    which, counts = np.unique(doc, return_counts=True)
-    return bucket, len(doc), _zip(ids[which].T.copy()), counts.astype("<u4").tobytes(), b"" if hashes is None else hashes.tobytes(), _zip(place.astype("<u4"))
+    """doc ascending, and place within it: indices into ids, which holds (id, crc) rows. Places go as steps from the one
+    before, low bytes and the rest apart, of which the rest is nearly all zeros."""
+    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    counts = np.diff(np.append(first, len(doc)))
+    steps = np.diff(place.astype(np.int64), prepend=0)
+    steps[first] = place[first]
+    planes = steps.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()
+    return bucket, len(doc), len(first), _zip(ids[doc[first]].T.copy()), _zip(counts.astype("<u4")), b"" if hashes is None else hashes.tobytes(), _zip(planes)
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, crcs, places), an entry each."""
-    counts = np.frombuffer(row["counts"], "<u4")
+    n = row["n"]
+    counts = np.frombuffer(pa.decompress(row["counts"], 4 * row["n_docs"], codec="zstd", asbytes=True), "<u4")
     ids, crcs = _unzip(row["docs"], np.int64, 2 * len(counts)).reshape(2, -1)
-    return np.repeat(ids, counts), np.repeat(crcs, counts), _unzip(row["places"], np.uint32, row["n"])
+    steps = np.ascontiguousarray(_unzip(row["places"], np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    total, first = np.cumsum(steps), np.cumsum(counts) - counts
+    return np.repeat(ids, counts), np.repeat(crcs, counts), total - np.repeat(total[first] - steps[first], counts)
 
 
 def hasher(width: int, buckets: int):
@@ -77,7 +85,7 @@ def hasher(width: int, buckets: int):
         for b in np.flatnonzero(np.diff(edges)):
             own = order[edges[b] : edges[b + 1]]
             rows.append(_pack(int(b), docs[own], places[own], hashes[own], known))
-        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +174,10 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     A word goes if a window of `width` words around it also starts in a document with a smaller id.
     """
     own = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *carried(docs, carry))
-    rows = own.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    rows = own.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    # only where ids repeat does a row need more than its id to be told from others
+    repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    rows = rows.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if repeated else F.lit(0).cast("long"))
     buckets = max(48, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
     covered = packed.groupBy("bucket").applyInArrow(settle, COVERED)
