@@ -30,7 +30,7 @@ from .common import stored
 from .tokens import chunks, split_words
 
 #: Words whose ids a task remembers before it starts anew, and words looked up together.
-REMEMBERED, TOGETHER = 600_000, 20_000
+REMEMBERED, TOGETHER = 400_000, 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 

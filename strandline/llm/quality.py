@@ -25,6 +25,8 @@ from .tokens import ODD, chunks, mix, split_words, word_hashes
 
 BUCKETS, GRAMS, SAMPLE = 1 << 17, (2, 3, 4), 3000
 DIMENSIONS, EPOCHS, RATE, SEED = 8, 12, 2.0, 5
+#: Text worked on at once: its words' n-grams take many times its size.
+PART_BYTES = 1 << 19
 #: Features are averaged, so one of thousands gets a tiny gradient; it is taken so many times larger.
 SHARPEN = 20.0
 
@@ -76,7 +78,7 @@ def features(text: pa.Array) -> tuple[np.ndarray, ...]:
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct buckets and their counts of each labelled text."""
     for batch in batches:
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", PART_BYTES):
             buckets, begins, index, offsets, pairs, owner = features(part.column("text"))
             cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
             rows = []
@@ -126,7 +128,7 @@ def scorer(weights: np.ndarray, bias: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 buckets, begins, index, offsets, pairs, owner = features(part.column("text"))
                 many = part.num_rows
                 own = np.concatenate(([0.0], np.cumsum(sent[buckets], dtype=np.float64)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: A piece of a batch holds about so many bytes of text, or one longer text.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -23,10 +25,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between tasks, and allocators would keep what one task needed."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batch, in order, each of about `most` bytes in the column."""
     if not batch.num_rows:
         return
+    give_back()
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
@@ -34,6 +45,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
+    give_back()
 
 
 def split_words(text: pa.Array) -> tuple[np.ndarray, pa.Array]:
