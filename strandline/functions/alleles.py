@@ -104,3 +104,15 @@ def remove_alleles(gt: str, keep: Column, to_reference: bool = False) -> Column:
     """Genotype indices after alts are removed; keep: the kept alt indices (from 1), ascending. A removed allele gets
     null, or 0."""
     return F.transform(F.col(gt), lambda g: F.when((g == 0) | g.isNull(), g).when(F.array_contains(keep, g), F.array_position(keep, g).cast("int")).otherwise(F.lit(0 if to_reference else None).cast("int")))
+
+
+def is_homopolymer_change(trimmed_ref: str, trimmed_alt: str, base: str, most: int) -> Column:
+    """Both trimmed alleles are runs of the base (or empty), and together differ by at most `most` bases."""
+    only = lambda x: F.length(F.replace(F.col(x), F.col(base))) == 0
+    return only(trimmed_ref) & only(trimmed_alt) & (F.abs(F.length(trimmed_ref) - F.length(trimmed_alt)).between(1, most))
+
+
+def without_trailing_missing(alts: str) -> Column:
+    """The alts without a last `*`."""
+    a = F.col(alts)
+    return F.when(F.element_at(a, -1) == "*", F.slice(a, 1, F.size(a) - 1)).otherwise(a)

@@ -29,11 +29,12 @@ def _edits(a: str, b: str) -> Column:
     return F.levenshtein(F.col(a), F.col(b)) - F.when(both, F.abs(n(a) - n(b))).otherwise(0)
 
 
-def annotate(queries: DataFrame, annotations: DataFrame, threshold: float = 0.5, scale: float = 3.0, width: int = 256) -> DataFrame:
+def annotate(queries: DataFrame, annotations: DataFrame, threshold: float = 0.5, scale: float = 3.0, width: int = 256, skip_same: bool = False) -> DataFrame:
     """variant_id, annotation_id: of (variant_id, chrom, pos, ref, alt) and (annotation_id, chrom, pos, ref, alt), the pairs
     whose alleles match. An annotation's first or last place must lie within scale * length of the query; single-base
     changes need the same place and alleles; others a score of 1 - edits / lengths of at least the threshold. Pairs meet
-    in bins of places; a bound by lengths comes before any edit distance."""
+    in bins of places; a bound by lengths comes before any edit distance. skip_same: a call set that annotates itself leaves
+    out alleles equal in place and sequence."""
 
     def trim(df: DataFrame, prefix: str) -> DataFrame:
         t = alleles.trimmed(df.where("alt <> '*' and ref <> alt"))
@@ -51,6 +52,8 @@ def annotate(queries: DataFrame, annotations: DataFrame, threshold: float = 0.5,
     whole = F.greatest(F.length("q_ref"), F.length("a_ref")) + F.greatest(F.length("q_alt"), F.length("a_alt"))
     bound = 1 - (F.abs(F.length("q_ref") - F.length("a_ref")) + F.abs(F.length("q_alt") - F.length("a_alt"))) / whole
     near = F.when(bound >= threshold, 1 - (_edits("q_ref", "a_ref") + _edits("q_alt", "a_alt")) / whole >= threshold).otherwise(False)
+    if skip_same:
+        met = met.where(~((F.col("q_pos") == F.col("a_pos")) & (F.col("q_ref") == F.col("a_ref")) & (F.col("q_alt") == F.col("a_alt"))))
     return met.where(F.when(single, same).otherwise(near)).select(F.col("q_id").alias("variant_id"), F.col("a_id").alias("annotation_id")).distinct()
 
 
@@ -90,3 +93,37 @@ def to_symbolic(calls: DataFrame, least: int) -> DataFrame:
     long_ = F.greatest(F.abs("sv_length"), F.when(F.col("type") == "Inversion", F.col("length")).otherwise(0)) >= least
     symbol = F.when(long_ & (F.col("type") == "Deletion"), "<DEL>").when(long_ & (F.col("type") == "Insertion") & repeats, "<DUP>").when(long_ & (F.col("type") == "Inversion"), "<INV>")
     return t.select(*calls.columns, symbol.alias("symbol"))
+
+
+def resolve_redundant(calls: DataFrame, genome: DataFrame) -> DataFrame:
+    """Of (chrom, pos, ref, alt, aco): an alt over more than one base that two or more other alleles in a row spell goes, and
+    its origins pass to them. Alleles that can take part overlap it, so each group of touching alleles is one pandas call.
+    genome: id, seq."""
+    import pandas as pd
+
+    from strandline.plans.genotype import segments
+
+    from . import graph, intervals
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pos", "ref", "alt"], kind="stable").reset_index(drop=True)
+        others = [(p, r, [a]) for p, r, a in zip(rows["pos"], rows["ref"], rows["alt"], strict=True)]
+        tags = [set(x.split(":")) for x in rows["aco"]]
+        gone = set()
+        for i in sorted(range(len(others)), key=lambda i: -len(others[i][1])):
+            pos, ref, (alt,) = others[i]
+            if len(ref) > 1:
+                parts = graph.spelled_by_others(ref, alt, pos, [o if j not in gone else (o[0], "", []) for j, o in enumerate(others)], rows["bases"].iloc[0], rows["first"].iloc[0])
+                if parts:
+                    gone.add(i)
+                    for j, _ in parts:
+                        tags[j] |= tags[i]
+        out = rows.assign(aco=[":".join(sorted(t)) for t in tags]).drop(index=list(gone))
+        return out[["chrom", "pos", "ref", "alt", "aco"]]
+
+    told = intervals.groups(calls.select(F.col("chrom").alias("contig"), "pos", (F.col("pos") + F.length("ref") - 1).alias("end_pos"), "ref", "alt", "aco"), 1)
+    key = F.concat_ws(":", "contig", F.col("group_no").cast("string"))
+    spans = told.groupBy("contig", key.alias("key")).agg((F.min("pos") - 1).alias("start"), F.max("end_pos").alias("end")).withColumnRenamed("contig", "chrom")
+    bases = segments(spans, genome).select("key", "bases", (F.col("start") + 1).alias("first"))
+    ready = told.withColumn("key", key).join(bases, "key").withColumnRenamed("contig", "chrom")
+    return ready.groupBy("key").applyInPandas(run, "chrom string, pos int, ref string, alt string, aco string")

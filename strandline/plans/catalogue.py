@@ -623,3 +623,34 @@ def haplotype_graph(spark, d):
     clusters = told.groupBy("contig", "group_no").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts"))).alias("variants"))
     ready = clusters.select(F.concat_ws("/", "contig", F.col("group_no").cast("string")).alias("cluster"), "variants", F.lit(reference).alias("reference"), F.lit(0).alias("first"), sequence.canonical_kmers(F.lit(reference), 5).alias("kmers"))
     return graph.haplotypes(ready, 5, most=8)
+
+
+@registered("annotate_self", SQL["annotate_similarity"].replace("where variant_id % 2 = 0)\n", ")\n").replace("    where case when", "    where not (p = ap and tr = ar and ta = aa) and case when"))
+def annotate_self(spark, d):
+    own = load(spark, d, "allele")
+    return callsets.annotate(own, own.withColumnRenamed("variant_id", "annotation_id"), skip_same=True)
+
+
+@registered("homopolymer_alleles", f"{TRIM} select variant_id, length(replace(tr, 'A', '')) = 0 and length(replace(ta, 'A', '')) = 0 and abs(length(tr) - length(ta)) between 1 and 3 as change from t where alt <> '*' and alt <> ref")
+def homopolymer_alleles(spark, d):
+    t = alleles.trimmed(load(spark, d, "allele").where("alt <> '*' and alt <> ref")).withColumn("base", F.lit("A"))
+    return t.select("variant_id", alleles.is_homopolymer_change("trimmed_ref", "trimmed_alt", "base", 3).alias("change"))
+
+
+@registered("joint_noise")
+def joint_noise(spark, d):
+    counts = load(spark, d, "talk")
+    terms = inference.diplotype_terms(load(spark, d, "hap"), counts, counts.select("sample").distinct(), MODEL)
+    return inference.joint_noise(inference.drawn_batch(terms, 1000, 1), chains=4)
+
+
+@registered("kmer_subsample")
+def kmer_subsample(spark, d):
+    return inference.subsample_kmers(load(spark, d, "hap"), 0.1, 5, 1)
+
+
+@registered("diplotypes")
+def diplotypes(spark, d):
+    """Two haplotypes of each brand's sequence with the call sets' alleles put in."""
+    calls = callsets.combine(load(spark, d, "callset")).select(F.col("chrom"), F.lit(1).alias("sample"), F.pmod(F.xxhash64("alt"), F.lit(2)).cast("int").alias("hap"), (F.col("pos") - 1).alias("pos"), "ref", "alt")
+    return tools.diplotypes(calls, calls.select(F.col("chrom").alias("id")).distinct().withColumn("seq", F.lit("ACGTTGCATCAG" * 8)))

@@ -100,6 +100,16 @@ def explode_calls(variants: DataFrame, header: Header) -> DataFrame:
     return own.withColumns(parse("_gt")).drop("_i", "_raw", "_gt", "raw", "format")
 
 
+def precise(variants: DataFrame) -> DataFrame:
+    """Variants without the IMPRECISE flag."""
+    return variants.where(~F.map_contains_key("info", "IMPRECISE"))
+
+
+def keep_declared(variants: DataFrame, info: list[str], filters: list[str]) -> DataFrame:
+    """Only these INFO keys and FILTER labels stay."""
+    return variants.withColumn("info", F.map_filter("info", lambda k, _: k.isin(info))).withColumn("filters", F.filter("filters", lambda x: x.isin(filters)))
+
+
 def check_order(variants: DataFrame, lengths: dict[str, int]) -> DataFrame:
     """Rows whose contig is not declared, whose place is past the contig's end, or that repeat a place: what strict readers
     refuse."""

@@ -251,3 +251,40 @@ def test_small_tables(spark, tmp_path):
         tables.contig_order([["1", "2"], ["2", "1"]])
     (tmp_path / "t.tsv").write_text("#chrom\tstart\tend\ts1\ts2\nc\t1\t9\tAB\tC\n")
     assert sorted(tuple(r)[3:] for r in tables.read_transmission(spark, str(tmp_path / "t.tsv")).collect()) == [("s1", "A", "B"), ("s2", "C", None)]
+
+
+def test_redundant_alleles_pass_their_origins_on(spark):
+    genome = spark.createDataFrame([("c", "AACCGGTTAACC")], "id string, seq string")
+    calls = spark.createDataFrame([("c", 3, "C", "T", "x"), ("c", 5, "G", "A", "y"), ("c", 3, "CCG", "TCA", "z"), ("c", 9, "A", "T", "x")], "chrom string, pos int, ref string, alt string, aco string")
+    got = {(r["pos"], r["alt"]): r["aco"] for r in callsets.resolve_redundant(calls, genome).collect()}
+    assert got == {(3, "T"): "x:z", (5, "A"): "y:z", (9, "T"): "x"}
+
+
+def test_joint_noise_finds_the_rate(spark):
+    rng = np.random.default_rng(2)
+    model = inference.CountModel(p=0.5, size=12.0, rate=0.05)
+    haps, counts = [], []
+    for c in range(12):
+        for h in range(2):
+            haps += [(c, h, f"k{c}-{h}-{i}", 1) for i in range(25)]
+        taken = c % 2
+        counts += [("s", f"k{c}-{h}-{i}", int(rng.poisson(24 if h == taken else 0.4))) for h in range(2) for i in range(25)]
+    haps = spark.createDataFrame(haps, "cluster int, hap int, kmer string, mult int")
+    counts = spark.createDataFrame(counts, "sample string, kmer string, n int").where("n > 0")
+    terms = inference.diplotype_terms(haps, counts, counts.select("sample").distinct(), model)
+    rate = one(inference.noise_rates(inference.joint_noise(terms, chains=2, burn_in=50, draws=150, shape=1.0, scale=1.0), 50))["rate"]
+    assert 0.25 < rate < 0.55
+    assert inference.drawn_batch(terms, 5, 1).select("cluster").distinct().count() == 5
+    assert inference.subsample_kmers(haps, 0.0, 3, 1).groupBy("cluster").agg(F.countDistinct("kmer").alias("n")).where("n <> 3").count() == 0
+
+
+def test_vcf_pruning_and_small_predicates(spark, tmp_path):
+    (tmp_path / "in.vcf").write_text(VCF.replace("FL\tGT:GQ", "FL;IMPRECISE\tGT:GQ").replace("##INFO=<ID=FL", '##INFO=<ID=IMPRECISE,Number=0,Type=Flag,Description="x">\n##INFO=<ID=FL'))
+    variants = vcf.read_variants(spark, str(tmp_path / "in.vcf"))
+    assert [r["pos"] for r in vcf.precise(variants).collect()] == [9]
+    kept = vcf.keep_declared(variants, ["FL"], []).orderBy("pos").first()
+    assert kept["info"] == {"FL": ""} and kept["filters"] == []
+    alts = variants.orderBy("pos").select(alleles.without_trailing_missing("alts")).collect()
+    assert [r[0] for r in alts] == [["T", "AC"], []]
+    df = spark.createDataFrame([("", "AA", "A"), ("A", "AAAAA", "A"), ("", "AT", "A")], "r string, a string, base string")
+    assert [r[0] for r in df.select(alleles.is_homopolymer_change("r", "a", "base", 3)).collect()] == [True, False, False]
