@@ -208,10 +208,11 @@ class _Search:
         # a class's smallest document stands for it
         own = has.join(self.classes.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["doc_id", "class"])
         self.nodes = stored(own.select(F.col("doc_id").alias("node"), "signature", "bands", "n_shingles"), "nodes")
-        self.texts = rows.join(self.nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
         members = self.nodes.select("node", F.explode("bands").alias("band"), "n_shingles")
         met = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band")
         self.members = stored(members.join(met, "band"), "members")
+        # the texts of nodes that share a bucket, taken from all texts once
+        self.texts = stored(rows.join(self.members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         self.compared = self.links = None
 
     def compare(self, pairs: DataFrame) -> DataFrame:
@@ -223,7 +224,7 @@ class _Search:
         sides = self.nodes.select("node", "signature")
         signed = pairs.join(sides.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u").join(sides.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
         alive = stored(signed.mapInArrow(pruner(float(self.similarity)), CHECKED), "alive")
-        asked = stored(self.texts.join(alive.select(F.col("u").alias("node")).union(alive.select(F.col("v").alias("node"))).distinct(), "node", "left_semi"), "texts")
+        asked = self.texts.join(alive.select(F.col("u").alias("node")).union(alive.select(F.col("v").alias("node"))).distinct(), "node", "left_semi")
         full = alive.join(asked.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v").join(asked.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
         new = stored(full.select("u", "v", "tu", "tv").mapInArrow(confirmer(self.k, self.similarity.numerator, self.similarity.denominator), CHECKED).distinct(), "links")
         self.links = new if self.links is None else self.links.union(new)
