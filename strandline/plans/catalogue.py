@@ -42,8 +42,8 @@ def kmer_count(spark, d):
 
 @registered(
     "kmer_composition",
-    f"""{duck('occ')} select length(kmer) - length(replace(kmer, 'A', '')) as n_a, length(kmer) - length(replace(kmer, 'C', '')) as n_c, length(kmer) - length(replace(kmer, 'G', '')) as n_g,
-    length(kmer) - length(replace(kmer, 'T', '')) as n_t, count(*) as n_kmers from occ group by all""",
+    f"""{duck('occ')} select cast(length(kmer) - length(replace(kmer, 'A', '')) as int) as n_a, cast(length(kmer) - length(replace(kmer, 'C', '')) as int) as n_c, cast(length(kmer) - length(replace(kmer, 'G', '')) as int) as n_g,
+    cast(length(kmer) - length(replace(kmer, 'T', '')) as int) as n_t, count(*) as n_kmers from occ group by all""",
 )
 def kmer_composition(spark, d):
     return kmers.composition(load(spark, d, "occ"))
@@ -292,8 +292,8 @@ def allele_trim(spark, d):
 
 @registered(
     "allele_type",
-    f"""{TRIM} select variant_id, case when base_type = 'Complex' and inv then 'Inversion' else base_type end as type, case when alt = '*' then 0 when alt = ref then length(alt) else length(ta) end as length,
-    case when alt = '*' or alt = ref then 0 else length(ta) - length(tr) end as sv_length from ty""",
+    f"""{TRIM} select variant_id, case when base_type = 'Complex' and inv then 'Inversion' else base_type end as type, cast(case when alt = '*' then 0 when alt = ref then length(alt) else length(ta) end as int) as length,
+    cast(case when alt = '*' or alt = ref then 0 else length(ta) - length(tr) end as int) as sv_length from ty""",
 )
 def allele_type(spark, d):
     return alleles.allele_type(load(spark, d, "allele")).select("variant_id", "type", "length", "sv_length")
@@ -349,7 +349,7 @@ def origin_filter(spark, d):
     return callsets.origin_filter(combined, [*tags, "PROMO BRUSHED STEEL"])
 
 
-@registered("sv_filter", f"{TRIM} select variant_id, ref, alt, pos, chrom, length(ta) - length(tr) as sv_length from t where alt <> '*' and alt <> ref and length(alt) <= 20 and length(ta) - length(tr) between -2 and 3")
+@registered("sv_filter", f"{TRIM} select variant_id, ref, alt, pos, chrom, cast(length(ta) - length(tr) as int) as sv_length from t where alt <> '*' and alt <> ref and length(alt) <= 20 and length(ta) - length(tr) between -2 and 3")
 def sv_filter(spark, d):
     return callsets.sv_filter(load(spark, d, "allele").where("alt <> '*' and alt <> ref"), 20, -2, 3)
 
