@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-        now = stored(_stars(_stars(now, larger=True), larger=False), "stars")
+        last, now = now, stored(_stars(_stars(now, larger=True), larger=False), "stars")
+        dropped(last)
     least = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(least)

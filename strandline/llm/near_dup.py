@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 from .components import components
 from .tokens import ODD, chunks, mix, split_words, word_hashes
 
@@ -200,33 +200,39 @@ class _Search:
     """One run: the nodes with their bands, and what was compared and linked so far, all in stored tables."""
 
     def __init__(self, rows: DataFrame, k: int, similarity: Fraction) -> None:
-        self.k, self.similarity = k, similarity
+        self.k, self.similarity, self.scratch = k, similarity, []
         bands, length = banding(float(similarity))
         self.signed = stored(rows.mapInArrow(signer(k, bands, length), SIGNED), "signed")
         has = self.signed.where("n_shingles > 0 and doc_id is not null")
         self.classes = stored(has.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
         # a class's smallest document stands for it
         own = has.join(self.classes.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["doc_id", "class"])
-        self.nodes = stored(own.select(F.col("doc_id").alias("node"), "signature", "bands", "n_shingles"), "nodes")
+        self.nodes = self.held(own.select(F.col("doc_id").alias("node"), "signature", "bands", "n_shingles"), "nodes")
         members = self.nodes.select("node", F.explode("bands").alias("band"), "n_shingles")
         met = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band")
-        self.members = stored(members.join(met, "band"), "members")
+        self.members = self.held(members.join(met, "band"), "members")
         # the texts of nodes that share a bucket, taken from all texts once
-        self.texts = stored(rows.join(self.members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
+        self.texts = self.held(rows.join(self.members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         self.compared = self.links = None
 
+    def held(self, df: DataFrame, name: str) -> DataFrame:
+        """A stored table that the search alone reads."""
+        out = stored(df, name)
+        self.scratch.append(out)
+        return out
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u < v) that were not compared before, through pruning and confirmation; returns the new links."""
         if self.compared is not None:
             pairs = pairs.join(self.compared, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
+        pairs = self.held(pairs, "pairs")
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         sides = self.nodes.select("node", "signature")
         signed = pairs.join(sides.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u").join(sides.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
-        alive = stored(signed.mapInArrow(pruner(float(self.similarity)), CHECKED), "alive")
+        alive = self.held(signed.mapInArrow(pruner(float(self.similarity)), CHECKED), "alive")
         asked = self.texts.join(alive.select(F.col("u").alias("node")).union(alive.select(F.col("v").alias("node"))).distinct(), "node", "left_semi")
         full = alive.join(asked.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v").join(asked.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-        new = stored(full.select("u", "v", "tu", "tv").mapInArrow(confirmer(self.k, self.similarity.numerator, self.similarity.denominator), CHECKED).distinct(), "links")
+        new = self.held(full.select("u", "v", "tu", "tv").mapInArrow(confirmer(self.k, self.similarity.numerator, self.similarity.denominator), CHECKED).distinct(), "links")
         self.links = new if self.links is None else self.links.union(new)
         return new
 
@@ -236,7 +242,7 @@ class _Search:
             return self.members.withColumn("comp", F.col("node"))
         told = self.members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", F.col("node"))).drop("component")
         mixed = told.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band")
-        return stored(told.join(mixed, "band"), "open")
+        return self.held(told.join(mixed, "band"), "open")
 
     def near(self) -> str:
         """Sizes that can be of similar sets."""
@@ -253,15 +259,15 @@ class _Search:
         """(members that may still have a link to another component of their bucket; node, shingle: those of their
         shingles that occur in another component at all)."""
         nodes = around.select("node", "comp").distinct()
-        shingles = stored(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shingler(self.k), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
+        shingles = self.held(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shingler(self.k), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
         common = shingles.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle")
-        shared = stored(shingles.join(common, "shingle").select("node", "shingle"), "shared")
+        shared = self.held(shingles.join(common, "shingle").select("node", "shingle"), "shared")
         left = around.join(shared.groupBy("node").agg(F.count("*").alias("shared")), "node")
         num, den = self.similarity.numerator, self.similarity.denominator
         for _ in range(2):
             # the similarity to a set of n is at most shared / (n_shingles + n - shared), and n is at least `shared`
             told = left.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-            left = stored(left.join(told, "band").where(f"{den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least", "a", "b"), "bounded")
+            left = self.held(left.join(told, "band").where(f"{den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least", "a", "b"), "bounded")
         return left, shared
 
     def all_left(self, around: DataFrame, shared: DataFrame) -> DataFrame:
@@ -292,7 +298,9 @@ class _Search:
         told = components(self.links)
         around = self.open(told)
         self.compare(self.all_left(*self.bounded(around)))
-        return stored(components(self.links), "components")
+        told = stored(components(self.links), "components")
+        dropped(*self.scratch)
+        return told
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ from .common import stored
 from .tokens import chunks, split_words
 
 #: Words whose ids a task remembers before it starts anew, and words looked up together.
-REMEMBERED, TOGETHER = 400_000, 20_000
+REMEMBERED, TOGETHER = 300_000, 10_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
@@ -68,11 +68,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.stemmer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.stemmer = Tokenizer(self.tokenizer.model)  # the same model, held once
         for t in (self.tokenizer, self.stemmer):
             t.no_padding()
             t.no_truncation()
-        self.stemmer.normalizer = None
         self.stemmer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)

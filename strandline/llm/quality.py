@@ -75,6 +75,16 @@ def features(text: pa.Array) -> tuple[np.ndarray, ...]:
     return buckets, begins, index, offsets, pairs, owner
 
 
+def zipped(values: np.ndarray) -> bytes:
+    """How many, then the values, compressed: a sample of texts with thousands of features each goes to the driver."""
+    return len(values).to_bytes(4, "little") + pa.compress(values.astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unzipped(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(pa.decompress(data[4:], 4 * n, codec="zstd", asbytes=True), "<u4")
+
+
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct buckets and their counts of each labelled text."""
     for batch in batches:
@@ -88,12 +98,13 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.repeat(begins[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
                 bins = np.bincount(np.concatenate((buckets[at], pairs[cuts[i] : cuts[i + 1]])), weights=np.concatenate((np.repeat(n, sizes), np.ones(cuts[i + 1] - cuts[i]))), minlength=BUCKETS)
                 some = np.flatnonzero(bins)
-                rows.append((some.astype("<u4").tobytes(), bins[some].astype("<u4").tobytes()))
+                rows.append((zipped(np.diff(some, prepend=0)), zipped(bins[some])))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["doc_id", "y", "buckets", "counts"])
 
 
-def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
-    """(a number for each bucket, the bias): the difference of the two classes' outputs."""
+def train(examples: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
+    """(a number for each bucket, the bias): the difference of the two classes' outputs. Examples: label, zipped steps between
+    the buckets, zipped counts."""
     draw = np.random.default_rng(SEED)
     vectors = (draw.random((BUCKETS, DIMENSIONS), np.float32) - np.float32(0.5)) / DIMENSIONS
     output, bias = np.zeros((2, DIMENSIONS), np.float32), np.zeros(2, np.float32)
@@ -101,6 +112,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarra
     for _ in range(EPOCHS):
         for i in draw.permutation(len(examples)).tolist():
             y, buckets, counts = examples[i]
+            buckets, counts = np.cumsum(unzipped(buckets), dtype=np.int64), unzipped(counts)
             share = (counts / max(1, counts.sum())).astype(np.float32)
             rate = np.float32(RATE * (1 - done / steps))
             done += 1
@@ -120,7 +132,7 @@ def train(examples: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", size: int = SAMPLE) -> tuple[np.ndarray, float]:
     sample = labelled_sample(docs, labels, target, size).mapInArrow(counter, "doc_id bigint, y int, buckets binary, counts binary")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["buckets"], r["counts"]))  # at most `size` labelled ids
-    return train([(r["y"], np.frombuffer(r["buckets"], "<u4"), np.frombuffer(r["counts"], "<u4")) for r in rows])
+    return train([(r["y"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows])
 
 
 def scorer(weights: np.ndarray, bias: float):

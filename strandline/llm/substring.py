@@ -28,7 +28,7 @@ from .tokens import chunks, rolling, split_words, word_hashes
 
 NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
-FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 8 << 20
+FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 4 << 20
 WORD = re.compile(r"[^ \t-\r]+")
 PACKED = "bucket int, n int, n_docs int, docs binary, counts binary, hashes binary, places binary"
 COVERED = "id bigint, crc bigint, places binary"
@@ -178,7 +178,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     # only where ids repeat does a row need more than its id to be told from others
     repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if repeated else F.lit(0).cast("long"))
-    buckets = max(48, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
+    buckets = max(16, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
     covered = packed.groupBy("bucket").applyInArrow(settle, COVERED)
     lists = covered.groupBy("id", "crc").agg(F.collect_list("places").alias("lists"))
