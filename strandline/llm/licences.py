@@ -61,11 +61,11 @@ BIGRAMS = "if(size({0}) > 1, transform(sequence(0, size({0}) - 2), i -> concat({
 
 
 def background(docs: DataFrame, size: int = BACKGROUND, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """At most `size` lines, cut to 400 characters for the fit alone, of documents drawn by a hash of their ids; lines
-    that hold a whole template's words are not taken."""
+    """At most `size` lines of up to 2,000 characters, of documents drawn by a hash of their ids, for the fit alone; lines
+    that hold a template's words are not taken."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     drawn = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(size // 4)
-    lines = rows.join(F.broadcast(drawn.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0").select(F.left("line", F.lit(400)).alias("line"))
+    lines = rows.join(F.broadcast(drawn.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0 and length(line) <= 2000")
     found = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(size).collect()]
     own = [frozenset(terms_of(t)) for ts in TEMPLATES.values() for t in ts]
     return [x for x in found if not any(len(t & set(terms_of(x))) >= CONFIRM * len(t) for t in own)]

@@ -7,7 +7,8 @@ its neighbours that only clean documents hold) are learned from labelled documen
 then taken greedily, each for toxic documents that those before it leave unexplained, so words that merely stand beside
 toxic ones stay out. The sum of weights, also divided by the text's length, goes to a logistic regression.
 
-The sample holds at most `size` labelled ids outside the held-out fold (a parameter; nothing else is bounded by it).
+The sample holds at most `size` labelled ids outside the held-out fold (a parameter; nothing else is bounded by it); the
+fit looks at its CANDIDATES commonest toxic words and takes at most LEXICON of them.
 Null and empty texts match nothing and get the score of a text without matches. Without labels or toxic examples all
 scores are 0. Repeated rows each give a row; extra columns are ignored.
 """
