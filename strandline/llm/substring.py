@@ -3,8 +3,8 @@
 Map tasks hash every window and send, per bucket of the hash, one packed row of (hash, document, place). What a task
 sees twice it settles itself: of equal windows it sends those of its smallest document only and marks the others as
 covered, so a window that a third of the documents share costs each reducer a row per task, not per document. A reducer
-sorts one bucket, marks windows that also start in a smaller document, and returns places per document; these merge
-into maximal intervals. Buckets grow in number with the input, so that one fits in a worker.
+sorts one bucket, marks windows that also start in a smaller document, and returns their places, packed by parts of the
+document ids; a second one gathers a document's places, which merge into maximal intervals. Buckets grow in number with the input, so that one fits in a worker.
 
 Windows are equal if their 64-bit hashes are. Nulls, empty texts: no words, nothing removed. Texts shorter than a window
 stay. A null doc_id counts as larger than every other. Rows that repeat a doc_id don't cover one another; identical rows
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, plan_bytes
-from .tokens import chunks, rolling, split_words, word_hashes
+from .tokens import chunks, mix, rolling, split_words, word_hashes
 
 NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
 FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 4 << 20
 WORD = re.compile(r"[^ \t-\r]+")
 PACKED = "bucket int, n int, n_docs int, docs binary, counts binary, hashes binary, places binary"
+SETTLED = "part int, n int, ids binary, crcs binary, places binary"
 COVERED = "id bigint, crc bigint, places binary"
 INTERVALS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 SPLIT = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("removed", INTERVALS)]
@@ -118,19 +119,38 @@ def _by_document(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> pa.Ta
     return pa.table({"id": pa.array(ids[new]), "crc": pa.array(crcs[new]), "places": pa.array([places[a:b].astype("<u4").tobytes() for a, b in zip(new, ends, strict=True)], pa.binary())})
 
 
-def settle(bucket: pa.Table) -> pa.Table:
-    """The covered windows of one bucket, by document."""
-    rows = bucket.to_pylist()
-    done = [_unpack(r) for r in rows if not r["hashes"]]
-    open_ = [(*_unpack(r), np.frombuffer(r["hashes"], np.uint64)) for r in rows if r["hashes"]]
-    if open_:
-        ids, crcs, places, hashes = (np.concatenate(x) for x in zip(*open_, strict=True))
-        order = np.lexsort((ids, hashes))
-        h, d = hashes[order], ids[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        covered = order[d > d[first][np.cumsum(first) - 1]]
-        done.append((ids[covered], crcs[covered], places[covered]))
-    return _by_document(*(np.concatenate(x) for x in zip(*done, strict=True)))
+def settler(parts: int):
+    def settle(bucket: pa.Table) -> pa.Table:
+        """The covered windows of one bucket, packed by parts of the document ids."""
+        rows = bucket.to_pylist()
+        done = [_unpack(r) for r in rows if not r["hashes"]]
+        open_ = [(*_unpack(r), np.frombuffer(r["hashes"], np.uint64)) for r in rows if r["hashes"]]
+        if open_:
+            ids, crcs, places, hashes = (np.concatenate(x) for x in zip(*open_, strict=True))
+            order = np.lexsort((ids, hashes))
+            h, d = hashes[order], ids[order]
+            first = np.concatenate(([True], h[1:] != h[:-1]))
+            covered = order[d > d[first][np.cumsum(first) - 1]]
+            done.append((ids[covered], crcs[covered], places[covered]))
+        ids, crcs, places = (np.concatenate(x) for x in zip(*done, strict=True))
+        part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((places, crcs, ids, part))
+        ids, crcs, places, part = ids[order], crcs[order], places[order], part[order]
+        out = []
+        for p in np.unique(part).tolist():
+            a, b = np.searchsorted(part, (p, p + 1)).tolist()
+            out.append((p, b - a, _zip(ids[a:b]), _zip(crcs[a:b]), _zip(places[a:b].astype("<u4"))))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        columns = zip(*out, strict=True) if out else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["part", "n", "ids", "crcs", "places"])
+
+    return settle
+
+
+def gather(part: pa.Table) -> pa.Table:
+    """One row for each document of a part that has covered windows: all their places."""
+    found = [(_unzip(r["ids"], np.int64, r["n"]), _unzip(r["crcs"], np.int64, r["n"]), _unzip(r["places"], np.uint32, r["n"])) for r in part.to_pylist()]
+    return _by_document(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def cutter(width: int):
@@ -149,16 +169,16 @@ def cutter(width: int):
             for part in chunks(batch, "text"):
                 n_words = np.diff(split_words(part.column("text"))[0])
                 kept, removed = part.column("text"), [[]] * part.num_rows
-                lists = part.column("lists")
-                some = np.flatnonzero(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                places = part.column("places")
+                some = np.flatnonzero(pc.is_valid(places).to_numpy(zero_copy_only=False))
                 if len(some):
                     kept = kept.to_pylist()
                     for i in some.tolist():
-                        starts = np.concatenate([np.frombuffer(x, "<u4") for x in lists[i].as_py()]).astype(np.int64)
+                        starts = np.frombuffer(places[i].as_py(), "<u4").astype(np.int64)
                         edge = np.bincount(starts, minlength=n_words[i] + 1)[: n_words[i] + 1] > 0
                         since = np.maximum.accumulate(np.where(edge, np.arange(n_words[i] + 1), -width))
                         kept[i], removed[i] = cut(kept[i], (np.arange(n_words[i] + 1) - since < width)[:-1])
-                through = [n for n in part.schema.names if n != "lists"]
+                through = [n for n in part.schema.names if n != "places"]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in through), pa.array(kept, pa.string()) if len(some) else kept, pa.array(n_words, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                     names=[*through, "kept_text", "n_words", "removed"],
@@ -180,7 +200,6 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     rows = rows.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if repeated else F.lit(0).cast("long"))
     buckets = max(16, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
-    covered = packed.groupBy("bucket").applyInArrow(settle, COVERED)
-    lists = covered.groupBy("id", "crc").agg(F.collect_list("places").alias("lists"))
-    joined = rows.join(lists.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "lists")
+    covered = packed.groupBy("bucket").applyInArrow(settler(buckets), SETTLED).groupBy("part").applyInArrow(gather, COVERED)
+    joined = rows.join(covered.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "places")
     return joined.mapInArrow(cutter(width), T.StructType([*own.schema.fields, *SPLIT]))
