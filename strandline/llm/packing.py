@@ -14,7 +14,6 @@ ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -29,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import stored
 from .tokens import chunks, split_words
 
-#: Words whose ids a task remembers before it starts anew, and words looked up together.
-REMEMBERED, TOGETHER = 300_000, 10_000
+#: Stems whose ids a task remembers before it starts anew, stems looked up together, and bytes of text worked on at once.
+REMEMBERED, TOGETHER, PART_BYTES = 400_000, 20_000, 4 << 20
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"
 PLACED = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 
@@ -40,7 +39,7 @@ class Remembered:
 
     def __init__(self) -> None:
         self.slots: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.sizes, self.firsts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         self.slots.update(zip(texts, range(len(self.slots), len(self.slots) + len(texts)), strict=True))
@@ -50,19 +49,24 @@ class Remembered:
     def of(self, texts: list[str]) -> np.ndarray:
         return np.fromiter(map(self.slots.__getitem__, texts), np.int64, len(texts))
 
-    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids of these slots, one after the other; ids of each)."""
-        count = self.sizes[slots]
-        before = np.cumsum(count) - count
-        return self.ids[np.repeat(self.firsts[slots] - before, count) + np.arange(count.sum())], count
+    def new(self, texts: list[str]) -> list[str]:
+        return [x for x in texts if x not in self.slots]
+
+
+def gathered(ids: np.ndarray, firsts: np.ndarray, sizes: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids of these slots, one after the other; ids of each)."""
+    count = sizes[slots]
+    before = np.cumsum(count) - count
+    return ids[np.repeat(firsts[slots] - before, count) + np.arange(count.sum())], count
 
 
 class WordTokenizer:
     """Ids of whole texts from a tokenizer file whose pre-tokens never cross ASCII white space and whose normaliser lowers
-    case: each distinct word is encoded once and remembered. A plain word (small Latin letters, then a comma or a full stop
-    or nothing) needs neither normaliser nor pattern, and its stem is looked up alone, by the same model."""
+    case: each distinct word of a batch is encoded once. A plain word is a stem of small Latin letters, then a comma or a
+    full stop or nothing; it needs neither normaliser nor pattern, so its stem goes to the same model alone and is
+    remembered. Other words take the whole way."""
 
-    PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([,.]?)")
+    PLAIN = "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
@@ -77,37 +81,50 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.marks = {x: self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."}
+        marks = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in ",."]
         probe = ["thing", "a", "\u00e9t\u00e9", "zzq"]
-        self.stems_work = all(len(x) == 1 for x in self.marks.values()) and all(
+        self.stems_work = all(len(x) == 1 for x in marks) and all(
             self.stemmer.encode(f"{a} {b}", add_special_tokens=False).ids == [i for x in (a, b) for i in self.tokenizer.encode(x + ",", add_special_tokens=False).ids[:-1]] for a in probe for b in probe
         )
+        self.marks = np.array([x[0] for x in marks], np.uint32)
         self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.words, self.stems = Remembered(), Remembered()
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.words.slots) > REMEMBERED:
-            self.words, self.stems = Remembered(), Remembered()
-        new = [w for w in words if w not in self.words.slots]
-        met = [self.PLAIN.fullmatch(w) for w in new] if self.stems_work else [None] * len(new)
-        plain = [m for m in met if m]
-        stems = [m[1] for m in plain]
-        fresh = [x for x in dict.fromkeys(stems) if x not in self.stems.slots]
-        if fresh:
+        self.stems, self.others = Remembered(), Remembered()
+
+    def learn_stems(self, stems: list[str]) -> None:
+        if len(self.stems.slots) > REMEMBERED:
+            self.stems = Remembered()
+        if new := self.stems.new(stems):
             # each stem is one pre-token, which the model closes by its last id
-            parts = [np.array(self.stemmer.encode_batch_fast([" ".join(fresh[i : i + TOGETHER])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(fresh), TOGETHER)]
+            parts = [np.array(self.stemmer.encode_batch_fast([" ".join(new[i : i + TOGETHER])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(new), TOGETHER)]
             ids = np.concatenate(parts)
-            self.stems.add(fresh, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
-        if plain:
-            ids, sizes = self.stems.gather(self.stems.of(stems))
-            mark = np.array([self.marks[m[2]][0] if m[2] else -1 for m in plain])
-            ends = np.cumsum(sizes)
-            self.words.add([m[0] for m in plain], np.insert(ids, ends[mark >= 0], mark[mark >= 0].astype(np.uint32)), sizes + (mark >= 0))
-        rest = [w for w, m in zip(new, met, strict=True) if not m]
-        for i in range(0, len(rest), TOGETHER // 8):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(rest[i : i + TOGETHER // 8], add_special_tokens=False)]
+            self.stems.add(new, ids, np.diff(np.flatnonzero(self.closes[ids]), prepend=-1))
+
+    def learn_others(self, words: list[str]) -> None:
+        if len(self.others.slots) > REMEMBERED // 4:
+            self.others = Remembered()
+        new = self.others.new(words)
+        for i in range(0, len(new), TOGETHER // 8):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + TOGETHER // 8], add_special_tokens=False)]
             sizes = np.fromiter(map(len, found), np.int64, len(found))
-            self.words.add(rest[i : i + TOGETHER // 8], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+            self.others.add(new[i : i + TOGETHER // 8], np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes)
+
+    def spell(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, how many) of distinct words."""
+        mark = pc.if_else(pc.ends_with(words, ","), 0, pc.if_else(pc.ends_with(words, "."), 1, -1))
+        stems = pc.if_else(pc.greater_equal(mark, 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.match_substring_regex(stems, self.PLAIN).to_numpy(zero_copy_only=False) & self.stems_work
+        coded = stems.filter(pa.array(plain)).dictionary_encode()
+        distinct, rest = coded.dictionary.to_pylist(), words.filter(pa.array(~plain)).to_pylist()
+        self.learn_stems(distinct)
+        self.learn_others(rest)
+        ids, count = gathered(self.stems.ids, self.stems.firsts, self.stems.sizes, self.stems.of(distinct)[coded.indices.to_numpy()]) if distinct else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        mark = mark.to_numpy(zero_copy_only=False)[plain].astype(np.int64)
+        ids, count = np.insert(ids, np.cumsum(count)[mark >= 0], self.marks[mark[mark >= 0]]), count + (mark >= 0)
+        more, other = gathered(self.others.ids, self.others.firsts, self.others.sizes, self.others.of(rest)) if rest else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        sizes, firsts = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        sizes[plain], sizes[~plain] = count, other
+        firsts[plain], firsts[~plain] = np.cumsum(count) - count, len(ids) + np.cumsum(other) - other
+        return np.concatenate((ids, more)), firsts, sizes
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by `end`; where each text begins, and the total)."""
@@ -115,10 +132,7 @@ class WordTokenizer:
             text = pc.ascii_lower(text)
         offsets, words = split_words(text)
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn(distinct)
-        slot = self.words.of(distinct)[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        ids, count = self.words.gather(slot) if len(words) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, count = gathered(*self.spell(coded.dictionary), coded.indices.to_numpy())
         before = np.concatenate(([0], np.cumsum(count)))[offsets]
         return np.insert(ids, before[1:], np.uint32(end)), before + np.arange(len(offsets))
 
@@ -127,7 +141,7 @@ def cutter(path: str, capacity: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, part_id = WordTokenizer(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", PART_BYTES):
                 ids, bounds = tokenizer.encode(part.column("text"), end)
                 view = memoryview(ids.astype("<u4", copy=False)).cast("B")
                 total = np.diff(bounds)
