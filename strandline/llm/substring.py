@@ -200,6 +200,8 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     rows = rows.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if repeated else F.lit(0).cast("long"))
     buckets = max(16, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
-    covered = packed.groupBy("bucket").applyInArrow(settler(buckets), SETTLED).groupBy("part").applyInArrow(gather, COVERED)
+    # as many tasks as buckets, so that what one reads doesn't grow with the input
+    settled = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settler(buckets), SETTLED)
+    covered = settled.repartition(buckets, "part").groupBy("part").applyInArrow(gather, COVERED)
     joined = rows.join(covered.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "places")
     return joined.mapInArrow(cutter(width), T.StructType([*own.schema.fields, *SPLIT]))
