@@ -1,14 +1,14 @@
 """Licence scans: a trained paragraph classifier, in DataFrame operations only on the path of the data.
 
 Paragraphs are the lines of a text. Features are the words and word bigrams of a fixed vocabulary, that of the templates
-below without what background paragraphs of the corpus also hold. A softmax regression over licence families and a class
-of unknown paragraphs is fitted by gradient descent on the driver: on the templates, on parts of them (so that cut
-notices are known), and on background paragraphs; its temperature is then chosen on parts held out of the fit, which
-calibrates the unknown class. Its weights are a small table: vocabulary x classes, bounded by the templates.
+below; common ones are left to the fit to weigh down. A softmax regression over licence families and a class of unknown
+paragraphs is fitted by gradient descent on the driver: on the templates, on parts of them (so that cut notices are
+known), and on background paragraphs that look like no licence; its temperature is then chosen on parts held out of the
+fit, which calibrates the unknown class. Its weights are a small table: vocabulary x classes, bounded by the templates.
 
-Scoring: a paragraph without a vocabulary word is unknown by construction, so whole texts are first tested for one, then
-their lines; the features of the rest meet the weights in a broadcast join and add up per line. A predicted family is
-confirmed by comparison with its templates: enough of the bigrams of a template, or of the line, must be in the other.
+Scoring: a predicted family is confirmed by comparison with its templates: enough of the bigrams of a template, or of the
+line, must be in the other, and never fewer than two. So whole texts are first tested for a bigram of any template, then
+their lines for two, which loses none; the features of the rest meet the weights in a broadcast join and add up per line.
 
 Null and empty texts have no licence. Repeated rows each give a row; rows of one doc_id are judged by their own text. An
 empty table gives no rows. Extra columns are ignored. Ties between families go to the first in the alphabet.
@@ -42,6 +42,8 @@ NEAR_MISSES = [
     "The driver showed a license at the border.", "A fishing license is required in this state.", "The museum is free and open to the public.", "Version 2.0 of the report will be published in spring.", "The contract was signed under the terms agreed before.",
     "Permission was granted by the city.", "The general public was invited.", "This work is not yet finished.", "Copyright law is taught at the faculty.", "You may use the kitchen.", "Released in 1994, the film won a prize.", "The software was distributed to all schools.",
 ]
+#: Words that say nothing about a licence, alone or in pairs.
+FILLERS = frozenset("a an and any are as at be been but by can for from has have if in is it its may must no not of on or other shall such that the their this to under was were which will with you your".split())
 UNKNOWN, BACKGROUND, STEPS, SEED = "unknown", 2000, 400, 3
 CONFIRM = 0.6
 
@@ -57,18 +59,34 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
-BIGRAMS = "if(size({0}) > 1, transform(sequence(0, size({0}) - 2), i -> concat({0}[i], ' ', {0}[i + 1])), cast(array() as array<string>))"
+def pairs(ws: Column) -> Column:
+    return F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def template_bigrams() -> list[str]:
+    return sorted({t for ts in TEMPLATES.values() for x in ts for t in terms_of(x) if " " in t})
+
+
+LICENCE_BIGRAMS = frozenset(t for t in template_bigrams() if not FILLERS.issuperset(t.split())) - {t for x in NEAR_MISSES for t in terms_of(x)}
+TEMPLATE_WORDS = [frozenset(terms_of(x)) - FILLERS for ts in TEMPLATES.values() for x in ts]
+
+
+def licence_like(line: str) -> bool:
+    """Whether a line holds a template's bigram that says something, or most of its words that do are a template's, as in
+    `license: MIT`: it may be a notice, so it can't teach what none is."""
+    terms = set(terms_of(line))
+    told = {t for t in terms if " " not in t} - FILLERS
+    return bool(terms & LICENCE_BIGRAMS) or any(told and len(told & t) >= CONFIRM * len(told) for t in TEMPLATE_WORDS)
 
 
 def background(docs: DataFrame, size: int = BACKGROUND, doc_id: str = "doc_id", text: str = "text") -> list[str]:
     """At most `size` lines of up to 2,000 characters, of documents drawn by a hash of their ids, for the fit alone; lines
-    that hold a template's words are not taken."""
+    that look like a licence are not taken."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     drawn = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(size // 4)
     lines = rows.join(F.broadcast(drawn.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0 and length(line) <= 2000")
     found = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(size).collect()]
-    own = [frozenset(terms_of(t)) for ts in TEMPLATES.values() for t in ts]
-    return [x for x in found if not any(len(t & set(terms_of(x))) >= CONFIRM * len(t) for t in own)]
+    return [x for x in found if not licence_like(x)]
 
 
 class Model:
@@ -77,8 +95,7 @@ class Model:
     def __init__(self, lines: list[str]) -> None:
         draw = np.random.default_rng(SEED)
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
-        common = {t for line in lines for t in terms_of(line)}
-        self.vocabulary = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms_of(x)} - common)
+        self.vocabulary = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms_of(x)})
         at = {t: i for i, t in enumerate(self.vocabulary)}
         fit, held = [], []
         for c, family in enumerate(self.classes[:-1]):
@@ -127,14 +144,16 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     template). A line is listed if a family is likelier than each other class and its templates confirm it."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    own = F.array(*(F.lit(t) for t in model.vocabulary if " " not in t))
+    own = F.array(*map(F.lit, template_bigrams()))
+    # the words are bound once, as `pairs` names them often
+    bigrams = lambda x: F.transform(F.array(words(x)), lambda ws: F.struct(ws.alias("ws"), pairs(ws).alias("bs")))[0]
     lines = (
-        rows.where(F.arrays_overlap(words("text"), own))
+        rows.where(F.arrays_overlap(bigrams("text")["bs"], own))
         .select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
         .distinct()
-        .withColumn("ws", words("paragraph"))
-        .where(F.arrays_overlap("ws", own))
-        .withColumn("bs", F.expr(BIGRAMS.format("ws")))
+        .withColumn("_b", bigrams("paragraph"))
+        .where(F.size(F.array_intersect("_b.bs", own)) >= 2)
+        .select("doc_id", "key", "line", "paragraph", "_b.ws", "_b.bs")
     )
     # bounded by the templates: some hundred terms, a column for each class
     table = F.broadcast(spark.createDataFrame([(t, [float(x) for x in w]) for t, w in zip(model.vocabulary, model.weights, strict=True)], "term string, w array<double>"))

@@ -167,6 +167,29 @@ def test_licence_scores_match_brute_force(spark):
     assert {r["doc_id"]: (r["family"], round(r["probability"], 6)) for r in licences.scan(docs, model).collect()} == expected
 
 
+def test_licences_of_a_corpus_full_of_licence_words(spark):
+    draw = random.Random(6)
+    common = "It was released to the public under the bridge, and the permission of any person is free for this work."
+    heads = ["MIT License", "The MIT License (MIT)", "license: MIT", "Apache License", "Version 2.0"]
+    rows = [(i, f"{draw.choice(heads)}\n{prose(draw, 12)}\n{common}") for i in range(200)]
+    planted = {1000: "mit", 1001: "apache"}
+    docs = frame(spark, [*rows, (1000, f"{prose(draw, 9)}\nReleased under the MIT License."), (1001, "Licensed under the Apache License, Version 2.0."), (1002, common)])
+    model = licences.fit(docs)
+    assert {t for ts in licences.TEMPLATES.values() for x in ts for t in licences.terms_of(x)} == set(model.vocabulary)
+    assert not {*heads} & {*licences.background(docs)}
+    got = {r["doc_id"]: r["families"] for r in licences.scan_documents(docs, model).collect()}
+    assert {i: got[i] for i in planted} == {i: [f] for i, f in planted.items()} and got[1002] == []
+
+
+def test_licence_line_of_bigrams_alone_is_scored(spark):
+    model = licences.Model([])
+    model.vocabulary, model.weights = ["mit license", "the mit", "under the"], np.zeros((3, len(model.classes)))
+    model.bias = np.zeros(len(model.classes))
+    model.weights[:, model.classes.index("mit")] = 5
+    docs = frame(spark, [(1, "Released under the MIT License.")])
+    assert [r["family"] for r in licences.scan(docs, model).collect()] == ["mit"]
+
+
 def test_pipeline(spark, labelled, tmp_path):
     rows, labels = labelled
     draw = random.Random(5)
