@@ -122,7 +122,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 3, width: int =
     """Proximity matches: (doc_id, item_id, at), where the rarest terms of a window stand within `slop` words of their
     places in the item, each at its own shift; `at` is the place of the item's first word by the first term's shift.
 
-    Postings are dealt by shift in blocks of slop + 1; a list meets its own block and the next, so no pair is missed.
+    Postings are dealt by shift in blocks of slop + 1: the first term to its own block, the others to theirs and those on
+    both sides, so that all terms within `slop` of a first term stand in its block, on whichever side of it.
     """
     rows = rows_of(docs, doc_id, text)
     items = items_of(benchmark)
@@ -132,7 +133,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, slop: int = 3, width: int =
     looked = windowed.select("item", "item_id", "terms", F.posexplode("windows").alias("window", "ps")).select("item", "item_id", "window", F.size("ps").alias("k"), F.posexplode("ps").alias("j", "p"), "terms").select("item", "item_id", "window", "k", "j", "p", F.expr("terms[p]").alias("term"))
     index = stored(postings(rows, looked, measured), "postings")
     shifts = index.join(small(looked, measured * lookups), "term").select("row", "item", "item_id", "window", "k", "j", (F.col("pos") - F.col("p")).alias("shift"))
-    dealt = shifts.withColumn("block", F.explode(F.array(F.floor(F.col("shift") / (slop + 1)), F.floor(F.col("shift") / (slop + 1)) - 1)))
+    own = F.floor(F.col("shift") / (slop + 1))
+    dealt = shifts.withColumn("block", F.explode(F.when(F.col("j") == 0, F.array(own)).otherwise(F.array(own - 1, own, own + 1))))
     met = dealt.groupBy("row", "item", "item_id", "window", "block", "k").agg(F.sort_array(F.collect_set(F.struct("j", "shift"))).alias("found"))
     hit = met.withColumn("at", F.explode(F.expr("filter(filter(found, x -> x.j = 0).shift, a -> size(array_distinct(filter(found, x -> abs(x.shift - a) <= {}).j)) = k)".format(slop))))
     return hit.select("row", "item_id", "at").distinct().join(rows.select("row", "doc_id"), "row").select("doc_id", "item_id", "at").distinct()

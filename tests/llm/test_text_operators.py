@@ -89,6 +89,29 @@ def test_proximity(spark):
     assert {r["doc_id"] for r in proximity(docs, bench, slop=2).collect()} == {1, 2}
 
 
+def test_proximity_matches_brute_force(spark):
+    rows, slop = [], 3
+    for a in range(12, 20):
+        for d in range(-4, 5):
+            for e in range(-4, 5):
+                places = {a + d: "alpha", a + 1: "beta", a + e + 2: "gamma"}
+                if len(places) == 3:
+                    rows.append((len(rows), " ".join(places.get(i, f"f{i}") for i in range(30))))
+    rows += [(len(rows) + i, "alpha gamma") for i in range(5)]  # so that the middle word is the rarest
+    rows += [(len(rows) + i, "alpha x x gamma x alpha beta x x alpha x gamma beta") for i in range(2)]
+    item = ["alpha", "beta", "gamma"]
+    counts = {t: sum(text.split().count(t) for _, text in rows) for t in item}
+    first, *rest = sorted(range(3), key=lambda p: (counts[item[p]], p))
+    assert first == 1
+    expected = set()
+    for i, text in rows:
+        shifts = [[at - p for at, w in enumerate(text.split()) if w == item[p]] for p in range(3)]
+        expected |= {(i, 1, a) for a in shifts[first] if all(any(abs(s - a) <= slop for s in shifts[p]) for p in rest)}
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in proximity(docs, bench, slop=slop).collect()} == expected
+
+
 def brute_components(rows, k, num, den):
     sets = {}
     for i, t in rows:
