@@ -6,6 +6,7 @@ before and after (grouping, the sample's k-mers, k-mer tables of the paths) is D
 
 from __future__ import annotations
 
+from collections.abc import Container
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -73,7 +74,32 @@ class Path:
         return self.hits / self.total if self.total else 1.0
 
 
-def extend(path: Path | None, n: int, vertex: Vertex, observed: set[str], k: int) -> Path:
+class Lookup:
+    """The sample's k-mers as far as they were looked up; `missing` gathers those that are asked for and were not."""
+
+    def __init__(self, seen: set[str], known: set[str]) -> None:
+        self.seen, self.known, self.missing = seen, known, set()
+
+    def __contains__(self, kmer: str) -> bool:
+        if kmer not in self.known:
+            self.missing.add(kmer)
+        return kmer in self.seen
+
+
+def local_kmers(vertices: list[Vertex], k: int, wide: int) -> set[str]:
+    """k-mers of windows of the graph. Of each vertex at most `wide` endings of k - 1 bases go on to the next."""
+    out, ends = set(), []
+    for v in vertices:
+        own = {}
+        for s in dict.fromkeys(e for b in v.before for e in ends[b]) if v.before else ("",):
+            out.update(canonical_kmers(s + v.seq[: k - 1], k))
+            own[(s + v.seq)[-(k - 1) :] if k > 1 else ""] = None
+        out.update(canonical_kmers(v.seq, k))
+        ends.append(list(own)[:wide])
+    return out
+
+
+def extend(path: Path | None, n: int, vertex: Vertex, observed: Container[str], k: int) -> Path:
     seq = (path.seq if path else "") + vertex.seq
     own = canonical_kmers(seq[max(0, len(seq) - len(vertex.seq) - k + 1) :], k)
     hits = sum(x in observed for x in own)
@@ -99,7 +125,7 @@ def choose(paths: list[Path], most: int) -> list[Path]:
     return (out + left)[:most]
 
 
-def find_paths(vertices: list[Vertex], observed: set[str], k: int, most: int = 32) -> list[Path]:
+def find_paths(vertices: list[Vertex], observed: Container[str], k: int, most: int = 32) -> list[Path]:
     """The beam's paths over the whole graph; paths that spell the same sequence are one, that with more alts."""
     at: list[list[Path]] = []
     for n, v in enumerate(vertices):
@@ -119,6 +145,10 @@ def find_paths(vertices: list[Vertex], observed: set[str], k: int, most: int = 3
     return choose(list(final.values()), most)
 
 
+def ordered(variants: list) -> list[tuple[int, str, list[str]]]:
+    return sorted(((v["pos"], v["ref"], list(v["alts"])) for v in variants), key=lambda v: (v[0], len(v[1])))
+
+
 def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     """cluster, hap (from 0), seq, alleles (an index per variant, 0 for the reference). clusters: cluster, variants (array of
     struct pos, ref, alts), reference (its bases), first (their place), kmers (the sample's canonical k-mers there)."""
@@ -127,7 +157,7 @@ def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples(index=False):
-            variants = sorted(((v["pos"], v["ref"], list(v["alts"])) for v in r.variants), key=lambda v: (v[0], len(v[1])))
+            variants = ordered(r.variants)
             for h, p in enumerate(find_paths(build(variants, r.reference, r.first, k), set(r.kmers), k, most)):
                 taken = dict(p.alleles)
                 out.append((r.cluster, h, p.seq, [taken.get(i, 0) for i in range(len(variants))]))
@@ -137,6 +167,38 @@ def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     return clusters.groupBy("cluster").applyInPandas(run, f"cluster {kind}, hap int, seq string, alleles array<int>")
 
 
+def windows(clusters: DataFrame, k: int, wide: int) -> DataFrame:
+    """cluster, kmer: local_kmers of each cluster's graph. clusters as for `haplotypes`, without kmers."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(r.cluster, x) for r in rows.itertuples(index=False) for x in sorted(local_kmers(build(ordered(r.variants), r.reference, r.first, k), k, wide))]
+        return pd.DataFrame(out, columns=["cluster", "kmer"])
+
+    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {dict(clusters.dtypes)['cluster']}, kmer string")
+
+
+def looked_up(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
+    """`haplotypes` where some of the sample's k-mers may not have been looked up: clusters has `known` (those looked up)
+    beside kmers (those found). A cluster whose beam asks for others gives them, in rows with a kmer and no hap, instead."""
+    import pandas as pd
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples(index=False):
+            variants, seen = ordered(r.variants), Lookup(set(r.kmers), set(r.known))
+            paths = find_paths(build(variants, r.reference, r.first, k), seen, k, most)
+            if seen.missing:
+                out += [(r.cluster, None, None, None, x) for x in sorted(seen.missing)]
+                continue
+            for h, p in enumerate(paths):
+                taken = dict(p.alleles)
+                out.append((r.cluster, h, p.seq, [taken.get(i, 0) for i in range(len(variants))], None))
+        return pd.DataFrame(out, columns=["cluster", "hap", "seq", "alleles", "kmer"]).astype({"hap": "Int32"})
+
+    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {dict(clusters.dtypes)['cluster']}, hap int, seq string, alleles array<int>, kmer string")
+
+
 def haplotype_kmers(haps: DataFrame, k: int) -> DataFrame:
     """cluster, hap, kmer, mult (at most 255)."""
     from strandline.functions.sequence import canonical_kmers as kmers_of
