@@ -67,18 +67,20 @@ def origin_filter(calls: DataFrame, tags: list[str], aco: str = "aco") -> DataFr
     return calls.where(F.size(F.array_except(F.split(aco, ":"), F.array(*map(F.lit, tags)))) > 0)
 
 
-def expand_symbolic(calls: DataFrame, max_copies: int = 10) -> DataFrame:
+def expand_symbolic(calls: DataFrame) -> DataFrame:
     """Sequence alleles for <DEL>, <DUP>, <INV>, <CNn> and <INS> of (chrom, pos, ref, alt, end, segment, insert): segment is
     the reference of pos + 1 to end, insert the known inserted sequence. ref becomes the base at pos and the segment;
-    an allele that can't be spelled has a null alt."""
+    an allele that can't be spelled has a null alt, as has one of more than 2^31 - 16 bytes, the most a string can hold."""
     base, seg = F.left("ref", F.lit(1)), F.col("segment")
-    copies = F.regexp_extract("alt", "^<CN([0-9]+)>$", 1)
+    digits = F.regexp_extract("alt", "^<CN([0-9]+)>$", 1)
+    copies = digits.try_cast("int")
+    fits = F.octet_length(seg).cast("decimal(20, 0)") * copies + F.octet_length(base) <= (1 << 31) - 16
     spelled = (
         F.when(alleles.kind("alt") == "sequence", F.col("alt"))
         .when(F.col("alt").rlike("^<DEL(:.*)?>$"), base)
         .when(F.col("alt").isin("<DUP>", "<DUP:TANDEM>"), F.concat(base, seg, seg))
         .when(F.col("alt") == "<INV>", F.concat(base, sequence.reverse_complement("segment")))
-        .when(copies != "", F.when(F.least(copies.cast("int"), F.lit(max_copies + 1)) <= max_copies, F.concat(base, F.repeat(seg, F.when(copies != "", copies.cast("int")).otherwise(0)))))
+        .when(digits != "", F.concat(base, F.when(F.length(seg) == 0, seg).when(fits, F.repeat(seg, F.when(fits, copies).otherwise(0)))))
         .when(F.col("alt").rlike("^<INS(:.*)?>$"), F.concat(base, F.col("insert")))
     )
     keep = (alleles.kind("alt") == "sequence") | F.col("alt").rlike("^<INS")

@@ -124,6 +124,14 @@ def test_nested_and_diplotypes(spark):
     assert one(tools.diplotypes(edits, refs))["seq"] == "AATGGTAAT"
 
 
+def test_copy_numbers_have_no_cap(spark):
+    told = {"<CN1>": "ACG", "<CN10>": "A" + "CG" * 10, "<CN11>": "A" + "CG" * 11, "<CN12>": "A" + "CG" * 12, "<CN250>": "A" + "CG" * 250, "<CN1073741824>": None, "<CN99999999999>": None, "<CNx>": None}
+    rows = spark.createDataFrame([("A", alt, "CG", None) for alt in told], "ref string, alt string, segment string, insert string")
+    assert {r["alt"]: r["new_alt"] for r in callsets.expand_symbolic(rows).collect()} == told
+    assert callsets.expand_symbolic(rows.limit(1).withColumns({"alt": F.lit("<CN99>"), "segment": F.lit("")})).first()["new_alt"] == "A"
+    assert callsets.expand_symbolic(rows.limit(1).withColumns({"alt": F.lit("<CN99>"), "segment": F.lit(None).cast("string")})).first()["new_alt"] is None
+
+
 def test_graph_spells_every_haplotype():
     draw = random.Random(3)
     reference = "".join(draw.choices("ACGT", k=60))
