@@ -1,7 +1,8 @@
 """The training-data pipeline: quality, near-duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
-`documents`. Null texts pass as they are; a null doc_id is never a duplicate. A text whose every word is a repeat goes.
+`documents`. Null texts pass as they are; a null doc_id is never a duplicate of another document, but of rows that repeat
+its text without an id, as of rows that repeat an id and its text, one stays. A text whose every word is a repeat goes.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import quality
-from strandline.llm.common import stored
+from strandline.llm.common import plan_bytes, small, stored
 from strandline.llm.decontaminate import decontaminate
 from strandline.llm.near_dup import near_duplicates
 from strandline.llm.packing import pack
@@ -35,8 +36,21 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return _restore(quality.score(docs, model, carry=_others(docs)).where(F.col("score") >= REJECT_BELOW), docs)
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row, that with the least other columns, of each doc_id and text, null ids included. Only rows whose id
+    and text hash occur again are compared; null texts stay as they are."""
+    told = docs.withColumn("_hash", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    again = stored(told.where("text is not null").groupBy("doc_id", "_hash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_again")), "repeated-rows")
+    if again.isEmpty():
+        return docs
+    again, same = small(again, plan_bytes(again)), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_again"))
+    least = told.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0), *_others(docs))).alias("carried"))
+    return told.join(again, same, "left_anti").select(*docs.columns).unionByName(_restore(least, docs))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8."""
+    """One document, that with the smallest id, of each group linked by five-word shingles at 0.8; one row of repeated ones."""
+    docs = one_of_each(docs)
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
 

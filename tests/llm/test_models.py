@@ -218,6 +218,21 @@ def test_pipeline(spark, labelled, tmp_path):
     assert sum(r["length"] for r in packed) == len(t.encode(pa.array(list(kept[3].values())), 0)[0])
 
 
+def test_near_duplicates_stage_keeps_one_of_repeated_rows(spark, tmp_path):
+    draw = random.Random(7)
+    a, b, c = (prose(draw, 30) for _ in range(3))
+    rows = [(1, a)] * 5 + [(1, b), (2, a), (3, c), (3, c), (None, b), (None, b), (None, c), (None, None), (None, None), (4, None), (4, None), (5, ""), (5, "")]
+    docs = frame(spark, rows).unionByName(frame(spark, [(3, c)], lang="de"))
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert got.dtypes == docs.dtypes
+    found = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr)
+    expected = [(1, a), (1, b), (3, c), (None, b), (None, c), (None, None), (None, None), (4, None), (4, None), (5, "")]
+    assert found == sorted(expected, key=repr)
+    assert [r["lang"] for r in got.where("doc_id = 3").collect()] == ["de"]
+    clean = frame(spark, [(1, a), (2, b), (None, c)])
+    assert sorted(map(repr, corpus_pipeline.one_of_each(clean).collect())) == sorted(map(repr, clean.collect()))
+
+
 def test_pipeline_stages_take_empty_tables(spark, labelled, tmp_path):
     labels_of(spark, labelled[1]).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
