@@ -622,7 +622,7 @@ def haplotype_graph(spark, d):
     told = intervals.groups(places.select(F.col("chrom").alias("contig"), "pos", (F.col("pos") + F.length("ref") - 1).alias("end_pos"), "ref", "alts"), 5)
     clusters = told.groupBy("contig", "group_no").agg(F.sort_array(F.collect_list(F.struct("pos", "ref", "alts"))).alias("variants"))
     ready = clusters.select(F.concat_ws("/", "contig", F.col("group_no").cast("string")).alias("cluster"), "variants", F.lit(reference).alias("reference"), F.lit(0).alias("first"), sequence.canonical_kmers(F.lit(reference), 5).alias("kmers"))
-    return graph.haplotypes(ready, 5, most=8)
+    return graph.haplotypes(ready, 5)
 
 
 @registered("annotate_self", SQL["annotate_similarity"].replace("where variant_id % 2 = 0)\n", ")\n").replace("    where case when", "    where not (p = ap and tr = ar and ta = aa) and case when"))

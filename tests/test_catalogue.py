@@ -43,3 +43,8 @@ def test_matches_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES.keys() - catalogue.SQL.keys()))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_haplotype_graph_lists_all_that_the_operator_keeps(spark):
+    haps = catalogue.QUERIES["haplotype_graph"](spark, DATA).groupBy("cluster").count()
+    assert haps.agg({"count": "max"}).first()[0] > 8
