@@ -5,7 +5,8 @@ are k consecutive units (the whole of a shorter text is one k-mer). k-mers are n
 one counts each time. A hash of (k-mer, occurrence) puts each into one of 64 buckets; of each bucket the `take` smallest
 are kept, put back into text order, and hashed as a tuple. The fingerprint lists bucket and tuple hash, eight hex digits
 for each bucket that has a k-mer. Likeness is the share of equal entries among the buckets that either text fills: moving
-text about changes tuples even where the set of k-mers stays, which plain MinHash doesn't see.
+text about changes tuples even where the set of k-mers stays, which plain MinHash doesn't see. A bucket with one k-mer has no
+order, so for short texts (under some hundred units) much of this is lost.
 
 All of it is computed within the row: two sorts of longs and a few array functions; a long holds 40 bits of hash and 24
 bits of place (texts of over 16 M units wrap their places). Null counts as empty; an empty text, or one of white space,
