@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Below so many bytes a side may be broadcast; the size is measured, not assumed.
 BROADCAST_BYTES = 32 << 20
-#: Used only where the session names no shared folder, as in tests.
+#: Used only where a local session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one of our own where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share, as a full URI; a local one of our own where a
+    local session leaves it unset. On a cluster it must be set: a folder of one machine would lose tables in silence."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return (found or FALLBACK_DIR).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{FALLBACK_DIR}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -29,9 +38,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes at its end all tables that were stored inside it; what is to last must be stored outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        dropped(*_scopes.pop())
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete stored tables that nothing lazy reads any more."""
     for df in tables:
