@@ -83,6 +83,33 @@ def test_decontaminate_repeated_and_null_ids(spark):
     assert got == [(-1, 0), (-1, 20), (1, 0), (1, 20), (1, 20)]
 
 
+def test_decontaminate_words_repeated_without_end(spark):
+    item, text = " ".join(["the"] * 200), " ".join(["the"] * 100_000)
+    docs = frame(spark, [(1, text), (2, "the " * 12), (3, "a " * 300 + "the " * 13 + "b")])
+    bench = spark.createDataFrame([(7, item), (8, item + " end")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["hits"], sorted(r["items"])) for r in decontaminate(docs, bench).collect()}
+    assert got[1] == (100_000, list(range(100_000)), [7, 8])
+    assert got[2] == (12, [], []) and got[3] == (314, list(range(300, 313)), [7, 8])
+
+
+def test_decontaminate_across_blocks(spark):
+    draw = random.Random(9)
+    ws = [f"w{draw.randrange(30)}" for _ in range(1500)]
+    items = [(k, " ".join(ws[a : a + n])) for k, (a, n) in enumerate([(0, 13), (245, 20), (250, 600), (1487, 13), (1490, 10), (511, 14)])]
+    got = decontaminate(frame(spark, [(1, " ".join(ws))]), spark.createDataFrame(items, "item_id long, text string")).first()
+    assert sorted(got["items"]) == [0, 1, 2, 3, 4, 5]
+    cut = {tuple(t.split()[s : s + 13]) for _, t in items for s in range(max(1, len(t.split()) - 12))}
+    assert got["hits"] == sorted({q for c in cut for p in range(1500) if tuple(ws[p : p + len(c)]) == c for q in range(p, p + len(c))})
+
+
+def test_proximity_edges(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (1, "alpha beta"), (None, "alpha beta"), (2, ""), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "alpha beta"), (None, "beta alpha"), (2, None), (3, "")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in proximity(docs, bench, slop=1).collect()}
+    assert got == {(1, 1), (None, 1)}
+    assert proximity(docs.limit(0), bench).count() == 0 and proximity(docs, bench.limit(0)).count() == 0
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "alpha beta gamma"), (3, "alpha x x x x x x beta gamma"), (4, None)], "doc_id long, text string")
