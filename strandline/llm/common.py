@@ -32,20 +32,21 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors. A lasting table
+    outlives the scope in which it is written."""
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    if _scopes:
+    if _scopes and not lasting:
         _scopes[-1].append(out)
     return out
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Deletes at its end all tables that were stored inside it; what is to last must be stored outside."""
+    """Deletes at its end the tables that were stored inside it, but for lasting ones."""
     _scopes.append([])
     try:
         yield

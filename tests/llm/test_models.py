@@ -229,6 +229,11 @@ def test_near_duplicates_stage_keeps_one_of_repeated_rows(spark, tmp_path):
     expected = [(1, a), (1, b), (3, c), (None, b), (None, c), (None, None), (None, None), (4, None), (4, None), (5, "")]
     assert found == sorted(expected, key=repr)
     assert [r["lang"] for r in got.where("doc_id = 3").collect()] == ["de"]
+    # (2, a) repeats (1, a); (2, b), (2, c) and (3, d) are texts of their own, whatever their ids; (4, c) repeats (2, c)
+    d = prose(draw, 30)
+    rows = [(1, a), (2, a), (2, b), (2, c), (3, a), (3, d), (4, c), (None, a)]
+    got = corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, a), (2, b), (2, c), (3, d), (None, a)], key=repr)
     clean = frame(spark, [(1, a), (2, b), (None, c)])
     assert sorted(map(repr, corpus_pipeline.one_of_each(clean).collect())) == sorted(map(repr, clean.collect()))
 
