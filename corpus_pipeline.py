@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns of
 `documents`. Null texts pass as they are; a null doc_id is never a duplicate of another document, but of rows that repeat
-its text without an id, as of rows that repeat an id and its text, one stays. A text whose every word is a repeat goes.
+its text without an id, as of rows that repeat an id and its text, one stays. Rows of one doc_id with different texts are
+documents of their own: near duplicates go row by row, so a text that nothing repeats stays whatever its id. A text whose
+every word is a repeat goes. Tables that a stage stores for itself, and its input, are deleted once its output is stored.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import quality
-from strandline.llm.common import plan_bytes, small, stored
+from strandline.llm.common import dropped, plan_bytes, scratch, small, stored
 from strandline.llm.decontaminate import decontaminate
 from strandline.llm.near_dup import near_duplicates
 from strandline.llm.packing import pack
@@ -48,11 +50,23 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     return told.join(again, same, "left_anti").select(*docs.columns).unionByName(_restore(least, docs))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with an id with a number of its own for each row, `_row`, in the order of the ids; stored, so that it stays."""
+    own = docs.where("doc_id is not null").withColumn("_hash", F.xxhash64("text"))
+    parts = max(own.sparkSession.sparkContext.defaultParallelism, plan_bytes(docs) >> 26)
+    dealt = own.repartitionByRange(parts, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash")
+    return stored(dealt.select(*docs.columns, F.monotonically_increasing_id().alias("_row")), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group linked by five-word shingles at 0.8; one row of repeated ones."""
     docs = one_of_each(docs)
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    gone = lambda rows, key: near_duplicates(rows, doc_id=key).where(~F.col("kept")).select(F.col("doc_id").alias(key)).hint("shuffle_hash")
+    if docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.join(gone(docs, "doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    kept = rows.join(gone(rows, "_row"), "_row", "left_anti").select(*docs.columns)
+    return kept.union(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,9 +94,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
-    return docs
+    docs, last = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch():
+            out = stage(spark, docs, sf_dir)
+            docs = stored(out, f"stage-{k}", lasting=True)
+        if last is not None:
+            dropped(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
