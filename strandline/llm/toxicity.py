@@ -7,14 +7,16 @@ its neighbours that only clean documents hold) are learned from labelled documen
 then taken greedily, each for toxic documents that those before it leave unexplained, so words that merely stand beside
 toxic ones stay out. The sum of weights, also divided by the text's length, goes to a logistic regression.
 
-The sample holds at most `size` labelled ids outside the held-out fold (a parameter; nothing else is bounded by it); the
-fit looks at its CANDIDATES commonest toxic words and takes at most LEXICON of them.
-Null and empty texts match nothing and get the score of a text without matches. Without labels or toxic examples all
-scores are 0. Repeated rows each give a row; extra columns are ignored.
+The sample holds at most `size` labelled ids outside the held-out fold (a parameter; nothing else is bounded): all of its
+words that occur in `least` toxic documents, and in as many of them as of clean ones, are candidates.
+Null and empty texts match nothing and get the score of a text without matches. A null doc_id is scored as any other row
+and never labelled. Without labels or toxic examples all scores are 0. Of candidates with equal gain the last in the
+alphabet goes first. Repeated rows each give a row; an empty table gives none; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from .samples import labelled_sample
 from .tokens import chunks, split_words
 
-SAMPLE, CANDIDATES, LEXICON = 40_000, 20_000, 2000
+SAMPLE = 40_000
 #: Letters of other scripts and the Latin letters that they look like, then digits and signs put for letters.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ո": "n", "ս": "u",
@@ -130,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = S
     """least: a word must explain so many toxic documents of the sample that no word before it does."""
     sample = labelled_sample(docs, labels, target, size)
     counts = sample.mapInArrow(term_counter, "term string, toxic int, n bigint").groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("bad"), F.sum("n").alias("n"))
-    terms = [r["term"] for r in counts.where(f"bad >= {least} and bad * 2 >= n").orderBy(F.desc("bad"), "term").limit(CANDIDATES).collect()]
+    terms = [r["term"] for r in counts.where(f"bad >= {least} and bad * 2 >= n").select("term").collect()]  # words of `size` labelled ids, as rare as `least` allows
     rows = sample.mapInArrow(holder(terms), "y int, n_words bigint, terms array<string>, before array<string>, behind array<string>").collect()  # at most `size` labelled ids
     y = np.array([r["y"] for r in rows], np.float64)
     if not y.sum():
@@ -146,18 +148,18 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "toxic", size: int = S
         for t in own:
             has[t].add(i)
     bad = {i for i, r in enumerate(rows) if r["y"]}
-    gain = {t: len(d & bad) - 3 * len(d - bad) for t, d in has.items()}
+    # what a word explains only shrinks as others are taken, so the head of the queue, counted anew, is the best if it stays
+    queue = [(3 * len(has[t] - bad) - len(has[t] & bad), -i, t) for i, t in enumerate(sorted(has))]
+    heapq.heapify(queue)
     left, clean, weights = set(bad), len(rows) - len(bad), {}
-    while gain and len(weights) < LEXICON:
-        best = max(gain, key=lambda t: (gain[t], t))
+    while queue and -queue[0][0] >= least:
+        _, i, best = heapq.heappop(queue)
         own = has[best]
-        if gain.pop(best) < least:
-            break
         new = len(own & left) - 3 * len(own - bad)
         if new < least:
             continue
-        if gain and new < max(gain.values()):  # others may explain more by now
-            gain[best] = new
+        if queue and new < -queue[0][0]:
+            heapq.heappush(queue, (-new, i, best))
             continue
         weights[best] = float(np.log((len(own & bad) + 0.5) / (len(bad) + 1)) - np.log((len(own - bad) + 0.5) / (clean + 1)))
         left -= own

@@ -85,6 +85,68 @@ def test_quality_scores_are_means_of_features():
     assert sum(quality.unzipped(rows[0]["counts"])) == 3 + 3 * (3 + 2 + 1) + 2  # words, their 2-, 3- and 4-grams with < and >, bigrams
 
 
+def test_quality_features_match_brute_force():
+    import xxhash
+
+    text = "ab ab cd été"
+    m64 = (1 << 64) - 1
+    odd = int(quality.ODD)
+
+    def mix(x):
+        return int(quality.mix(np.array([x & m64], np.uint64))[0])
+
+    word = {w: xxhash.xxh3_64_intdigest(w.encode()) for w in text.split()}
+    expected = {}
+    for w in text.split():
+        marked = f"<{w}>"
+        found = [word[w]]
+        for n in quality.GRAMS:
+            for a in range(len(marked) - n + 1):
+                h = n
+                for c in marked[a : a + n]:
+                    h = (h * odd + ord(c)) & m64
+                found.append(mix(h))
+        for h in found:
+            expected[h % quality.BUCKETS] = expected.get(h % quality.BUCKETS, 0) + 1
+    for a, b in zip(text.split(), text.split()[1:]):
+        h = mix(1 if a == b else word[a] * odd + word[b] * 3)
+        expected[h % quality.BUCKETS] = expected.get(h % quality.BUCKETS, 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([text])], names=["doc_id", "y", "text"])
+    row = next(quality.counter(iter([batch]))).to_pylist()[0]
+    assert dict(zip(np.cumsum(quality.unzipped(row["buckets"])).tolist(), quality.unzipped(row["counts"]).tolist(), strict=True)) == expected
+
+
+def test_quality_training_is_gradient_descent():
+    """One document, one epoch: the step must be that of the numerical gradient of the log loss."""
+    buckets, counts = np.array([3, 10, 500]), np.array([1.0, 2.0, 1.0])
+    example = [(1, quality.zipped(np.diff(buckets, prepend=0)), quality.zipped(counts))]
+    draw = np.random.default_rng(quality.SEED)
+    vectors = (draw.random((quality.BUCKETS, quality.DIMENSIONS), np.float32) - np.float32(0.5)).astype(np.float64) / quality.DIMENSIONS
+    output, bias, share = np.zeros((2, quality.DIMENSIONS)), np.zeros(2), counts / counts.sum()
+
+    def loss(v, o, b):
+        z = o @ (share @ v) + b
+        return np.log(np.exp(z - z.max()).sum()) + z.max() - z[1]
+
+    for step in range(quality.EPOCHS):
+        rate, own, eps = quality.RATE * (1 - step / quality.EPOCHS), vectors[buckets], 1e-5
+        grads = []
+        for at, x in enumerate((own, output, bias)):
+            g = np.zeros_like(x)
+            for i in np.ndindex(x.shape):
+                args = [own, output, bias]
+                for sign in (1, -1):
+                    moved = x.copy()
+                    moved[i] += sign * eps
+                    args[at] = moved
+                    g[i] += sign * loss(*args) / (2 * eps)
+            grads.append(g)
+        vectors[buckets] = own - rate * quality.SHARPEN * grads[0]
+        output, bias = output - rate * grads[1], bias - rate * 0.02 * grads[2]
+    weights, b = quality.train(example)
+    assert np.allclose(weights[buckets], (vectors @ (output[1] - output[0]))[buckets], atol=1e-3) and abs(b - (bias[1] - bias[0])) < 1e-3
+
+
 def test_toxicity(spark, labelled):
     rows, labels = labelled
     docs = frame(spark, rows + EDGES)
@@ -102,6 +164,63 @@ def test_toxicity(spark, labelled):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
+def test_toxicity_matches_as_a_naive_matcher():
+    draw = random.Random(8)
+    weights, exceptions = {"blarg": 1.0, "zounds": 2.0, "arg": 0.5, "fr": 0.25}, {"noble blarg", "arg fr", "zounds the"}
+    model = toxicity.Model(weights, exceptions, None)
+    automaton = model.automaton()
+    bits = ["blarg", "Zounds", "noble", "arg", "fr", "the", "bl4rg", "blargs", "é", "_", "!", "\u200b"]
+    for _ in range(300):
+        text = "".join(draw.choice(bits) + draw.choice([" ", " ", "", ", ", "\n"]) for _ in range(draw.randrange(12)))
+        folded = toxicity.fold(text)
+
+        def spans(phrase, folded=folded):
+            found = [a for a in range(len(folded)) if folded.startswith(phrase, a)]
+            edges = [(a, a + len(phrase)) for a in found]
+            return [(a, b) for a, b in edges if not (a and folded[a - 1].isalnum()) and not folded[b : b + 1].isalnum()]
+
+        out = [s for p in exceptions for s in spans(p)]
+        expected = sorted((a, w) for w in weights for a, b in spans(w) if not any(x <= a and b <= y for x, y in out))
+        assert sorted(model.matches(automaton, text)) == expected
+
+
+def test_toxicity_lexicon_matches_a_naive_fit(spark):
+    draw = random.Random(12)
+    bad_words, rows, labels = [f"bad{chr(97 + i)}" for i in range(9)], [], []
+    for i in range(400):
+        toxic = i % 3 == 0
+        own = [f"c{draw.randrange(60)}x" for _ in range(draw.randrange(3, 12))] + draw.sample(bad_words, draw.randrange(1, 4) if toxic else draw.random() < 0.03)
+        draw.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, 1, int(toxic), 1))
+    model = toxicity.fit(frame(spark, rows), labels_of(spark, labels), least=4)
+    seen = [(set(t.split()), t.split(), labels[i][2]) for i, t in rows if not held(i)]
+    bad = {i for i, x in enumerate(seen) if x[2]}
+    terms = {w for x in seen for w in x[0]}
+    terms = {w for w in terms if (n := sum(w in x[0] for x in seen if x[2])) >= 4 and 2 * n >= sum(w in x[0] for x in seen)}
+    pairs = [{" ".join(x[1][j : j + 2]) for j in range(len(x[1]) - 1) if {*x[1][j : j + 2]} & terms} for x in seen]
+    clean_pairs = [p for i, own in enumerate(pairs) if i not in bad for p in own]
+    exceptions = {p for p in clean_pairs if clean_pairs.count(p) >= 4 and not any(p in pairs[i] for i in bad)}
+    assert not exceptions
+    has = {w: {i for i, x in enumerate(seen) if w in x[0]} for w in terms}
+    left, weights = set(bad), {}
+    while True:
+        gains = {w: len(d & left) - 3 * len(d - bad) for w, d in has.items() if w not in weights}
+        best = max(gains, key=lambda w: (gains[w], w), default=None)
+        if best is None or gains[best] < 4:
+            break
+        weights[best] = np.log((len(has[best] & bad) + 0.5) / (len(bad) + 1)) - np.log((len(has[best] - bad) + 0.5) / (len(seen) - len(bad) + 1))
+        left -= has[best]
+    assert model.weights.keys() == weights.keys() and all(abs(model.weights[w] - weights[w]) < 1e-9 for w in weights)
+
+
+def test_models_take_clashing_columns(spark, labelled):
+    rows, labels = labelled
+    extra = frame(spark, rows[:40]).withColumns({c: F.lit(None).cast("string") for c in ("y", "score", "matches", "predicted", "lang_pred", "carried", "features")})
+    told = labels_of(spark, labels).withColumns({"text": F.lit("x"), "y": F.lit(3), "lang": F.lit("zz")})
+    assert quality.score(extra, quality.fit(extra, told)).count() == toxicity.score(extra, toxicity.fit(extra, told)).count() == language.identify(extra, language.prototypes(extra)).count() == 40
+
+
 def test_language(spark):
     draw = random.Random(2)
     syllables = {"aa": ["ba", "ko", "lu"], "bb": ["xi", "zep", "q"], "cc": ["ñó", "ße", "ä"]}
@@ -118,6 +237,26 @@ def test_language(spark):
     assert language.identify(frame(spark, []), model).count() == 0
 
 
+def test_language_prototypes_and_choice_match_brute_force(spark):
+    draw = random.Random(21)
+    syllables = {"bb": ["xi", "zep", "q"], "aa": ["ba", "ko", "lu"]}
+    rows = [(i, " ".join("".join(draw.choices(syllables[x], k=2)) for _ in range(draw.randrange(1, 9))), x) for i, x in enumerate(draw.choices(list(syllables), k=60))]
+    rows += [(100, "", "aa"), (101, "12", "bb"), (102, None, "aa"), (103, "ko", None)]
+    docs = spark.createDataFrame([(i, t, x, "s", 1) for i, t, x in rows], DOCS)
+    names, vectors = language.prototypes(docs.where("doc_id % 2 = 0"), per_language=10**9)
+    bundle = {i: language.Bundler().bundle(pa.array([t], pa.string()))[0].astype(np.float64) for i, t, _ in rows}
+    sums = {x: sum(bundle[i] for i, t, y in rows if y == x and i % 2 == 0) for x in syllables}
+    assert names == ["aa", "bb"]
+    for x, v in zip(names, vectors, strict=True):
+        assert np.allclose(v, sums[x] / np.linalg.norm(sums[x]), atol=1e-5)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, (names, vectors)).collect()}
+    for i, _, _ in rows:
+        cosines = [float(bundle[i] @ (sums[x] / np.linalg.norm(sums[x]))) for x in names]
+        assert got[i] == ("und" if not bundle[i].any() else names[int(np.argmax(cosines))])
+    same = np.stack([vectors[0], vectors[0]])
+    assert {r["lang_pred"] for r in language.identify(docs.where("doc_id < 60"), (["aa", "ab"], same)).collect()} == {"aa"}  # a tie
+
+
 def test_language_vectors_match_their_definition():
     texts = ["Abc, déf!", "", "中 a", None, "zz"]
     got = language.Bundler().bundle(pa.array(texts))
