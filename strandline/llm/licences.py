@@ -1,21 +1,27 @@
 """Licence scans: a trained paragraph classifier, in DataFrame operations only on the path of the data.
 
-Paragraphs are the lines of a text. Features are the words and word bigrams of a fixed vocabulary, that of the templates
-below; common ones are left to the fit to weigh down. A softmax regression over licence families and a class of unknown
+Paragraphs are the blocks of a text between blank lines. A notice may be a line of one or wrapped over several, beside
+other lines, so what is classified are the runs of one to SPAN lines of a paragraph; a run that holds a shorter one with a
+notice counts as that one. Features are the words and word bigrams of a fixed vocabulary, that of the templates below;
+common ones are left to the fit to weigh down. A softmax regression over licence families and a class of unknown
 paragraphs is fitted by gradient descent on the driver: on the templates, on parts of them (so that cut notices are
-known), and on background paragraphs that look like no licence; its temperature is then chosen on parts held out of the
-fit, which calibrates the unknown class. Its weights are a small table: vocabulary x classes, bounded by the templates.
+known), and on background lines that look like no licence; its temperature is then chosen on parts held out of the fit,
+which calibrates the unknown class. Its weights are a small table: vocabulary x classes, bounded by the templates.
 
 Scoring: a predicted family is confirmed by comparison with its templates: enough of the bigrams of a template, or of the
-line, must be in the other, and never fewer than two. So whole texts are first tested for a bigram of any template, then
-their lines for two, which loses none; the features of the rest meet the weights in a broadcast join and add up per line.
+run, must be in the other, never fewer than two, and one of them in no other family's templates (`licensed under the` alone
+tells no family). So whole texts are first tested for a bigram of any template, then
+their runs for two, which loses none; the features of the rest meet the weights in a broadcast join and add up per run.
 
-Null and empty texts have no licence. Repeated rows each give a row; rows of one doc_id are judged by their own text. An
-empty table gives no rows. Extra columns are ignored. Ties between families go to the first in the alphabet.
+Null and empty texts have no licence and no paragraph. Repeated rows each give a row; rows of one doc_id are judged by their
+own text. An empty table gives no rows. Extra columns are ignored. Ties between families go to the first in the alphabet.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from zlib import crc32
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +50,8 @@ NEAR_MISSES = [
 ]
 #: Words that say nothing about a licence, alone or in pairs.
 FILLERS = frozenset("a an and any are as at be been but by can for from has have if in is it its may must no not of on or other shall such that the their this to under was were which will with you your".split())
-UNKNOWN, BACKGROUND, STEPS, SEED = "unknown", 2000, 400, 3
-CONFIRM = 0.6
+UNKNOWN, BACKGROUND, STEPS, SEED = "unknown", 500, 400, 3
+CONFIRM, SPAN = 0.6, 4
 
 
 def terms_of(text: str) -> list[str]:
@@ -68,6 +74,8 @@ def template_bigrams() -> list[str]:
 
 
 LICENCE_BIGRAMS = frozenset(t for t in template_bigrams() if not FILLERS.issuperset(t.split())) - {t for x in NEAR_MISSES for t in terms_of(x)}
+#: family: bigrams that templates of no other family hold.
+ONLY = {f: sorted({t for x in xs for t in terms_of(x) if " " in t} - {t for g, ys in TEMPLATES.items() if g != f for y in ys for t in terms_of(y)}) for f, xs in TEMPLATES.items()}
 TEMPLATE_WORDS = [frozenset(terms_of(x)) - FILLERS for ts in TEMPLATES.values() for x in ts]
 
 
@@ -80,13 +88,12 @@ def licence_like(line: str) -> bool:
 
 
 def background(docs: DataFrame, size: int = BACKGROUND, doc_id: str = "doc_id", text: str = "text") -> list[str]:
-    """At most `size` lines of up to 2,000 characters, of documents drawn by a hash of their ids, for the fit alone; lines
-    that look like a licence are not taken."""
+    """All lines, whole, of `size` documents drawn by a hash of their ids, for the fit alone; but for those that look like a
+    licence. Without an order of their own they come sorted."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    drawn = rows.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(size // 4)
-    lines = rows.join(F.broadcast(drawn.distinct()), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0 and length(line) <= 2000")
-    found = [r["line"] for r in lines.orderBy(F.xxhash64("line"), "line").limit(size).collect()]
-    return [x for x in found if not licence_like(x)]
+    drawn = rows.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(size)
+    lines = rows.join(F.broadcast(drawn), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("length(trim(line)) > 0")
+    return sorted(r["line"] for r in lines.collect() if not licence_like(r["line"]))  # of `size` documents
 
 
 class Model:
@@ -97,35 +104,47 @@ class Model:
         self.classes = [*sorted(TEMPLATES), UNKNOWN]
         self.vocabulary = sorted({t for ts in TEMPLATES.values() for x in ts for t in terms_of(x)})
         at = {t: i for i, t in enumerate(self.vocabulary)}
-        fit, held = [], []
+        unknown = len(self.classes) - 1
+        rows: tuple[Counter, Counter] = (Counter(), Counter())  # fitted, held out: how often (class, terms)
+        known = lambda text: frozenset(at[t] for t in terms_of(text) if t in at)
         for c, family in enumerate(self.classes[:-1]):
             for template in TEMPLATES[family]:
                 told = template.split()
-                fit += [(c, template)] * 4
+                rows[0][c, known(template)] += 4
                 for _ in range(8):
                     n = int(draw.integers(max(2, -(-2 * len(told) // 3)), len(told) + 1))
                     a = int(draw.integers(0, len(told) - n + 1))
-                    (held if draw.random() < 0.25 else fit).append((c, " ".join(told[a : a + n])))
-        other = [*NEAR_MISSES * 3, *lines[:300], ""]
-        fit += [(len(self.classes) - 1, x) for x in other]
-        held += [(len(self.classes) - 1, x) for x in [*lines[300:600], *NEAR_MISSES]]
-
-        def matrix(rows: list[tuple[int, str]]) -> tuple[np.ndarray, np.ndarray]:
-            x = np.zeros((len(rows), len(at)))
-            for i, (_, text) in enumerate(rows):
-                x[i, [at[t] for t in set(terms_of(text)) if t in at]] = 1
-            return x, np.array([c for c, _ in rows])
-
-        x, y = matrix(fit)
+                    rows[draw.random() < 0.25][c, known(" ".join(told[a : a + n]))] += 1
+        # as much weight as the templates have goes to the background lines, however many there are, half of them held out
+        others = (Counter(), Counter())
+        for line in lines:
+            others[crc32(line.encode("utf-8", "surrogatepass")) & 1][known(line)] += 1
+        for side, own in zip(rows, others, strict=True):
+            weight, many = side.total(), own.total()
+            for x in NEAR_MISSES:
+                side[unknown, known(x)] += 3
+            side[unknown, frozenset()] += 1
+            for terms, n in own.items():
+                side[unknown, terms] += weight * n / many
+
+        def matrix(found: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            x = np.zeros((len(found), len(at)))
+            for i, (_, terms) in enumerate(found):
+                x[i, list(terms)] = 1
+            share = np.array(list(found.values()))
+            return x, np.array([c for c, _ in found]), share / share.sum()
+
+        x, y, share = matrix(rows[0])
         weights, bias = np.zeros((len(at), len(self.classes))), np.zeros(len(self.classes))
         for step in range(STEPS):
             p = self.softmax(x @ weights + bias)
             p[np.arange(len(y)), y] -= 1
+            p *= share[:, None]
             rate = 20.0 / (1 + step / 100)
-            weights -= rate * (x.T @ p / len(y) + 1e-5 * weights)
-            bias -= rate * 0.1 * p.mean(axis=0)
-        hx, hy = matrix(held)
-        loss = lambda t: -np.log(self.softmax((hx @ weights + bias) / t)[np.arange(len(hy)), hy] + 1e-12).mean()
+            weights -= rate * (x.T @ p + 1e-5 * weights)
+            bias -= rate * 0.1 * p.sum(axis=0)
+        hx, hy, held = matrix(rows[1])
+        loss = lambda t: -np.log(self.softmax((hx @ weights + bias) / t)[np.arange(len(hy)), hy] + 1e-12) @ held
         heat = min((0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
         self.weights, self.bias = weights / heat, bias / heat
 
@@ -139,48 +158,65 @@ def fit(docs: DataFrame, size: int = BACKGROUND) -> Model:
     return Model(background(docs, size))
 
 
+def paragraphs(text: Column | str) -> Column:
+    """array<array<string>>: the lines of each block between blank lines, without blank ones."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\x09-\x0D]", " ")))
+    blocks = F.filter(F.split(F.array_join(lines, "\n"), "\n{2,}"), lambda x: F.regexp_replace(x, "\n", "") != "")
+    return F.transform(blocks, lambda x: F.filter(F.split(x, "\n"), lambda y: y != ""))
+
+
 def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per licence line: doc_id, key (of the row), line (from 0), paragraph, family, probability, overlap (with the best
-    template). A line is listed if a family is likelier than each other class and its templates confirm it."""
+    """Per notice: doc_id, key (of the row), paragraph and line (from 0, of the paragraph's), lines (how many), notice (the
+    lines, joined), family, probability, overlap (with the best template). A run of lines is listed if a family is likelier
+    than each other class, its templates confirm it, and no shorter run inside it is listed."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = F.array(*map(F.lit, template_bigrams()))
     # the words are bound once, as `pairs` names them often
     bigrams = lambda x: F.transform(F.array(words(x)), lambda ws: F.struct(ws.alias("ws"), pairs(ws).alias("bs")))[0]
-    lines = (
+    run = ("doc_id", "key", "paragraph", "line", "lines")
+    runs = (
         rows.where(F.arrays_overlap(bigrams("text")["bs"], own))
-        .select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(F.split("text", "\n")).alias("line", "paragraph"))
+        .select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(paragraphs("text")).alias("paragraph", "_lines"))
         .distinct()
-        .withColumn("_b", bigrams("paragraph"))
+        .select("doc_id", "key", "paragraph", "_lines", F.posexplode("_lines").alias("line", "_first"))
+        .select("*", F.explode(F.expr(f"sequence(1, least({SPAN}, size(_lines) - line))")).alias("lines"))
+        .select(*run, F.array_join(F.slice("_lines", F.col("line") + 1, F.col("lines")), " ").alias("notice"))
+        .withColumn("_b", bigrams("notice"))
         .where(F.size(F.array_intersect("_b.bs", own)) >= 2)
-        .select("doc_id", "key", "line", "paragraph", "_b.ws", "_b.bs")
+        .select(*run, "notice", "_b.ws", "_b.bs")
     )
     # bounded by the templates: some hundred terms, a column for each class
     table = F.broadcast(spark.createDataFrame([(t, [float(x) for x in w]) for t, w in zip(model.vocabulary, model.weights, strict=True)], "term string, w array<double>"))
     many = len(model.classes)
-    sums = lines.select("doc_id", "key", "line", F.explode(F.array_distinct(F.concat("ws", "bs"))).alias("term")).join(table, "term").groupBy("doc_id", "key", "line").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(many)))
+    sums = runs.select(*run, "notice", F.explode(F.array_distinct(F.concat("ws", "bs"))).alias("term")).join(table, "term").groupBy(*run, "notice").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(many)))
     z = F.array(*(F.col(f"z{c}") + float(model.bias[c]) for c in range(many)))
-    likely = sums.select("doc_id", "key", "line", z.alias("z")).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    likely = sums.select(*run, "notice", z.alias("z")).withColumn("top", F.array_max("z")).withColumn("best", (F.array_position("z", F.col("top")) - 1).cast("int"))
     known = likely.where(F.col("best") < many - 1).select(
-        F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("line").alias("l"), F.element_at(F.array(*map(F.lit, model.classes)), F.col("best") + 1).alias("family"),
-        F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))").alias("probability"),
-    )
-    templates = F.broadcast(spark.createDataFrame([(f, [t for t in dict.fromkeys(terms_of(x)) if " " in t]) for f, xs in sorted(TEMPLATES.items()) for x in xs], "family string, ts array<string>").groupBy("family").agg(F.collect_list("ts").alias("templates")))
-    met = lines.join(known, F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).join(templates, "family")
+        *run, "notice", F.element_at(F.array(*map(F.lit, model.classes)), F.col("best") + 1).alias("family"), F.expr("1 / aggregate(z, 0D, (a, x) -> a + exp(x - top))").alias("probability")
+    )
+    bigrams_of = lambda xs: [[t for t in dict.fromkeys(terms_of(x)) if " " in t] for x in xs]
+    templates = F.broadcast(spark.createDataFrame([(f, bigrams_of(xs), ONLY[f]) for f, xs in sorted(TEMPLATES.items())], "family string, templates array<array<string>>, only array<string>"))
     overlap = F.expr("array_max(transform(templates, t -> size(array_intersect(bs, t)) / greatest(2, least(size(t), size(array_distinct(bs))))))")
-    return met.withColumn("overlap", overlap).where(f"overlap >= {CONFIRM}").select("doc_id", "key", "line", "paragraph", "family", "probability", "overlap")
+    met = known.join(templates, "family").withColumn("bs", bigrams("notice")["bs"]).withColumn("overlap", overlap).where(f"overlap >= {CONFIRM} and arrays_overlap(bs, only)").select(*run, "notice", "family", "probability", "overlap")
+    # runs with a shorter one inside: each looks up its parts
+    inside = F.expr("flatten(transform(sequence(1, lines - 1), n -> transform(sequence(line, line + lines - n), a -> struct(a as line, n as lines))))")
+    parts = met.where("lines > 1").select(*run, F.explode(inside).alias("part"))
+    same = [parts["key"] == F.col("s.key"), parts["doc_id"].eqNullSafe(F.col("s.doc_id")), parts["paragraph"] == F.col("s.paragraph"), parts["part.line"] == F.col("s.line"), parts["part.lines"] == F.col("s.lines")]
+    longer = parts.join(met.select(*run).alias("s"), same, "left_semi").select(*(F.col(c).alias(f"_{c}") for c in run)).distinct()
+    outer = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in run]
+    return met.join(longer, outer, "left_anti")
 
 
 def scan_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row doc_id, n_paragraphs (lines of the text), n_licensed (licence lines), families (sorted), probability (the
-    highest, 0 without any)."""
+    """Per row doc_id, n_paragraphs (blocks between blank lines), n_licensed (those with a notice), families (sorted),
+    probability (the highest, 0 without any)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_paragraphs"), F.col("text").isNull().alias("none")
+        "doc_id", F.xxhash64("doc_id", "text").alias("key"), F.when(F.col("text").isNull(), 0).otherwise(F.size(paragraphs("text"))).cast("long").alias("n_paragraphs")
     )
-    found = scan(docs, model, doc_id, text).groupBy("doc_id", "key").agg(F.count("*").alias("n_licensed"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
+    found = scan(docs, model, doc_id, text).groupBy("doc_id", "key").agg(F.countDistinct("paragraph").alias("n_licensed"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
     own = found.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "n_licensed", "families", "probability")
     joined = rows.join(own.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return joined.select(
-        "doc_id", F.when(F.col("none"), 0).otherwise(F.col("n_paragraphs")).cast("long").alias("n_paragraphs"), F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"),
-        F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability"),
-    )
+        "doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability")
+    )
