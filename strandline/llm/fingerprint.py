@@ -8,8 +8,8 @@ for each bucket that has a k-mer. Likeness is the share of equal entries among t
 text about changes tuples even where the set of k-mers stays, which plain MinHash doesn't see. A bucket with one k-mer has no
 order, so for short texts (under some hundred units) much of this is lost.
 
-All of it is computed within the row: two sorts of longs and a few array functions; a long holds 40 bits of hash and 24
-bits of place (texts of over 16 M units wrap their places). Null counts as empty; an empty text, or one of white space,
+All of it is computed within the row: two sorts of longs and a few array functions; a long holds 32 bits of hash and 32
+bits of place, which no text outgrows. Null counts as empty; an empty text, or one of white space,
 has the empty fingerprint; two such are alike by 1, one such and another by 0. Equal texts have equal fingerprints.
 """
 
@@ -33,14 +33,14 @@ def fingerprint(text: str, k: int = 3, take: int = 2) -> Column:
     """array<string> of the column of that name: an entry of eight hex digits per filled bucket, in bucket order."""
     kmer = ", ".join(f"ts[i + {j}]" for j in range(k))
     bucket = lambda x: f"shiftright({x}, 58)"
-    mers = f"if(size(ts) >= {k}, transform(sequence(0, size(ts) - {k}), i -> shiftleft(xxhash64({kmer}), 24) + i), if(size(ts) > 0, array(shiftleft(xxhash64(ts), 24)), array()))"
+    mers = f"if(size(ts) >= {k}, transform(sequence(0, size(ts) - {k}), i -> shiftleft(xxhash64({kmer}), 32) + i), if(size(ts) > 0, array(shiftleft(xxhash64(ts), 32)), array()))"
     # where a new k-mer begins in sorted order; the distance from there is the occurrence
-    runs = "filter(sequence(0, size(ss) - 1), i -> i = 0 or shiftright(ss[i], 24) <> shiftright(ss[greatest(i - 1, 0)], 24))"
+    runs = "filter(sequence(0, size(ss) - 1), i -> i = 0 or shiftright(ss[i], 32) <> shiftright(ss[greatest(i - 1, 0)], 32))"
     numbers = "if(size(rs) = size(ss), array(), flatten(transform(rs, (s, j) -> sequence(0, coalesce(get(rs, j + 1), size(ss)) - s - 1))))"
-    drawn = "sort_array(transform(ss, (s, i) -> shiftleft(shiftright(xxhash64(shiftright(s, 24), coalesce(get(os, i), 0)), 24), 24) + (s & 16777215L)))"
+    drawn = "sort_array(transform(ss, (s, i) -> shiftleft(shiftright(xxhash64(shiftright(s, 32), coalesce(get(os, i), 0)), 32), 32) + (s & 4294967295L)))"
     least = f"filter(us, (u, i) -> i < {take} or {bucket(f'us[greatest(i - {take}, 0)]')} <> {bucket('u')})"
     firsts = f"filter(sequence(0, size(ms) - 1), i -> i = 0 or {bucket('ms[greatest(i - 1, 0)]')} <> {bucket('ms[i]')})"
-    in_order = "transform(sort_array(transform(slice(ms, i + 1, coalesce(get(fs, j + 1), size(ms)) - i), x -> shiftleft(x & 16777215L, 40) + shiftrightunsigned(x, 24))), y -> y & 1099511627775L)"
+    in_order = "transform(sort_array(transform(slice(ms, i + 1, coalesce(get(fs, j + 1), size(ms)) - i), x -> shiftleft(x, 32) + shiftrightunsigned(x, 32))), y -> y & 4294967295L)"
     entry = f"concat(lpad(hex({bucket('ms[i]')} + 32L), 2, '0'), right(lpad(hex(xxhash64({in_order})), 16, '0'), 6))"
     listed = _let(firsts, "fs", f"transform(fs, (i, j) -> {entry})")
     body = _let(runs, "rs", _let(numbers, "os", _let(drawn, "us", _let(least, "ms", listed))))

@@ -289,6 +289,46 @@ def test_pack_matches_the_tokenizer(spark):
     assert WordTokenizer(path).stems_work and WordTokenizer(path).lowers
 
 
+def entries(fingerprint):
+    """bucket: tuple hash."""
+    return {fingerprint[a : a + 2]: fingerprint[a + 2 : a + 8] for a in range(0, len(fingerprint), 8)}
+
+
+def alike(a, b):
+    either = a.keys() | b.keys()
+    return sum(a.get(x) == b.get(x) for x in either) / len(either) if either else 1.0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_likeness_follows_edit_distance(spark):
+    """Texts of 300 words with 0 to 120 of them replaced, deleted or inserted, and a text with its halves swapped: likeness
+    falls with the true distance, and sees the swap that a set of k-mers does not."""
+    draw = random.Random(31)
+    base = [f"w{draw.randrange(3000)}" for _ in range(300)]
+    texts = [base]
+    for n in (0, 3, 10, 30, 60, 120):
+        own = list(base)
+        for _ in range(n):
+            at, how = draw.randrange(len(own)), draw.randrange(3)
+            own[at : at + (how < 2)] = [f"n{draw.randrange(9999)}"] if how != 1 else []
+        texts.append(own)
+    texts.append(base[150:] + base[:150])
+    prints = [entries("".join(r["fingerprint"])) for r in fingerprints(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    near = [alike(prints[0], x) for x in prints[1:]]
+    far = [edit_distance(base, t) for t in texts[1:]]
+    assert far == sorted(far[:-1]) + far[-1:] and near[0] == 1
+    assert all(a > b for a, b in zip(near[:-1], near[1:-1])) and near[1] > 0.85 and near[5] < 0.25
+    assert near[-1] < 0.65  # all k-mers but two stay
+
+
 def test_fingerprints_and_edits(spark):
     rows = [r for r in corpus(8)]
     got = compare_edits(frame(spark, rows)).collect()
@@ -305,6 +345,12 @@ def test_fingerprints_and_edits(spark):
         assert by_text.setdefault(text[i], r["fingerprint"]) == r["fingerprint"]
         if edited == text[i]:
             assert r["near_edited"] == 1
+        own, other = (entries(r[c]) for c in ("fingerprint", "edited_fingerprint"))
+        assert abs(r["near_edited"] - alike(own, other)) < 1e-9
+    prints = {r["doc_id"]: entries(r["fingerprint"]) for r in got}
+    for r in got:
+        after = order[(order.index(r["doc_id"]) + 1) % len(order)]
+        assert abs(r["near_next"] - alike(prints[r["doc_id"]], prints[after])) < 1e-9
     assert compare_edits(frame(spark, [])).count() == 0
     alone = compare_edits(frame(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (None, None)])).collect()
     assert len(alone) == 3
@@ -320,14 +366,14 @@ def brute_fingerprint(spark, text, k=3, take=2):
 
     seen, drawn = {}, []
     for at, m in enumerate(mers):
-        h = (hashed(*m) << 24 & (1 << 64) - 1) >> 24
-        h = h - (1 << 40) if h >= 1 << 39 else h
+        h = hashed(*m) & (1 << 32) - 1
+        h = h - (1 << 32) if h >= 1 << 31 else h
         occurrence = seen.get(h, 0)
         seen[h] = occurrence + 1
-        drawn.append((spark.range(1).select(F.expr(f"xxhash64({h}L, {occurrence})")).first()[0] >> 24 << 24 | at, at))
+        drawn.append((spark.range(1).select(F.expr(f"xxhash64({h}L, {occurrence})")).first()[0] >> 32 << 32 | at, at))
     by = {}
     for u, at in sorted(drawn):
-        by.setdefault(u >> 58, []).append((at, u >> 24 & (1 << 40) - 1))
+        by.setdefault(u >> 58, []).append((at, u >> 32 & (1 << 32) - 1))
     out = []
     for bucket in sorted(by):
         values = ", ".join(f"{u}L" for _, u in sorted(by[bucket][:take]))
