@@ -1,14 +1,19 @@
 """Substring dedup: Rabin-Karp hashes of every fixed-length word window, counted over all documents.
 
-Map tasks hash every window and send, per bucket of the hash, one packed row of (hash, document, place). What a task
-sees twice it settles itself: of equal windows it sends those of its smallest document only and marks the others as
-covered, so a window that a third of the documents share costs each reducer a row per task, not per document. A reducer
-sorts one bucket, marks windows that also start in a smaller document, and returns their places, packed by parts of the
-document ids; a second one gathers a document's places, which merge into maximal intervals. Buckets grow in number with the input, so that one fits in a worker.
-
-Windows are equal if their 64-bit hashes are. Nulls, empty texts: no words, nothing removed. Texts shorter than a window
-stay. A null doc_id counts as larger than every other. Rows that repeat a doc_id don't cover one another; identical rows
-each give a row. Extra columns of the input are ignored.
+Map tasks hash every window twice, by independent word hashes; the second hash chooses the bucket, and per bucket one
+packed row of (first hash, document, place) is sent. What a task sees twice it settles itself: of equal windows of one
+document it sends the first, of those of several documents that of the smallest, and marks the others as covered, so a
+window that a third of the documents share costs each reducer a row per task, not per document. A reducer sorts one bucket,
+marks windows that also start in a smaller document, and returns their places, packed by parts of the document ids; a
+second one gathers a document's places. Equal windows of those documents are found again in their texts, and the windows
+merge into maximal intervals. Buckets grow in number with the input, so that one fits in a worker, and each has a task.
+
+Windows are equal if their first hashes and their buckets are. As buckets hold about BUCKET_BYTES of input each, the bits
+compared grow with the input: N windows in N / c buckets make c N / 2^65 false pairs to expect, 0.4 for 10^13 windows.
+
+Nulls, empty texts: no words, nothing removed. Texts shorter than a window stay. A null doc_id counts as larger than every
+other. Rows that repeat a doc_id don't cover one another; identical rows each give a row. Extra columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, plan_bytes
-from .tokens import chunks, mix, rolling, split_words, word_hashes
+from .tokens import chunks, mix, rolling, split_words, word_hash_pairs
 
 NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
@@ -66,42 +71,51 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), np.repeat(crcs, counts), total - np.repeat(total[first] - steps[first], counts)
 
 
+def window_hashes(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first hash, second hash, document, place) of every window of these texts."""
+    offsets, words = split_words(text)
+    one, two = (rolling(h, width) for h in word_hash_pairs(words))
+    counts = np.maximum(0, np.diff(offsets) - width + 1)
+    docs = np.repeat(np.arange(len(counts)), counts)
+    places = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    starts = offsets[:-1][docs] + places
+    return one[starts], two[starts], docs, places.astype(np.uint32)
+
+
 def hasher(width: int, buckets: int):
+    schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
-        hashes, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        hashes, bucket, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
         known = np.array(ids, np.int64).reshape(-1, 2)
-        order = np.lexsort((known[docs, 0], hashes))
-        h, d = hashes[order], known[docs[order], 0]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        least = d[first][np.cumsum(first) - 1]
-        mine = np.empty(len(h), bool)
-        mine[order] = d == least
+        # of equal windows of one document the first speaks for all; sorting by hash keeps documents and places in order
+        order = np.lexsort((bucket, hashes))
+        h, k, d = hashes[order], bucket[order], docs[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+        order = order[new | np.concatenate(([True], d[1:] != d[:-1]))]
+        h, k, d = hashes[order], bucket[order], known[docs[order], 0]
+        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]))))
+        mine = d == np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
+        order, mine = (order[o := np.argsort(order)], mine[o])
         rows = []
         if not mine.all():
-            rows.append(_pack(int(hashes[0] % np.uint64(buckets)), docs[~mine], places[~mine], None, known))
-        hashes, docs, places = hashes[mine], docs[mine], places[mine]
-        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(edges)):
-            own = order[edges[b] : edges[b + 1]]
-            rows.append(_pack(int(b), docs[own], places[own], hashes[own], known))
-        schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
+            rows.append(_pack(int(bucket[0]), docs[order[~mine]], places[order[~mine]], None, known))
+        order = order[mine]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+        for own in np.split(order, edges[1:]):
+            rows.append(_pack(int(bucket[own[0]]), docs[own], places[own], hashes[own], known))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, windows = [], [], 0
         for batch in batches:
             for part in chunks(batch, "text"):
-                offsets, words = split_words(part.column("text"))
-                hashes = rolling(word_hashes(words), width)
-                counts = np.maximum(0, np.diff(offsets) - width + 1)
-                starts = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-                docs = np.repeat(np.arange(len(counts)), counts)
-                if len(starts):
-                    held.append((hashes[starts], docs + len(ids), (starts - offsets[:-1][docs]).astype(np.uint32)))
+                one, two, docs, places = window_hashes(part.column("text"), width)
+                if len(one):
+                    held.append((one, (two % np.uint64(buckets)).astype(np.int32), docs + len(ids), places))
                 ids += zip(part.column("id").to_pylist(), part.column("crc").to_pylist(), strict=True)
-                windows += len(starts)
+                windows += len(one)
                 if windows >= FLUSH_WINDOWS:
                     yield from flush(held, ids)
                     held, ids, windows = [], [], 0
@@ -111,6 +125,16 @@ def hasher(width: int, buckets: int):
     return run
 
 
+def spread(starts: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The places of all windows of a document that are equal to one of those at `starts`."""
+    if len(np.unique(one)) == len(one):
+        return starts
+    codes = np.unique(np.stack([one, two]), axis=1, return_inverse=True)[1].ravel()
+    covered = np.zeros(codes.max() + 1, bool)
+    covered[codes[starts]] = True
+    return np.flatnonzero(covered[codes])
+
+
 def _by_document(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> pa.Table:
     order = np.lexsort((places, crcs, ids))
     ids, crcs, places = ids[order], crcs[order], places[order]
@@ -174,7 +198,8 @@ def cutter(width: int):
                 if len(some):
                     kept = kept.to_pylist()
                     for i in some.tolist():
-                        starts = np.frombuffer(places[i].as_py(), "<u4").astype(np.int64)
+                        one, two, _, _ = window_hashes(part.column("text").slice(i, 1), width)
+                        starts = spread(np.frombuffer(places[i].as_py(), "<u4").astype(np.int64), one, two)
                         edge = np.bincount(starts, minlength=n_words[i] + 1)[: n_words[i] + 1] > 0
                         since = np.maximum.accumulate(np.where(edge, np.arange(n_words[i] + 1), -width))
                         kept[i], removed[i] = cut(kept[i], (np.arange(n_words[i] + 1) - since < width)[:-1])
@@ -201,7 +226,7 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     buckets = max(16, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
     packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
     # as many tasks as buckets, so that what one reads doesn't grow with the input
-    settled = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settler(buckets), SETTLED)
-    covered = settled.repartition(buckets, "part").groupBy("part").applyInArrow(gather, COVERED)
+    settled = packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(settler(buckets), SETTLED)
+    covered = settled.repartitionById(buckets, "part").groupBy("part").applyInArrow(gather, COVERED)
     joined = rows.join(covered.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "places")
     return joined.mapInArrow(cutter(width), T.StructType([*own.schema.fields, *SPLIT]))

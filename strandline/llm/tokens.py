@@ -66,6 +66,15 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return own[coded.indices.to_numpy()] if len(own) else np.zeros(0, np.uint64)
 
 
+def word_hash_pairs(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word, the halves of one of 128 bits."""
+    coded = words.dictionary_encode()
+    digest = xxhash.xxh3_128_digest
+    own = np.frombuffer(b"".join(digest(w) for w in coded.dictionary.cast(pa.binary()).to_pylist()), "<u8").reshape(-1, 2)
+    index = coded.indices.to_numpy()
+    return own[index, 0], own[index, 1]
+
+
 def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """Rabin-Karp: the polynomial hash, modulo 2^64, of the window of `width` words that starts at each word."""
     n = max(0, len(hashes) - width + 1)

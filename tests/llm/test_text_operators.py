@@ -218,6 +218,28 @@ def test_substring_matches_brute_force(spark):
     assert substring_dedup(frame(spark, [])).count() == 0
 
 
+def test_substring_equal_windows_of_one_document(spark):
+    """Windows that a document repeats, alone, beside copies in smaller and larger documents, and within one flush."""
+    same, line = "same " * 40, " ".join(f"q{i}" for i in range(13))
+    rows = [(1, f"{line} a {line}"), (2, f"b {line} c {line} {line}"), (3, same), (4, same + same), (5, f"x {line}"), (6, f"y y {same}z")]
+    first, expected = {}, {}
+    for i, t in rows:
+        ws, gone = t.split(), set()
+        for p in range(len(ws) - 12):
+            if first.setdefault(tuple(ws[p : p + 13]), i) < i:
+                gone |= set(range(p, p + 13))
+        expected[i] = sorted(gone)
+    for parts in (1, 6):
+        got = substring_dedup(frame(spark, rows).repartition(parts, "doc_id")).collect()
+        assert {r["doc_id"]: [q for x in r["removed"] for q in range(x["start"], x["end"])] for r in got} == expected
+
+
+def test_substring_buckets_have_a_task_each(spark):
+    docs = frame(spark, corpus(5))
+    plan = substring_dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "hashpartitioning(bucket" not in plan and "hashpartitioning(part" not in plan
+
+
 def test_substring_repeated_and_null_ids(spark):
     t = " ".join(f"z{i}" for i in range(15))
     got = substring_dedup(frame(spark, [(1, t), (1, t), (1, t + " end"), (2, t), (None, t), (None, None)])).collect()
