@@ -81,6 +81,25 @@ def small(df: DataFrame, measured_bytes: int) -> DataFrame:
     return F.broadcast(df) if measured_bytes <= BROADCAST_BYTES else df
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: Column, ask: Column | None = None) -> DataFrame:
+    """rows with the columns of table, a stored one with a row for each key and, in `n`, how many of the rows have it; null
+    where there is none or `ask` doesn't hold. No key makes a large task: a table of a small size is broadcast; of a larger
+    one the keys with more than a 256th of all rows, 256 at most, are; rows left without a question are dealt by `spread`."""
+    ask, own = F.lit(True) if ask is None else F.coalesce(ask, F.lit(False)), [c for c in table.columns if c not in (key, "n")]
+    told = table.select(F.col(key).alias("_key"), "n", F.struct(*own).alias("_told"))
+    if 8 * plan_bytes(table) <= BROADCAST_BYTES:
+        met = rows.withColumn("_ask", ask).join(F.broadcast(told.drop("n")), F.col("_ask") & (F.col(key) == F.col("_key")), "left")
+    else:
+        total = table.agg(F.sum("n")).first()[0] or 0
+        heavy = told.where(F.col("n") * 256 > total).select(F.col("_key").alias("_heavy"), F.col("_told").alias("_first"))
+        light = told.where(F.col("n") * 256 <= total).select("_key", "_told", F.lit(0).cast("long").alias("_deal"))
+        some = rows.withColumn("_ask", ask).join(F.broadcast(heavy), F.col("_ask") & (F.col(key) == F.col("_heavy")), "left")
+        open_ = F.col("_ask") & F.col("_heavy").isNull() & F.col(key).isNotNull()
+        dealt = some.withColumn("_own", F.when(open_, 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 40))).cast("long"))
+        met = dealt.join(light, (F.col(key) == F.col("_key")) & (F.col("_own") == F.col("_deal")), "left").withColumn("_told", F.coalesce("_told", "_first"))
+    return met.select(*rows.columns, *(F.col(f"_told.{c}").alias(c) for c in own))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; texts of ASCII only take the fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

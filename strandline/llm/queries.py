@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, licences, quality, toxicity
-from .common import fold
+from .common import fold, stored
 from .decontaminate import decontaminate
 from .fingerprint import compare_edits
 from .near_dup import near_duplicates
@@ -66,7 +66,7 @@ select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = com
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"))
-    return resolve(read_records(index, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return resolve(stored(read_records(index, payloads=False), "warc-records")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP4_SQL = """

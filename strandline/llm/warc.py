@@ -1,13 +1,19 @@
 """WARC archives, index first: every record's file, offset, length, URL and digest are known before anything is read.
 
 Writing: payload digests are grouped first, so that of equal payloads of at least `least` bytes the record with the
-smallest id is the response and the others are revisits. Each task then writes gzip members, one per record, to files of
-bounded size of its own in the shared folder and returns the index rows. A file that a lost or repeated attempt wrote is
-in no index row, so nothing is read twice. Reading: the selected index rows are sorted by (file, offset), neighbouring
-byte ranges are coalesced into one read, and each record is cut out and parsed.
+smallest id is the response and the others are revisits; smaller payloads take no part in it, and a payload that many
+pages share is looked up in a broadcast. Each task then writes gzip members, one per record, to files of bounded size of
+its own in the shared folder and returns the index rows. A file that a lost or repeated attempt wrote is in no index row,
+so nothing is read twice. Reading: the selected index rows are sorted by (file, offset), neighbouring byte ranges are
+coalesced into one read, and each record is cut out and parsed.
+
+A response's block is an HTTP response with the payload as its body; the payload digest is that of the body. A record is
+named by its file and its place there, so repeated rows and null ids have names of their own; page ids are in fields of
+their own, which the standard allows.
 
 Null html: an empty payload. Null url: an empty target. A null page_id is written and read as null; it counts as larger
-than every other. Repeated rows are records of their own. Empty table: no archive, no rows. Extra columns are ignored.
+than every other. Repeated rows are records of their own; of rows that share the smallest id of a payload all are
+responses, and revisits name the first url of them. Empty table: no archive, no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,10 +24,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_dir, partitions_for, stored
+from .common import dropped, looked_up, new_dir, partitions_for, stored
 
 #: Bytes of one archive file, of the gap that is read over rather than skipped, and of one coalesced read.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20
@@ -36,27 +42,30 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path if "://" in path else "file://" + (path.removeprefix("file:") if path.startswith("file:") else path))
 
 
-def record(page_id: int | None, url: str, digest: str, kind: str, refers_to: int | None, refers_url: str | None, payload: bytes) -> bytes:
+def record(name: str, page_id: int | None, url: str, digest: str, kind: str, refers_to: int | None, refers_url: str | None, payload: bytes) -> bytes:
     """One WARC/1.1 record, uncompressed. A revisit has no block; its payload is that of the record it refers to."""
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}"]
+    told = lambda x: "" if x is None else str(x)
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:record:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}", f"Page-ID: {told(page_id)}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(refers_to)}", f"WARC-Refers-To-Target-URI: {refers_url or ''}"]
-        payload = b""
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {told(refers_url)}", "WARC-Refers-To-Date: 1970-01-01T00:00:00Z", f"Refers-To-Page-ID: {told(refers_to)}"]
+        block = b""
     else:
-        lines.append("Content-Type: text/html; charset=utf-8")
-    lines.append(f"Content-Length: {len(payload)}")
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
+        lines.append("Content-Type: application/http; msgtype=response")
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    lines.append(f"Content-Length: {len(block)}")
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields, payload): of an HTTP response its body."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields.get("Content-Type", "").startswith("application/http") else block
 
 
-def _id(urn: str) -> int | None:
-    return int(x) if (x := urn.removeprefix("<urn:page:").removesuffix(">")) else None
+def _id(told: str) -> int | None:
+    return int(told) if told else None
 
 
 def writer(folder: str):
@@ -73,9 +82,10 @@ def writer(folder: str):
                         store.create_dir(base, recursive=True)
                     path, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{base}/{path}", compression=None)
-                url = " ".join((r["url"] or "").split())
+                url, refers_url = (" ".join((r[c] or "").split()) for c in ("url", "refers_url"))
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                member = packer.compress(record(r["page_id"], url, r["payload_digest"], r["record_type"], r["refers_to"], None, (r["html"] or "").encode())) + packer.flush()
+                name = f"{path.removesuffix('.warc.gz')}:{at}"
+                member = packer.compress(record(name, r["page_id"], url, r["payload_digest"], r["record_type"], r["refers_to"], refers_url, (r["html"] or "").encode())) + packer.flush()
                 out.write(member)
                 rows.append((r["page_id"], r["url"], r["payload_digest"], r["record_type"], r["refers_to"], f"{folder}/{path}", at, len(member)))
                 at += len(member)
@@ -92,13 +102,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"))
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     sized = rows.select("*", F.sha2(payload, 256).alias("payload_digest"), F.octet_length(payload).alias("size"))
-    # small payloads are never shared: each row is a group of its own and stays out of the join
-    firsts = sized.where(f"size >= {least}").groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "first")
-    told = sized.join(firsts.hint("shuffle_hash"), "payload_digest", "left")
+    # small payloads are never shared: they ask for nothing
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    groups = sized.where(f"size >= {least}").groupBy("payload_digest").agg(F.min(named).alias("of"), F.count("*").alias("n")).where("n > 1 and of is not null")
+    firsts = stored(groups.select("payload_digest", "n", F.col("of.page_id").alias("first"), F.col("of.url").alias("refers_url")), "warc-firsts")
+    told = looked_up(sized, firsts, "payload_digest", F.struct("page_id", "url"), F.col("size") >= least)
     second = (F.col("first").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = told.withColumn("record_type", F.when(second, "revisit").otherwise("response")).withColumn("refers_to", F.when(second, F.col("first")))
     folder = folder or new_dir(pages.sparkSession, "warc")
-    return stored(marked.select("page_id", "url", "payload_digest", "record_type", "refers_to", "html").mapInArrow(writer(folder), INDEX), "warc-index")
+    index = stored(marked.select("page_id", "url", "payload_digest", "record_type", "refers_to", "refers_url", "html").mapInArrow(writer(folder), INDEX), "warc-index")
+    dropped(firsts)
+    return index
 
 
 def reader(keep_payload: bool):
@@ -128,7 +142,7 @@ def reader(keep_payload: bool):
                     fields, payload = parse(zlib.decompress(data[begin : begin + r["length"]], 31))
                     revisit = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:") if revisit else hashlib.sha256(payload).hexdigest()
-                    out.append((_id(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], _id(fields["WARC-Refers-To"]) if revisit else None, None if revisit else len(payload), digest, payload if keep_payload else None))
+                    out.append((_id(fields["Page-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], _id(fields["Refers-To-Page-ID"]) if revisit else None, None if revisit else len(payload), digest, payload if keep_payload else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"])
                 at = end
         if handle:
@@ -148,6 +162,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """Give each revisit the size of the response that has its digest; records of one archive set."""
-    known = records.where("record_type = 'response' and payload_bytes is not null").groupBy("payload_digest").agg(F.max("payload_bytes").alias("known"))
-    return records.join(known.hint("shuffle_hash"), "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "known")).drop("known")
+    """Give each revisit the size of the response that has its digest; records of one archive set, which are read twice, so
+    they should be stored."""
+    asked = records.where("record_type = 'revisit'").groupBy("payload_digest").agg(F.count("*").alias("n"))
+    sizes = records.where("record_type = 'response' and payload_bytes is not null").groupBy("payload_digest").agg(F.max("payload_bytes").alias("known"))
+    known = stored(asked.join(sizes, "payload_digest"), "warc-sizes")
+    told = looked_up(records, known, "payload_digest", F.struct("page_id", "url"), F.col("payload_bytes").isNull())
+    return told.withColumn("payload_bytes", F.coalesce("payload_bytes", "known")).drop("known")

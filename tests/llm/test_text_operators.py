@@ -262,8 +262,41 @@ def test_warc_round_trip(spark):
     chosen = read_records(index.where("page_id in (1, 7)")).collect()
     assert sorted(r["page_id"] for r in chosen) == [1, 7]
     assert read_records(write_archives(pages.limit(0))).count() == 0
-    fields, payload = parse(record(3, "u", "d", "response", None, None, b"a\r\n\r\nb"))
-    assert payload == b"a\r\n\r\nb" and fields["WARC-Type"] == "response"
+    data = record("f:0", 3, "u", "d", "response", None, None, b"a\r\n\r\nb")
+    fields, payload = parse(data)
+    assert payload == b"a\r\n\r\nb" and fields["WARC-Type"] == "response" and fields["Content-Type"] == "application/http; msgtype=response"
+    assert data.partition(b"\r\n\r\n")[2].startswith(b"HTTP/1.1 200 OK\r\n") and data.endswith(b"b\r\n\r\n")
+    fields, payload = parse(record("f:9", 4, "v", "d", "revisit", 3, "u", b"x"))
+    assert payload == b"" and fields["WARC-Refers-To-Target-URI"] == "u" and fields["Refers-To-Page-ID"] == "3"
+
+
+def test_warc_files_are_gzip_members_with_names_of_their_own(spark, tmp_path):
+    import gzip
+
+    big = "z" * 150
+    pages = spark.createDataFrame([(1, "a", big), (1, "b", big), (2, "c", big), (2, "c", big), (None, "d", big), (None, None, "s"), (None, None, "s")], "page_id long, url string, html string")
+    index = write_archives(pages, f"file://{tmp_path}/warc")
+    whole = b"".join(gzip.decompress(f.read_bytes()) for f in sorted((tmp_path / "warc").iterdir()))
+    names = re.findall(rb"WARC-Record-ID: (\S+)", whole)
+    assert len(names) == len(set(names)) == 7 and whole.count(b"WARC/1.1\r\n") == 7
+    got = sorted(((r["page_id"], r["url"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in resolve(read_records(index)).collect()), key=repr)
+    assert got == sorted([(1, "a", "response", None, 150), (1, "b", "response", None, 150), (2, "c", "revisit", 1, 150), (2, "c", "revisit", 1, 150), (None, "d", "revisit", 1, 150), (None, "", "response", None, 1), (None, "", "response", None, 1)], key=repr)
+    assert whole.count(b"WARC-Refers-To-Target-URI: a\r\n") == 3
+
+
+def test_keys_are_looked_up_alike_whatever_the_size(spark, monkeypatch):
+    from strandline.llm import common
+
+    draw = random.Random(3)
+    rows = spark.createDataFrame([(i, draw.choice(["hot"] * 400 + [f"k{j}" for j in range(300)] + [None])) for i in range(2000)], "id long, k string")
+    table = common.stored(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "keys")
+    ask = F.col("id") % 3 > 0
+    told = lambda: sorted(map(tuple, common.looked_up(rows, table, "k", F.col("id"), ask).collect()), key=repr)
+    small_ = told()
+    least = {r["k"]: r["least"] for r in table.collect()}
+    assert small_ == sorted(((r["id"], r["k"], least.get(r["k"]) if r["id"] % 3 else None) for r in rows.collect()), key=repr)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert told() == small_
 
 
 def test_plan_packs_every_piece_once():
