@@ -11,7 +11,9 @@ aggregations and a join that Spark can split); what this joins becomes one compo
 leaders. What is left are nodes of one bucket in different components. Of such a node only shingles that also occur in
 another component can be shared by a new link; their number bounds its similarity to anything in the bucket, exactly, and
 most nodes go by that. The rest are dealt into blocks, of which each pair meets in a task that counts all intersections of
-their sets and returns only links, so none is lost and no other pair is ever a row. Components are found by star contraction in stored tables.
+their sets and returns only links, so none is lost and no other pair is ever a row. They meet bucket by bucket, or, where
+their buckets overlap so much that this is less work, in all connected buckets at once. Components are found by star
+contraction in stored tables. A bucket, or a class of equal texts, with many of the rows is looked up in a broadcast.
 
 Shingles are compared by 64-bit hashes. Nulls, empty texts: no shingles, linked with nothing. A null doc_id is linked
 with nothing, component_id null, kept. Rows that share a doc_id are one node, so each such row gets that component.
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, looked_up, stored
 from .components import components
 from .tokens import ODD, chunks, mix, split_words, word_hashes
 
@@ -209,8 +211,7 @@ class _Search:
         own = has.join(self.classes.select("class", F.col("node").alias("doc_id")), ["class", "doc_id"]).dropDuplicates(["doc_id", "class"])
         self.nodes = self.held(own.select(F.col("doc_id").alias("node"), "signature", "bands", "n_shingles"), "nodes")
         members = self.nodes.select("node", F.explode("bands").alias("band"), "n_shingles")
-        met = members.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("band")
-        self.members = self.held(members.join(met, "band"), "members")
+        self.members = self.held(self.shared(members, "node"), "members")
         # the texts of nodes that share a bucket, taken from all texts once
         self.texts = self.held(rows.join(self.members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text"), "texts")
         self.compared = self.links = None
@@ -221,6 +222,12 @@ class _Search:
         self.scratch.append(out)
         return out
 
+    def shared(self, members: DataFrame, what: str) -> DataFrame:
+        """Those of buckets in which `what` is not the same throughout."""
+        met = members.groupBy("band").agg(F.min(what).alias("a"), F.max(what).alias("b"), F.count("*").alias("n")).where("a < b")
+        told = looked_up(members, self.held(met.select("band", "n", F.lit(True).alias("_met")), "buckets"), "band", F.col("node"))
+        return told.where("_met").drop("_met")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """Pairs (u < v) that were not compared before, through pruning and confirmation; returns the new links."""
         if self.compared is not None:
@@ -241,8 +248,7 @@ class _Search:
         if labels is None:
             return self.members.withColumn("comp", F.col("node"))
         told = self.members.join(labels, "node", "left").withColumn("comp", F.coalesce("component", F.col("node"))).drop("component")
-        mixed = told.groupBy("band").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("band")
-        return self.held(told.join(mixed, "band"), "open")
+        return self.held(self.shared(told, "comp"), "open")
 
     def near(self) -> str:
         """Sizes that can be of similar sets."""
@@ -251,9 +257,9 @@ class _Search:
 
     def by_leader(self, around: DataFrame, turn: int) -> DataFrame:
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp", "n_shingles")
-        leaders = around.groupBy("band").agg(F.min(order).alias("l")).select("band", "l.node", "l.comp", "l.n_shingles")
-        met = around.alias("x").join(leaders.alias("y"), "band").where(f"x.comp <> y.comp and {self.near()}")
-        return met.select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
+        leaders = self.held(around.groupBy("band").agg(F.min(order).alias("y"), F.count("*").alias("n")).select("band", "n", "y"), "leaders")
+        met = looked_up(around.select("band", "node", F.struct("node", "comp", "n_shingles").alias("x")), leaders, "band", F.col("node"))
+        return met.where(f"x.comp <> y.comp and {self.near()}").select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct()
 
     def bounded(self, around: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(members that may still have a link to another component of their bucket; node, shingle: those of their
@@ -266,28 +272,36 @@ class _Search:
         num, den = self.similarity.numerator, self.similarity.denominator
         for _ in range(2):
             # the similarity to a set of n is at most shared / (n_shingles + n - shared), and n is at least `shared`
-            told = left.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b")
-            left = self.held(left.join(told, "band").where(f"{den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least", "a", "b"), "bounded")
+            told = left.groupBy("band").agg(F.min("n_shingles").alias("least"), F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("n")).where("a < b")
+            sized = looked_up(left, self.held(told.select("band", "n", "least"), "least"), "band", F.col("node"))
+            left = self.held(sized.where(f"least is not null and {den} * shared >= {num} * (n_shingles + greatest(least, shared) - shared)").drop("least"), "bounded")
         return left, shared
 
     def all_left(self, around: DataFrame, shared: DataFrame) -> DataFrame:
-        """Links between different components. Nodes that share a bucket, directly or over others, are a cluster; those
-        outside its main component meet all, block by block: only links leave as rows, and no block outgrows a task."""
+        """Links between different components. Nodes that share a bucket, directly or over others, are a cluster. Of a bucket,
+        or of a whole cluster where this makes fewer pairs than its buckets one by one, the nodes outside its main component
+        meet all, block by block: only links leave as rows, and no block outgrows a task."""
         stars = around.groupBy("band").agg(F.min("node").alias("v")).join(around.select("band", F.col("node").alias("u")), "band").select("u", "v")
-        nodes = around.select("node", "comp", "n_shingles", "shared").distinct()
-        placed = nodes.join(components(stars), "node").withColumnRenamed("component", "cluster")
-        per = placed.groupBy("cluster", "comp").agg(F.count("*").alias("n"), F.sum("shared").alias("w")).groupBy("cluster").agg(
+        placed = self.held(around.join(components(stars), "node").withColumnRenamed("component", "cluster"), "placed")
+        nodes = placed.select("cluster", F.lit(None).cast("long").alias("band"), "node", "comp", "n_shingles", "shared").distinct()
+        either = nodes.union(placed.select(*nodes.columns))
+        group = ("cluster", "band")
+        per = either.groupBy(*group, "comp").agg(F.count("*").alias("n"), F.sum("shared").alias("w")).groupBy(*group).agg(
             F.sum("n").alias("n"), F.sum("w").alias("w"), F.max(F.struct("n", "w", "comp")).alias("main")
         )
+        work = F.col("n").cast("double") * (F.col("n") - F.col("main.n"))
+        cheaper = per.groupBy("cluster").agg((F.sum(F.when(F.col("band").isNull(), work)) <= F.sum(F.when(F.col("band").isNotNull(), work))).alias("whole"))
         many = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / (BLOCK * 512)), F.lit(1))
-        per = per.select("cluster", F.col("main.comp").alias("main"), many(F.col("n"), F.col("w")).alias("rows"), many(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("guests"))
-        sets = shared.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("shingles"))
-        told = placed.join(per, "cluster").join(sets, "node")
-        columns = ("cluster", "node", "comp", "n_shingles", "shingles")
+        per = per.where("n > main.n").join(cheaper, "cluster").where("whole = (band is null)")
+        per = per.select(*group, F.col("main.comp").alias("main"), many(F.col("n"), F.col("w")).alias("rows"), many(F.col("n") - F.col("main.n"), F.col("w") - F.col("main.w")).alias("guests"))
+        sets = shared.join(placed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.collect_list("shingle").alias("shingles"))
+        same = (F.col("x.cluster") == F.col("y.cluster")) & F.col("x.band").eqNullSafe(F.col("y.band"))
+        told = either.alias("x").join(per.alias("y"), same).select("x.*", "y.main", "y.rows", "y.guests").join(sets, "node")
+        columns = (*group, "node", "comp", "n_shingles", "shingles")
         hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         own = told.select(*columns, hashed("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(0).alias("guest"))
         guests = told.where("comp <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), hashed("guests").alias("j"), F.lit(1).alias("guest"))
-        return own.union(guests).groupBy("cluster", "i", "j").applyInArrow(blocks(self.similarity), CHECKED).distinct()
+        return own.union(guests).groupBy(*group, "i", "j").applyInArrow(blocks(self.similarity), CHECKED).distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) of linked nodes."""
@@ -312,8 +326,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float | str = "0.8"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     search = _Search(rows, k, Fraction(str(similarity)))
     labels = search.labels()
-    groups = search.classes.join(labels, "node", "left").select("class", F.coalesce("component", F.col("node")).alias("component_id"))
-    told = search.signed.select("doc_id", "class", "n_shingles").join(groups, "class", "left")
+    groups = stored(search.classes.join(labels, "node", "left").select("class", "n", F.coalesce("component", F.col("node")).alias("component_id")), "groups")
+    told = looked_up(search.signed.select("doc_id", "class", "n_shingles"), groups, "class", F.col("doc_id"))
     # rows of one doc_id are one node even where their texts differ
     own = F.when(F.col("n_shingles") > 0, F.least("component_id", F.col("doc_id"))).otherwise(F.col("doc_id"))
     return told.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id")).withColumn(

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import queries
+from strandline.llm import common, queries
 from strandline.llm.components import components
 from strandline.llm.decontaminate import decontaminate, proximity
 from strandline.llm.fingerprint import compare_edits, fingerprints
@@ -162,8 +162,10 @@ def brute_components(rows, k, num, den):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize(("k", "similarity", "num"), [(3, "0.85", 85), (5, "0.8", 80)])
-def test_near_duplicates_match_brute_force(spark, k, similarity, num):
+@pytest.mark.parametrize(("k", "similarity", "num", "small"), [(3, "0.85", 85, True), (5, "0.8", 80, False)])
+def test_near_duplicates_match_brute_force(spark, k, similarity, num, small, monkeypatch):
+    if not small:  # as on tables too large to broadcast
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
     rows = corpus(3)
     draw = random.Random(4)
     base = [f"b{i}" for i in range(120)]
@@ -176,6 +178,24 @@ def test_near_duplicates_match_brute_force(spark, k, similarity, num):
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_what_is_left_meets_by_bucket_or_by_cluster(spark):
+    """Nodes 0 to 29 in a chain of buckets of three (by bucket), 100 to 129 all in five buckets (by cluster)."""
+    from fractions import Fraction
+
+    from strandline.llm.near_dup import _Search
+
+    draw = random.Random(14)
+    sets = {i: {*range(10 * (i // 2), 10 * (i // 2) + 10)} | {1000 + i} for i in range(30)} | {i: {*range(500, 560), *draw.sample(range(600, 700), 6)} for i in range(100, 130)}
+    bands = [(b, i) for b in range(28) for i in (b, b + 1, b + 2)] + [(100 + b, i) for b in range(5) for i in range(100, 130)]
+    around = spark.createDataFrame([(b, i, i, len(sets[i]), len(sets[i])) for b, i in bands], "band long, node long, comp long, n_shingles long, shared long")
+    shared = spark.createDataFrame([(i, x) for i, s in sets.items() for x in s], "node long, shingle long")
+    search = _Search.__new__(_Search)
+    search.similarity, search.scratch = Fraction("0.8"), []
+    got = {tuple(r) for r in search.all_left(around, shared).collect()}
+    expected = {(u, v) for u in sets for v in sets if u < v and 10 * len(sets[u] & sets[v]) >= 8 * len(sets[u] | sets[v]) and any((b, u) in bands and (b, v) in bands for b in {b for b, _ in bands})}
+    assert got == expected and any(u < 30 for u, _ in got) and any(u >= 100 for u, _ in got)
+
+
 def test_near_duplicates_edges(spark):
     got = near_duplicates(frame(spark, [(5, "a b c d"), (5, "a b c d"), (3, "a b c d"), (None, "a b c d"), (7, ""), (8, None)]), 3, "0.85").collect()
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in got) == [(-1, -1, True), (3, 3, True), (5, 3, False), (5, 3, False), (7, 7, True), (8, 8, True)]
@@ -285,8 +305,6 @@ def test_warc_files_are_gzip_members_with_names_of_their_own(spark, tmp_path):
 
 
 def test_keys_are_looked_up_alike_whatever_the_size(spark, monkeypatch):
-    from strandline.llm import common
-
     draw = random.Random(3)
     rows = spark.createDataFrame([(i, draw.choice(["hot"] * 400 + [f"k{j}" for j in range(300)] + [None])) for i in range(2000)], "id long, k string")
     table = common.stored(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "keys")
