@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences by exact complements.
 
 Only the histogram of piece lengths (at most `capacity` entries) meets on the driver. There the plan is made over whole
-length classes: the longest open length asks for its gap; sums of one, two and three open lengths that fill it exactly
-are taken under the counts still available; what no such sum fills is packed best-fit in decreasing length. The plan says,
+length classes: the longest open length asks an index of sums for its gap: sums of one, two and three lengths that fill it
+exactly are taken from it while the counts still allow them; what no such sum fills is packed best-fit in decreasing
+length. The plan says,
 for the n-th piece of each length, in which sequence and where it goes. Pieces are numbered by their task and their place
 in it, with offsets from counts per task and length, so no length, however common, meets in one task.
 
@@ -167,29 +168,51 @@ def cutter(path: str, capacity: int, end: int):
     return run
 
 
-def _exact(open_: np.ndarray, longest: int, gap: int) -> list[int] | None:
-    """One, two or three open lengths, the largest first, that sum to the gap beside a piece of `longest`."""
-    free = open_.copy()
-    free[longest] -= 1
-
-    def single(g: int) -> list[int] | None:
-        return [g] if g > 0 and free[g] > 0 else None
-
-    def pair(g: int, most: int) -> list[int] | None:
-        a = np.arange(min(most, g - 1), (g - 1) // 2, -1)
-        fits = a[(free[a] > 0) & (free[g - a] > (a == g - a))] if len(a) else a
-        return [int(fits[0]), int(g - fits[0])] if len(fits) else None
-
-    if found := single(gap) or pair(gap, gap):
-        return found
-    for a in range(gap - 2, (gap - 1) // 3, -1):
-        if free[a] > 0:
-            free[a] -= 1
-            found = pair(gap - a, a)
-            free[a] += 1
-            if found:
-                return [a, *found]
-    return None
+class SumIndex:
+    """Sums of one, two and three lengths of a histogram, and which of them the counts still allow.
+
+    Pairs are listed by their sum, the largest length first; a triple is its largest length and a pair of the rest. Counts
+    only fall, so what they once forbid they always will: each sum keeps a place in its list and never looks back.
+    """
+
+    def __init__(self, counts: np.ndarray) -> None:
+        self.counts, self.lengths = counts, np.flatnonzero(counts)[::-1]
+        a, b = (x.ravel() for x in np.meshgrid(self.lengths, self.lengths, indexing="ij"))
+        fits = (a >= b) & (a + b < len(counts))
+        a, b = a[fits], b[fits]
+        order = np.argsort(a + b, kind="stable")
+        self.first, self.second = a[order], b[order]
+        self.ends = np.cumsum(np.bincount(a + b, minlength=len(counts)))
+        self.pair_at = self.ends - np.bincount(a + b, minlength=len(counts))
+        self.triple_at = np.zeros(len(counts), np.int64)
+
+    def allows(self, *lengths: int) -> bool:
+        return all(self.counts[x] >= lengths.count(x) for x in lengths)
+
+    def pair(self, total: int, beside: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """The first pair of this sum, no length over `most`, that the counts allow beside other lengths."""
+        while self.pair_at[total] < self.ends[total] and not self.allows(int(self.first[self.pair_at[total]]), int(self.second[self.pair_at[total]])):
+            self.pair_at[total] += 1
+        begin, end = int(self.pair_at[total]), int(self.ends[total])
+        begin += int(np.searchsorted(-self.first[begin:end], -most))  # the largest lengths come first
+        for at in range(begin, end):
+            found = int(self.first[at]), int(self.second[at])
+            if self.allows(*found, *beside):
+                return found
+        return None
+
+    def triple(self, total: int, beside: int) -> tuple[int, ...] | None:
+        while (at := self.triple_at[total]) < len(self.lengths) and (a := int(self.lengths[at])) * 3 >= total:
+            if a < total - 1 and self.counts[a] and (rest := self.pair(total - a, (a, beside), a)):
+                return a, *rest
+            self.triple_at[total] += 1
+        return None
+
+    def fill(self, gap: int, beside: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that sum to the gap, available beside a piece of length `beside`."""
+        if gap > 0 and self.counts[gap] and self.allows(gap, beside):
+            return (gap,)
+        return (self.pair(gap, (beside,), gap) or self.triple(gap, beside)) if gap > 1 else None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
@@ -201,8 +224,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[int]]
     if open_[capacity]:
         found.append((int(open_[capacity]), [capacity]))
         open_[capacity] = 0
+    index = SumIndex(open_)
     for longest in range(capacity - 1, 0, -1):
-        while open_[longest] > 0 and (rest := _exact(open_, longest, capacity - longest)):
+        while open_[longest] > 0 and (rest := index.fill(capacity - longest, longest)):
             lengths = [longest, *rest]
             needs = {x: lengths.count(x) for x in lengths}
             times = int(min(open_[x] // n for x, n in needs.items()))

@@ -14,7 +14,7 @@ from strandline.llm.components import components
 from strandline.llm.decontaminate import decontaminate, proximity
 from strandline.llm.fingerprint import compare_edits, fingerprints
 from strandline.llm.near_dup import banding, least_matches, near_duplicates
-from strandline.llm.packing import WordTokenizer, pack, plan
+from strandline.llm.packing import SumIndex, WordTokenizer, pack, plan
 from strandline.llm.substring import substring_dedup
 from strandline.llm.warc import parse, read_records, record, resolve, write_archives
 
@@ -333,6 +333,29 @@ def test_plan_packs_every_piece_once():
     assert plan({}, 64) == []
 
 
+def test_sum_index_finds_a_filling_whenever_there_is_one():
+    """Against all combinations of one to three lengths, while counts fall as the plan lets them: the longest goes first."""
+    from itertools import combinations_with_replacement
+
+    draw = random.Random(17)
+    for _ in range(60):
+        capacity = draw.randrange(6, 40)
+        counts = np.zeros(capacity + 1, np.int64)
+        for _ in range(draw.randrange(1, 14)):
+            counts[draw.randrange(1, capacity)] += draw.randrange(1, 4)
+        index = SumIndex(counts)
+        for longest in range(capacity - 1, 0, -1):
+            while counts[longest]:
+                found = index.fill(capacity - longest, longest)
+                free = counts.copy()
+                free[longest] -= 1
+                possible = [c for n in (1, 2, 3) for c in combinations_with_replacement(range(1, capacity), n) if sum(c) == capacity - longest and all(free[x] >= c.count(x) for x in c)]
+                assert (found is not None) == bool(possible) and (found is None or tuple(sorted(found)) in possible)
+                for x in found or ():
+                    counts[x] -= 1
+                counts[longest] -= 1
+
+
 def test_pack_matches_the_tokenizer(spark):
     from tokenizers import Tokenizer
 
