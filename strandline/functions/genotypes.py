@@ -82,3 +82,10 @@ def poisson_log_pmf(x: str, rate: str) -> Column:
 def least_observed_share(mean: Column, beta: float = 0.275) -> Column:
     """Least share of observed k-mers of an allele, by the mean coverage of a k-mer."""
     return 1 - F.exp(-beta * mean)
+
+
+def six_digits(x: str) -> str:
+    """SQL: a number's text with six significant digits at most, as %g gives it (1e-05, 0.0001, 99, 1e+06); a tie goes up."""
+    short = f"format_string('%.5e', cast({x} as double))"
+    plain = f"regexp_replace(format_string('%.10f', cast({short} as double)), '[.]?0+$', '')"
+    return f"case when {x} is null then null when {x} = 0 then '0' when abs(cast({short} as double)) >= 0.0001D and abs(cast({short} as double)) < 1000000D then {plain} else regexp_replace({short}, '[.]?0+e', 'e') end"

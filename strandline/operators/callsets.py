@@ -103,7 +103,7 @@ def resolve_redundant(calls: DataFrame, genome: DataFrame) -> DataFrame:
     genome: id, seq."""
     import pandas as pd
 
-    from strandline.plans.genotype import segments
+    from strandline.sources.fasta import segments
 
     from . import graph, intervals
 

@@ -7,7 +7,9 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.genotypes import genotype_index, least_observed_share, phred
+from strandline.functions.genotypes import genotype_index
+
+from .intervals import clear_of_earlier
 
 
 def allele_stats(calls: DataFrame, filtered: Column | None = None) -> DataFrame:
@@ -18,15 +20,10 @@ def allele_stats(calls: DataFrame, filtered: Column | None = None) -> DataFrame:
     return per.join(totals, "variant_id").withColumn("af", F.col("ac") / F.col("an"))
 
 
-def call_probabilities(calls: DataFrame) -> DataFrame:
-    """variant_id, acp (largest allele posterior of an unfiltered call), qual."""
-    per = calls.where("missing = 0").groupBy("variant_id").agg(F.max("app").alias("acp"))
-    return per.withColumn("qual", phred(F.col("acp")))
-
-
-def inbreeding(calls: DataFrame) -> DataFrame:
-    """variant_id, n_samples, ibc (1 - observed / expected heterozygotes; null where none was observed)."""
-    own = calls.where("missing = 0")
+def inbreeding(calls: DataFrame, eligible: Column | None = None) -> DataFrame:
+    """variant_id, n_samples, ibc (1 - observed / expected heterozygotes; null where none was observed) over complete diploid
+    calls of which neither allele is filtered; eligible: which rows these are (those without `missing` by default)."""
+    own = calls.where(F.col("missing") == 0 if eligible is None else eligible)
     per = own.groupBy("variant_id").agg(F.count("*").alias("n_samples"), F.sum(F.when(F.col("a") != F.col("b"), 1).otherwise(0)).alias("observed"))
     counts = own.select("variant_id", F.explode(F.array("a", "b")).alias("allele")).groupBy("variant_id", "allele").agg(F.count("*").alias("n"))
     squares = counts.groupBy("variant_id").agg(F.sum(F.col("n") * F.col("n")).alias("squares"))
@@ -34,12 +31,6 @@ def inbreeding(calls: DataFrame) -> DataFrame:
     return per.join(squares, "variant_id").select("variant_id", "n_samples", F.when(F.col("observed") > 0, 1 - F.col("observed") / expected).alias("ibc"))
 
 
-def filter_genotypes(calls: DataFrame, min_posterior: float = 0.99, min_kmers: float = 1, mean: float = 15.0) -> DataFrame:
-    """Add saf (1 too few k-mers, 2 too small a share observed) and called: posterior reached and no filter."""
-    saf = F.when(F.col("nak") < min_kmers, 1).otherwise(0) + F.when((F.col("nak") > 0) & (F.col("fak") < least_observed_share(F.lit(mean))), 2).otherwise(0)
-    return calls.withColumn("saf", saf).withColumn("called", (F.col("app") >= min_posterior) & (F.col("saf") == 0) & (F.col("missing") == 0))
-
-
 def trios(calls: DataFrame, pedigree: DataFrame) -> DataFrame:
     """Per (variant_id, family) of pedigree (family, father, mother, child): filtered, concordant, reference_call,
     child_heterozygote, de_novo. A call set's calls meet the small pedigree by sample; no self-join."""
@@ -91,23 +82,24 @@ def collapse(rows: DataFrame, counts: list[str]) -> DataFrame:
 
 
 def nested_genotypes(calls: DataFrame) -> DataFrame:
-    """Of phased (chrom, sample, hap, pos, end_pos, allele): alleles under an earlier accepted alt of their haplotype become
-    0. What is accepted depends on what was before, so each haplotype is scanned in order."""
-    import pandas as pd
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "end_pos", "allele"], kind="stable")
-        last, out = -(1 << 31), []
-        for pos, end, allele in zip(rows["pos"], rows["end_pos"], rows["allele"], strict=True):
-            out.append(0 if pos <= last else allele)
-            if out[-1] > 0:
-                last = max(last, end)
-        return rows.assign(allele=out)
+    """Of (chrom, sample, hap, pos, allele, span, phased, missing) with allele changed to 0 where a phased one lies under an
+    earlier allele of its haplotype that lies under none itself, or where an unphased one is `*`.
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in calls.dtypes)
-    return calls.groupBy("chrom", "sample", "hap").applyInPandas(scan, schema)
+    span: reference bases of the allele after the right trim, 1 for the reference and for `*`; the reference takes its base
+    as any other allele."""
+    rows = calls.withColumnRenamed("chrom", "contig").withColumn("end_pos", F.col("pos") + F.col("span") - 1)
+    told = clear_of_earlier(rows, "sample", "hap")
+    gone = F.when(F.col("phased"), ~F.col("clear")).otherwise(F.col("missing"))
+    return told.withColumn("allele", F.when(gone, 0).otherwise(F.col("allele")).cast(dict(calls.dtypes)["allele"])).withColumnRenamed("contig", "chrom").select(*calls.columns)
 
 
 def genotype_counts(calls: DataFrame) -> DataFrame:
     """variant_id, genotype (G index), n."""
     return calls.where("missing = 0").groupBy("variant_id", genotype_index("a", "b").alias("genotype")).agg(F.count("*").alias("n"))
+
+
+def least_kmers(calls: DataFrame) -> DataFrame:
+    """variant_id, allele, nak, fak: the least over samples, of those that were sampled (-1 stands for none)."""
+    each = calls.select("variant_id", F.posexplode(F.arrays_zip("nak", "fak")).alias("allele", "x"))
+    known = lambda c: F.min(F.when(F.col(f"x.{c}") != -1, F.col(f"x.{c}"))).alias(c)
+    return each.groupBy("variant_id", "allele").agg(known("nak"), known("fak"))

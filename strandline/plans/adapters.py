@@ -7,6 +7,9 @@ common table expressions for an oracle.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.operators import graph, kmers
 
 K = 11
 #: Letters to bases.
@@ -46,6 +49,23 @@ CALL = (
     "max(case when l_returnflag = 'A' then 1 else 0 end) as missing from lineitem group by l_partkey, l_suppkey % 10) c"
 )
 
+#: Calls of three alleles with all that a genotyper tells of them; posteriors are ratios of whole weights, so sums are exact.
+_W = [f"case when missing = 1 then 1 when {g} = {{k}} then 100 * (1 + nak % 3) else (variant_id * {g + 3} + sample * 7) % 4 end as {{n}}{g}" for g in range(6)]
+RICH = (
+    "select variant_id, sample, ploidy, case ploidy when 2 then {A}w0 / w, w1 / w, w2 / w, w3 / w, w4 / w, w5 / w) when 1 then {A}v0 / v, v1 / v, v2 / v) else {E} end as gpp, "
+    "case ploidy when 2 then {A}(w0 + w1 + w3) / w, (w1 + w2 + w4) / w, (w3 + w4 + w5) / w) when 1 then {A}v0 / v, v1 / v, v2 / v) else {E} end as app, "
+    + ", ".join(
+        "case when ploidy > 0 then {A}" + ", ".join(value.format(i=i, none=f"(variant_id + sample * 3 + {i * 5}) % 3 = 0") for i in range(3)) + ") else {E} end as " + name
+        for name, value in (
+            ("nak", "cast((variant_id + sample * 3 + {i} * 5) % 3 as double)"), ("fak", "case when {none} then cast(-1 as double) else cast((variant_id * 7 + sample + {i}) % 11 as double) / 10 end"),
+            ("mac", "case when {none} then cast(-1 as double) else cast((variant_id + {i}) % 40 as double) / 2 end"),
+        )
+    )
+    + " from (select *, cast(w0 + w1 + w2 + w3 + w4 + w5 as double) as w, cast(v0 + v1 + v2 as double) as v from (select variant_id, sample, ploidy, "
+    + ", ".join([x.format(k="g", n="w") for x in _W] + [x.format(k="a", n="v") for x in _W[:3]])
+    + " from (select *, cast(b * (b + 1) / 2 + a as int) as g, case when sample = 9 then 1 when sample = 8 and variant_id % 7 = 0 then 0 else 2 end as ploidy from call) p) q) r"
+)
+
 #: name -> (raw table, Spark SQL, DuckDB SQL, names of other entries that it reads).
 ENTRIES: dict[str, tuple[str, str, str, tuple[str, ...]]] = {
     "seq": ("documents", _seq(True, "documents", "doc_id", "lang, source"), _seq(False, "documents", "doc_id", "lang, source"), ()),
@@ -61,10 +81,21 @@ ENTRIES: dict[str, tuple[str, str, str, tuple[str, ...]]] = {
 }
 HAP = "select source as cluster, lang as hap, kmer, cast(count(*) as int) as mult from occ group by source, lang, kmer"
 TALK = "select role as sample, kmer, cast(count(*) as int) as n from talk_occ group by role, kmer"
+ENTRIES |= {"rich": ("lineitem", RICH.format(A="array(", E="cast(array() as array<double>)"), RICH.format(A="list_value(", E="cast([] as double[])"), ("call",))}
 ENTRIES |= {"hap": ("documents", HAP, HAP, ("occ",)), "talk": ("conversations", TALK, TALK, ("talk_occ",))}
 
 
+#: k-mer entries: the runs they come from, and the columns that they keep.
+KMERS = {"occ": ("seq", ("seq_id", "lang", "source")), "bench_occ": ("bench_seq", ("seq_id",)), "talk_occ": ("talk_seq", ("role",))}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in KMERS:  # by the library's own functions; the oracle says the same in plain SQL
+        runs, keep = KMERS[name]
+        return kmers.explode_kmers(load(spark, sf_dir, runs), K, "run", keep)
+    if name == "hap":
+        runs = load(spark, sf_dir, "seq").select(F.col("source").alias("cluster"), F.col("lang").alias("hap"), F.col("run").alias("seq"))
+        return graph.haplotype_kmers(runs, K)
     table, sql, _, needs = ENTRIES[name]
     sql = sql.replace("{", "{{").replace("}", "}}")  # spark.sql formats its text
     if needs:

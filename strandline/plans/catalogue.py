@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import alleles, genotypes, sequence
@@ -12,25 +10,7 @@ from strandline.operators import callsets, genotyping, graph, inference, interva
 from strandline.sources import fasta, vcf
 
 from .adapters import K, duck, load
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def registered(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
-
+from .registry import QUERIES, SQL, registered, rounded
 
 # ---- k-mers
 
@@ -226,8 +206,10 @@ def interval_dependency(spark, d):
 
 @registered(
     "unit_split",
-    f"""{GROUPED}, t as (select *, sum(n_variants) over (order by contig, group_no rows between unbounded preceding and 1 preceding) as before, sum(n_variants) over () as total from e)
-    select contig, group_no, n_variants, cast(floor(coalesce(before, 0) / ceil(total / greatest(1, floor(total / 5000)))) as int) as unit from t""",
+    f"""{GROUPED}, t as (select *, coalesce(sum(n_variants) over (order by contig, group_no rows between unbounded preceding and 1 preceding), 0) as before from e),
+    z as (select ceil(sum(n_variants) / greatest(1, floor(sum(n_variants) / 5000))) as size from e),
+    u as (select 0 as unit, cast(0 as hugeint) as first union all select u.unit + 1, cast(min(t.before) as hugeint) from u, t, z where t.before >= u.first + z.size group by u.unit)
+    select contig, group_no, n_variants, cast(max(unit) as int) as unit from t join u on first <= before group by all""",
 )
 def unit_split(spark, d):
     return intervals.units(intervals.group_extents(load(spark, d, "ivl"), 3), 5000).select("contig", "group_no", "n_variants", "unit")
@@ -263,14 +245,27 @@ def region_filter(spark, d):
     return intervals.overlapping(load(spark, d, "ivl"), regions).select("contig", "pos", "end_pos", "len")
 
 
-@registered("genomic_intervals")
+@registered(
+    "genomic_intervals",
+    f"""{GROUPED.replace("pos - b >= 3", "pos - b >= 1")}, t as (select contig, start + 1201 as start, coalesce(sum(n_variants) over (partition by contig order by group_no rows between unbounded preceding and 1 preceding), 0) as before from e),
+    r as (select distinct contig, cast(0 as hugeint) as before, 1 as start from e union all select t.contig, cast(min(t.before) as hugeint), min(t.start) from r join t on t.contig = r.contig where t.before >= r.before + 5 group by t.contig)
+    select contig, start - 1 as start, coalesce(lead(start) over (partition by contig order by start) - 2, 3999) as "end" from r""",
+)
 def genomic_intervals(spark, d):
-    return intervals.genomic_bins(load(spark, d, "ivl"), 5)
+    ivl = load(spark, d, "ivl").withColumns({"pos": F.col("pos") + 1201, "end_pos": F.col("end_pos") + 1201})
+    return intervals.genomic_bins(ivl, ivl.select("contig").distinct().withColumn("length", F.lit(4000)), 5)
 
 
-@registered("cluster_components")
+@registered(
+    "cluster_components",
+    f"""{duck('ivl')}, i as (select distinct contig, pos, end_pos from ivl), n as (select *, row_number() over (partition by contig order by pos, end_pos) as n from i),
+    fl as (select contig, n, end_pos as f from n union select contig, n, pos from n where end_pos - pos >= 3),
+    ed as (select distinct b.contig, a.n as u, b.n as v from fl a join n b on a.contig = b.contig and a.n < b.n and b.pos - a.f < 3 and (abs(b.pos - a.f) + 1 <= 3 or abs(b.end_pos - a.f) + 1 <= 3 or (b.pos < a.f and a.f < b.end_pos))),
+    bi as (select contig, u, v from ed union all select contig, v, u from ed), re as (select contig, n, n as m from n union select re.contig, re.n, bi.v from re join bi on re.contig = bi.contig and re.m = bi.u),
+    lo as (select contig, n, min(m) as m from re group by contig, n) select a.contig, a.pos, a.end_pos, b.pos as cluster from n a join lo using (contig, n) join n b on b.contig = a.contig and b.n = lo.m""",
+)
 def cluster_components(spark, d):
-    return intervals.cluster_components(load(spark, d, "ivl"), 3)
+    return intervals.cluster_components(load(spark, d, "ivl").select("contig", "pos", "end_pos").distinct(), 3).select("contig", "pos", "end_pos", "cluster")
 
 
 # ---- alleles and call sets
@@ -357,14 +352,14 @@ def sv_filter(spark, d):
 @registered(
     "annotate_similarity",
     f"""{TRIM}, q as (select variant_id, chrom, pos + "left" as p, tr, ta, cast(ceil(3.0 * greatest(length(tr), length(ta))) as int) as w from t where alt <> '*' and alt <> ref),
-    an as (select variant_id as annotation_id, chrom, p as ap, tr as ar, ta as aa, unnest(list_distinct([p, p + greatest(0, length(tr) - 1)])) as place from q where variant_id % 2 = 0)
+    an as (select variant_id as annotation_id, chrom, p as ap, tr as ar, ta as aa, unnest(list_distinct([p, p + greatest(0, length(tr) - 1)])) as place from q)
     select distinct variant_id, annotation_id from q join an on q.chrom = an.chrom and place between p - w and p + length(tr) + w - 1
     where case when length(tr) = 1 and length(ta) = 1 then p = place and tr = ar and ta = aa
       else 1 - (case when tr = '' or ar = '' then length(tr) + length(ar) else levenshtein(tr, ar) end + case when ta = '' or aa = '' then length(ta) + length(aa) else levenshtein(ta, aa) end) / (greatest(length(tr), length(ar)) + greatest(length(ta), length(aa))) >= 0.5 end""",
 )
 def annotate_similarity(spark, d):
     own = load(spark, d, "allele")
-    return callsets.annotate(own, own.where("variant_id % 2 = 0").withColumnRenamed("variant_id", "annotation_id"))
+    return callsets.annotate(own, own.withColumnRenamed("variant_id", "annotation_id"))
 
 
 # ---- genotypes
@@ -386,28 +381,14 @@ def allele_stats(spark, d):
     return rounded(genotyping.allele_stats(load(spark, d, "call"), F.col("missing") == 1), "af")
 
 
-@registered("call_probabilities", f"{duck('call')}, p as (select variant_id, max(app) as acp from call where missing = 0 group by variant_id) select variant_id, acp, round(case when acp >= 1 - 1e-5 then 99 when acp = 0 then 0 else -10 * log10(1 - acp) end, 6) as qual from p")
-def call_probabilities(spark, d):
-    return rounded(genotyping.call_probabilities(load(spark, d, "call")), "qual")
-
-
 @registered(
     "inbreeding",
-    f"""{duck('call')}, o as (select * from call where missing = 0), p as (select variant_id, count(*) as n, sum(case when a <> b then 1 else 0 end) as h from o group by variant_id),
+    f"""{duck('call')}, o as (select * from call where missing = 0 and sample < 9 and nak >= 2), p as (select variant_id, count(*) as n, sum(case when a <> b then 1 else 0 end) as h from o group by variant_id),
     c as (select variant_id, allele, count(*) as k from (select variant_id, unnest([a, b]) as allele from o) group by all), s as (select variant_id, sum(k * k) as sq from c group by variant_id)
     select variant_id, n as n_samples, round(case when h > 0 then 1 - h / (n * (1 - sq / (4.0 * n * n))) end, 6) as ibc from p join s using (variant_id)""",
 )
 def inbreeding(spark, d):
-    return rounded(genotyping.inbreeding(load(spark, d, "call")), "ibc")
-
-
-@registered(
-    "genotype_filter",
-    f"""{duck('call')}, f as (select *, case when nak < 2 then 1 else 0 end + case when nak > 0 and fak < 1 - exp(-0.275 * 1.5) then 2 else 0 end as saf from call)
-    select variant_id, sample, a, b, saf, app >= 0.95 and saf = 0 and missing = 0 as called from f""",
-)
-def genotype_filter(spark, d):
-    return genotyping.filter_genotypes(load(spark, d, "call"), 0.95, 2, 1.5).select("variant_id", "sample", "a", "b", "saf", "called")
+    return rounded(genotyping.inbreeding(load(spark, d, "call"), F.expr("missing = 0 and sample < 9 and nak >= 2")), "ibc")
 
 
 @registered(
@@ -476,10 +457,19 @@ def ploidy_lookup(spark, d):
     return who.select("sample", "chrom", alleles.default_ploidy("chrom", F.col("sample") % 2 == 0).alias("ploidy"), alleles.contig_class("chrom").alias("class"))
 
 
-@registered("nested_genotypes")
+@registered(
+    "nested_genotypes",
+    f"""{duck('ivl')}, c as (select contig, pos, len % 3 as allele, len % 4 > 0 as phased, len % 3 = 2 and pos % 2 = 0 as missing, case when len % 3 = 0 or (len % 3 = 2 and pos % 2 = 0) then 1 else len end as span from ivl),
+    m as (select contig, pos, min(struct_pack(span := span, allele := allele, phased := phased, missing := missing)) as x from c group by contig, pos),
+    n as (select contig, pos, x.allele as allele, x.phased as phased, x.missing as missing, x.span as span, row_number() over (partition by contig order by pos) as n from m),
+    r as (select contig, n, pos, true as clear, pos + span - 1 as last from n where n = 1 union all select n.contig, n.n, n.pos, r.last < n.pos, case when r.last < n.pos then n.pos + n.span - 1 else r.last end from r join n on n.contig = r.contig and n.n = r.n + 1)
+    select contig as chrom, pos, case when case when phased then not clear else missing end then 0 else allele end as allele from n join r using (contig, n, pos)""",
+)
 def nested_genotypes(spark, d):
-    ivl = load(spark, d, "ivl")
-    return genotyping.nested_genotypes(ivl.select(F.col("contig").alias("chrom"), F.lit(1).alias("sample"), F.lit(0).alias("hap"), "pos", "end_pos", (F.col("len") % 3).alias("allele")))
+    c = load(spark, d, "ivl").withColumns({"allele": F.col("len") % 3, "phased": F.col("len") % 4 > 0, "missing": (F.col("len") % 3 == 2) & (F.col("pos") % 2 == 0)})
+    rows = c.withColumn("span", F.when((F.col("allele") == 0) | F.col("missing"), 1).otherwise(F.col("len")))
+    calls = rows.groupBy(F.col("contig").alias("chrom"), "pos").agg(F.min(F.struct("span", "allele", "phased", "missing")).alias("x")).select("chrom", F.lit(1).alias("sample"), F.lit(0).alias("hap"), "pos", "x.*")
+    return genotyping.nested_genotypes(calls).select("chrom", "pos", "allele")
 
 
 # ---- inference
@@ -516,31 +506,6 @@ def noise_trace(spark, d):
 # ---- tools, lookups and text forms
 
 
-@registered(
-    "filter_tool",
-    f"""{duck('call')}, f as (select *, case when nak < 2 then 1 else 0 end + case when nak > 0 and fak < 1 - exp(-0.275 * 1.5) then 2 else 0 end as saf from call), g as (select *, app >= 0.95 and saf = 0 and missing = 0 as called from f),
-    p as (select variant_id, sum(case when called then 2 else 0 end)::bigint as an, max(case when saf = 0 then app end) as acp, sum(case when called and a = b then 1 else 0 end)::bigint as n_homozygotes from g group by variant_id)
-    select *, round(case when coalesce(acp, 0) >= 1 - 1e-5 then 99 when coalesce(acp, 0) = 0 then 0 else -10 * log10(1 - acp) end, 6) as qual, case when an = 0 then 'AN0' when n_homozygotes < 1 then 'HOM' else 'PASS' end as filter from p""",
-)
-def filter_tool(spark, d):
-    return rounded(tools.filter_calls(load(spark, d, "call"), 1, 0.95, 2, 1.5), "qual")
-
-
-@registered("filter_counts", SQL["filter_tool"].replace("select *, round(case when coalesce", ", z as (select *, round(case when coalesce") + ") select filter, count(*) as n from z group by filter")
-def filter_counts(spark, d):
-    return tools.filter_counts(tools.filter_calls(load(spark, d, "call"), 1, 0.95, 2, 1.5))
-
-
-@registered(
-    "reset_filters",
-    f"""{duck('call')}, g as (select variant_id, sample, round(app / 2, 2) as x, round(1 - app, 2) as y from call)
-    select variant_id, sample, case when x > greatest(y, 0.45) then 0 when y > greatest(x, 0.45) then 1 when 0.45 > greatest(x, y) then 2 end as genotype, 0 as saf from g""",
-)
-def reset_filters(spark, d):
-    g = load(spark, d, "call").select("variant_id", "sample", F.array(F.round(F.col("app") / 2, 2), F.round(1 - F.col("app"), 2), F.lit(0.45)).alias("gpp"))
-    return tools.reset_filters(g).select("variant_id", "sample", "genotype", "saf")
-
-
 @registered(
     "genotype_parse",
     f"""{duck('call')} select variant_id, sample, case when missing = 1 then 1 else 2 end as ploidy, missing = 1 or sample % 2 = 1 as phased, case when missing = 1 then 'Missing' when a = 2 then 'Partial' else 'Complete' end as status,
@@ -625,7 +590,7 @@ def haplotype_graph(spark, d):
     return graph.haplotypes(ready, 5)
 
 
-@registered("annotate_self", SQL["annotate_similarity"].replace("where variant_id % 2 = 0)\n", ")\n").replace("    where case when", "    where not (p = ap and tr = ar and ta = aa) and case when"))
+@registered("annotate_self", SQL["annotate_similarity"].replace("    where case when", "    where not (p = ap and tr = ar and ta = aa) and case when"))
 def annotate_self(spark, d):
     own = load(spark, d, "allele")
     return callsets.annotate(own, own.withColumnRenamed("variant_id", "annotation_id"), skip_same=True)
@@ -649,8 +614,19 @@ def kmer_subsample(spark, d):
     return inference.subsample_kmers(load(spark, d, "hap"), 0.1, 5, 1)
 
 
-@registered("diplotypes")
+@registered(
+    "diplotypes",
+    f"""{COMBINE}, a as (select chrom, cast(length(alt) % 2 as int) as hap, pos - 1 as pos, min(struct_pack(ref := ref, alt := alt)) as x from cs group by all),
+    n as (select chrom, hap, pos, pos + length(x.ref) as last, x.alt as alt, row_number() over (partition by chrom, hap order by pos) as n from a),
+    r as (select chrom, hap, n, pos, 0 as since, true as clear, last from n where n = 1 union all
+      select n.chrom, n.hap, n.n, n.pos, r.last, r.last <= n.pos, case when r.last <= n.pos then n.last else r.last end from r join n on n.chrom = r.chrom and n.hap = r.hap and n.n = r.n + 1)
+    select chrom, 1 as sample, hap, string_agg(substr(repeat('ACGTTGCATCAG', 8), cast(since + 1 as int), cast(pos - since as int)) || alt, '' order by pos) || substr(repeat('ACGTTGCATCAG', 8), cast(max(last) + 1 as int)) as seq
+    from r join n using (chrom, hap, n, pos, last) where clear group by chrom, hap""",
+)
 def diplotypes(spark, d):
     """Two haplotypes of each brand's sequence with the call sets' alleles put in."""
-    calls = callsets.combine(load(spark, d, "callset")).select(F.col("chrom"), F.lit(1).alias("sample"), F.pmod(F.xxhash64("alt"), F.lit(2)).cast("int").alias("hap"), (F.col("pos") - 1).alias("pos"), "ref", "alt")
+    calls = callsets.combine(load(spark, d, "callset")).select(F.col("chrom"), F.lit(1).alias("sample"), (F.length("alt") % 2).alias("hap"), (F.col("pos") - 1).alias("pos"), "ref", "alt")
     return tools.diplotypes(calls, calls.select(F.col("chrom").alias("id")).distinct().withColumn("seq", F.lit("ACGTTGCATCAG" * 8)))
+
+
+from . import output, roundtrips, variants  # noqa: E402, F401  (they register their queries)

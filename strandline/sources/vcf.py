@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.functions.genotypes import parse
+from strandline.functions.genotypes import parse, six_digits
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 FIELD = re.compile(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)')
@@ -125,7 +125,7 @@ def to_lines(variants: DataFrame) -> DataFrame:
     joined = lambda name, sep: F.when(F.coalesce(F.size(name), F.lit(0)) > 0, F.array_join(name, sep)).otherwise(".")
     keys = F.array_sort(F.map_keys("info"))
     info = F.when(F.size("info") > 0, F.array_join(F.transform(keys, lambda k: F.when(F.col("info")[k] == "", k).otherwise(F.concat(k, F.lit("="), F.col("info")[k]))), ";")).otherwise(".")
-    qual = F.coalesce(F.regexp_replace(F.col("qual").cast("string"), r"\.0$", ""), F.lit("."))
+    qual = F.coalesce(F.expr(six_digits("qual")), F.lit("."))
     tail = F.when(F.size("raw") > 0, F.concat(F.lit("\t"), F.array_join("format", ":"), F.lit("\t"), F.array_join("raw", "\t"))).otherwise("")
     return variants.select(F.concat(F.concat_ws("\t", "chrom", F.col("pos").cast("string"), joined("ids", ";"), "ref", joined("alts", ","), qual, joined("filters", ";"), info), tail).alias("value"))
 
