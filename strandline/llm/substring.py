@@ -88,20 +88,25 @@ def hasher(width: int, buckets: int):
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
         hashes, bucket, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
         known = np.array(ids, np.int64).reshape(-1, 2)
-        # of equal windows of one document the first speaks for all; sorting by hash keeps documents and places in order
-        order = np.lexsort((bucket, hashes))
+        # of equal windows of one document the first speaks for all, and says so in the low bit of its place; a stable sort
+        # by hash keeps documents and places in order
+        order = np.argsort(hashes, kind="stable")
         h, k, d = hashes[order], bucket[order], docs[order]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
-        order = order[new | np.concatenate(([True], d[1:] != d[:-1]))]
-        h, k, d = hashes[order], bucket[order], known[docs[order], 0]
-        first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]))))
+        heads = np.flatnonzero(new | np.concatenate(([True], d[1:] != d[:-1])))
+        many = np.diff(np.append(heads, len(order))) > 1
+        order, new, d = order[heads], new[heads], known[d[heads], 0]
+        places = places * np.uint32(2)
+        places[order[many]] += np.uint32(1)
+        first = np.flatnonzero(new)
         mine = d == np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
-        order, mine = (order[o := np.argsort(order)], mine[o])
+        sent, covered = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+        sent[order[mine]], covered[order[~mine]] = True, True
         rows = []
-        if not mine.all():
-            rows.append(_pack(int(bucket[0]), docs[order[~mine]], places[order[~mine]], None, known))
-        order = order[mine]
-        order = order[np.argsort(bucket[order], kind="stable")]
+        if covered.any():
+            rows.append(_pack(int(bucket[0]), docs[covered], places[covered], None, known))
+        order = np.flatnonzero(sent)
+        order = order[np.argsort(bucket[order].astype(np.uint16) if buckets <= 1 << 16 else bucket[order], kind="stable")]
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for own in np.split(order, edges[1:]):
             rows.append(_pack(int(bucket[own[0]]), docs[own], places[own], hashes[own], known))
@@ -198,8 +203,11 @@ def cutter(width: int):
                 if len(some):
                     kept = kept.to_pylist()
                     for i in some.tolist():
-                        one, two, _, _ = window_hashes(part.column("text").slice(i, 1), width)
-                        starts = spread(np.frombuffer(places[i].as_py(), "<u4").astype(np.int64), one, two)
+                        marked = np.frombuffer(places[i].as_py(), "<u4").astype(np.int64)
+                        starts = marked >> 1
+                        if (marked & 1).any():
+                            one, two, _, _ = window_hashes(part.column("text").slice(i, 1), width)
+                            starts = spread(starts, one, two)
                         edge = np.bincount(starts, minlength=n_words[i] + 1)[: n_words[i] + 1] > 0
                         since = np.maximum.accumulate(np.where(edge, np.arange(n_words[i] + 1), -width))
                         kept[i], removed[i] = cut(kept[i], (np.arange(n_words[i] + 1) - since < width)[:-1])
