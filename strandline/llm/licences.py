@@ -9,9 +9,10 @@ known), and on background lines that look like no licence; its temperature is th
 which calibrates the unknown class. Its weights are a small table: vocabulary x classes, bounded by the templates.
 
 Scoring: a predicted family is confirmed by comparison with its templates: enough of the bigrams of a template, or of the
-run, must be in the other, never fewer than two, and one of them in no other family's templates (`licensed under the` alone
-tells no family). So whole texts are first tested for a bigram of any template, then
-their runs for two, which loses none; the features of the rest meet the weights in a broadcast join and add up per run.
+run, must be in the other, never fewer than two, and one of them, not of fillers alone, in no other family's templates (`licensed under the` alone
+tells no family). So whole texts are first tested for a bigram of one family, then the lines, each with the next one's first
+word, for where it stands, which loses none; only runs over such lines are made. Their features meet the weights in a
+broadcast join and add up per run.
 
 Null and empty texts have no licence and no paragraph. Repeated rows each give a row; rows of one doc_id are judged by their
 own text. An empty table gives no rows. Extra columns are ignored. Ties between families go to the first in the alphabet.
@@ -26,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Short public notices by family.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
@@ -74,8 +77,8 @@ def template_bigrams() -> list[str]:
 
 
 LICENCE_BIGRAMS = frozenset(t for t in template_bigrams() if not FILLERS.issuperset(t.split())) - {t for x in NEAR_MISSES for t in terms_of(x)}
-#: family: bigrams that templates of no other family hold.
-ONLY = {f: sorted({t for x in xs for t in terms_of(x) if " " in t} - {t for g, ys in TEMPLATES.items() if g != f for y in ys for t in terms_of(y)}) for f, xs in TEMPLATES.items()}
+#: family: bigrams, not of fillers alone, that templates of no other family hold.
+ONLY = {f: sorted({t for x in xs for t in terms_of(x) if " " in t} - {t for g, ys in TEMPLATES.items() if g != f for y in ys for t in terms_of(y)} - {t for x in xs for t in terms_of(x) if FILLERS.issuperset(t.split())}) for f, xs in TEMPLATES.items()}
 TEMPLATE_WORDS = [frozenset(terms_of(x)) - FILLERS for ts in TEMPLATES.values() for x in ts]
 
 
@@ -172,18 +175,30 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     own = F.array(*map(F.lit, template_bigrams()))
+    telling = F.array(*map(F.lit, sorted({t for ts in ONLY.values() for t in ts})))
     # the words are bound once, as `pairs` names them often
-    bigrams = lambda x: F.transform(F.array(words(x)), lambda ws: F.struct(ws.alias("ws"), pairs(ws).alias("bs")))[0]
+    bound = lambda ws, told: F.transform(F.array(ws), told)[0]
+    bigrams = lambda x: bound(words(x), lambda ws: F.struct(ws.alias("ws"), pairs(ws).alias("bs")))
     run = ("doc_id", "key", "paragraph", "line", "lines")
+    none = F.array().cast("array<string>")
+
+    def runs_of(ws: Column) -> Column:
+        """Of the words of each line of a paragraph the runs to score, with their words: one expression, evaluated once."""
+        onward = lambda j: F.concat(F.get(ws, j), F.slice(F.coalesce(F.get(ws, j + 1), none), 1, 1))
+        told = F.filter(F.sequence(F.lit(0), F.size(ws) - 1), lambda j: F.arrays_overlap(pairs(onward(j)), telling))
+        sizes = lambda j: F.filter(F.sequence(F.lit(1), F.lit(SPAN)), lambda n: n <= F.size(ws))
+        begins = lambda j, n: F.greatest(F.lit(0), j - n + 1)
+        over = lambda j: F.flatten(F.transform(sizes(j), lambda n: F.transform(F.sequence(begins(j, n), F.greatest(begins(j, n), F.least(j, F.size(ws) - n))), lambda i: F.struct(i.alias("line"), n.alias("lines")))))
+        spelled = F.transform(F.array_distinct(F.flatten(F.transform(told, over))), lambda r: F.struct(r["line"].alias("line"), r["lines"].alias("lines"), F.flatten(F.slice(ws, r["line"] + 1, r["lines"])).alias("ws")))
+        return F.filter(spelled, lambda r: F.exists(F.array(pairs(r["ws"])), lambda bs: (F.size(F.array_intersect(bs, own)) >= 2) & F.arrays_overlap(bs, telling)))
+
     runs = (
-        rows.where(F.arrays_overlap(bigrams("text")["bs"], own))
+        rows.where(F.arrays_overlap(bigrams("text")["bs"], telling))
         .select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.posexplode(paragraphs("text")).alias("paragraph", "_lines"))
+        .select("doc_id", "key", "paragraph", "_lines", F.explode(bound(F.transform("_lines", words), runs_of)).alias("_run"))
+        .select("doc_id", "key", "paragraph", "_run.line", "_run.lines", F.array_join(F.slice("_lines", F.col("_run.line") + 1, F.col("_run.lines")), " ").alias("notice"))
         .distinct()
-        .select("doc_id", "key", "paragraph", "_lines", F.posexplode("_lines").alias("line", "_first"))
-        .select("*", F.explode(F.expr(f"sequence(1, least({SPAN}, size(_lines) - line))")).alias("lines"))
-        .select(*run, F.array_join(F.slice("_lines", F.col("line") + 1, F.col("lines")), " ").alias("notice"))
         .withColumn("_b", bigrams("notice"))
-        .where(F.size(F.array_intersect("_b.bs", own)) >= 2)
         .select(*run, "notice", "_b.ws", "_b.bs")
     )
     # bounded by the templates: some hundred terms, a column for each class
@@ -198,7 +213,8 @@ def scan(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "tex
     bigrams_of = lambda xs: [[t for t in dict.fromkeys(terms_of(x)) if " " in t] for x in xs]
     templates = F.broadcast(spark.createDataFrame([(f, bigrams_of(xs), ONLY[f]) for f, xs in sorted(TEMPLATES.items())], "family string, templates array<array<string>>, only array<string>"))
     overlap = F.expr("array_max(transform(templates, t -> size(array_intersect(bs, t)) / greatest(2, least(size(t), size(array_distinct(bs))))))")
-    met = known.join(templates, "family").withColumn("bs", bigrams("notice")["bs"]).withColumn("overlap", overlap).where(f"overlap >= {CONFIRM} and arrays_overlap(bs, only)").select(*run, "notice", "family", "probability", "overlap")
+    met = known.join(templates, "family").withColumn("bs", bigrams("notice")["bs"]).withColumn("overlap", overlap).where(f"overlap >= {CONFIRM} and arrays_overlap(bs, only)")
+    met = stored(met.select(*run, "notice", "family", "probability", "overlap"), "licence-runs")
     # runs with a shorter one inside: each looks up its parts
     inside = F.expr("flatten(transform(sequence(1, lines - 1), n -> transform(sequence(line, line + lines - n), a -> struct(a as line, n as lines))))")
     parts = met.where("lines > 1").select(*run, F.explode(inside).alias("part"))
