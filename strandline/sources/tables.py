@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.shared import first_lines
+
+from . import fasta
+
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
     """sample, female, prefix; a sex that is none of F, Female, M, Male raises when it is read."""
@@ -14,15 +18,27 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ploidy(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> DataFrame:
-    """chrom, female, male (0 to 2). With contigs (chrom): those that the file lacks come with null ploidies."""
-    raw = spark.read.csv(path, sep="\t", schema="chrom string, female int, male int").where("female between 0 and 2 and male between 0 and 2")
-    return raw if contigs is None else contigs.select("chrom").join(raw, "chrom", "left")
+    """chrom, female, male. A ploidy outside 0 to 2, or a contig of contigs (chrom) that the file lacks, raises when it is read."""
+    raw = spark.read.csv(path, sep="\t", schema="chrom string, female string, male string")
+    if contigs is not None:
+        raw = contigs.select("chrom").join(raw, "chrom", "left")
+    value = lambda c: F.when(F.col(c).isin("0", "1", "2"), F.col(c).cast("int")).otherwise(F.raise_error(F.concat(F.lit("no ploidy of "), "chrom", F.lit(": "), F.coalesce(c, F.lit("none")))).cast("int"))
+    return raw.select("chrom", value("female").alias("female"), value("male").alias("male"))
+
+
+def with_ploidy(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Add ploidy to (chrom, female, …) by the table of read_ploidy, which has a row for each contig."""
+    own = table.select("chrom", F.col("female").alias("_f"), F.col("male").alias("_m"))
+    return rows.join(own, "chrom").withColumn("ploidy", F.when(F.col("female"), F.col("_f")).otherwise(F.col("_m"))).drop("_f", "_m")
 
 
-def read_kmers(spark: SparkSession, path: str) -> DataFrame:
-    """kmer, n (at most 255) from Parquet or tab-separated text."""
+def read_kmers(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
+    """kmer, n (at most 255) from Parquet or tab-separated text; with k, a k-mer of another size raises when it is read."""
     raw = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, sep="\t", schema="kmer string, n long")
-    return raw.select(F.col(raw.columns[0]).alias("kmer"), F.least(F.lit(255), F.col(raw.columns[1])).cast("int").alias("n"))
+    kmer = F.col(raw.columns[0])
+    if k is not None:
+        kmer = F.when(F.length(kmer) == k, kmer).otherwise(F.raise_error(F.concat(F.lit(f"not a {k}-mer: "), kmer)).cast("string"))
+    return raw.select(kmer.alias("kmer"), F.least(F.lit(255), F.col(raw.columns[1])).cast("int").alias("n"))
 
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
@@ -35,16 +51,19 @@ def write_regions(regions: DataFrame, path: str) -> None:
 
 
 def read_parameter_kmers(spark: SparkSession, path: str, k: int) -> DataFrame:
-    """kmer of the lines after `>k<size>`; a file of another size gives no row."""
-    lines = spark.read.text(path)
-    fits = lines.where(F.col("value") == f">k{k}").limit(1).count() > 0
-    return lines.where(F.lit(fits) & ~F.col("value").startswith(">") & (F.length("value") == k)).select(F.col("value").alias("kmer"))
+    """kmer of the lines after `>k<size>`; a file of another size raises."""
+    head = first_lines(spark, path, ">")
+    if head != [f">k{k}"]:
+        raise ValueError(f"k-mers of another size: {head}")
+    return spark.read.text(path).where(~F.col("value").startswith(">")).select(F.col("value").alias("kmer"))
 
 
-def write_parameter_kmers(kmers: DataFrame, path: str, k: int, most: int) -> None:
+def write_parameter_kmers(kmers: DataFrame, path: str, k: int, most: int, wanted: Column | None = None) -> None:
+    """A line `>k<size>`, then at most `most` of the k-mers for which `wanted` holds."""
     spark = kmers.sparkSession
     head = spark.createDataFrame([(f">k{k}",)], "value string")
-    head.coalesce(1).union(kmers.select("kmer").limit(most)).write.option("compression", "gzip").text(path)
+    own = kmers if wanted is None else kmers.where(wanted)
+    head.coalesce(1).union(own.select("kmer").limit(most)).write.option("compression", "gzip").text(path)
 
 
 def read_repeats(spark: SparkSession, path: str) -> DataFrame:
@@ -88,6 +107,18 @@ def read_callsets(spark: SparkSession, spec: str, reader) -> DataFrame:
     return out
 
 
+def pedigree_of_names(samples: list[str]) -> list[tuple[str, str, str, str]]:
+    """(family, father, mother, child) of samples named `<family>-01` (father), `-02` (mother) and `-03`, `-04`, … (children);
+    families without both parents or without a child have no trio, a name of another form raises."""
+    families: dict[str, dict[int, str]] = {}
+    for name in samples:
+        family, _, member = name.rpartition("-")
+        if not family or not member.isdigit():
+            raise ValueError(f"no family in the name {name}")
+        families.setdefault(family, {})[int(member)] = name
+    return [(f, own[1], own[2], own[n]) for f, own in sorted(families.items()) if {1, 2} <= own.keys() for n in sorted(own) if n > 2]
+
+
 def pedigree(spec: str) -> list[tuple[int, str, str, str]]:
     """(family, father, mother, child) of `father,mother,child:father,mother,child`."""
     found = [x.split(",") for x in spec.split(":")]
@@ -115,4 +146,35 @@ def write_bed(intervals: DataFrame, path: str) -> None:
 
 
 def write_units(units: DataFrame, path: str) -> None:
+    """A folder for each unit; what is there already is not written over."""
     units.write.partitionBy("unit").mode("errorifexists").parquet(path)
+
+
+def read_units(spark: SparkSession, path: str, units: list[int] | None = None) -> DataFrame:
+    """The rows of these units, or of all; only their folders are read."""
+    rows = spark.read.parquet(path)
+    return rows if units is None else rows.where(F.col("unit").isin(units))
+
+
+def concatenated(parts: list[DataFrame], *order: str) -> DataFrame:
+    """Tables of the units of one run, in one order; their columns must be the same, in any order."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.orderBy(*order)
+
+
+def write_noise_trace(trace: DataFrame, path: str, burn_in: int = 100) -> None:
+    """Tab-separated Chain, Iteration and a column of rates for each sample; the last row, 0 and 0, has the means after the
+    burn-in."""
+    names = [r[0] for r in trace.select("sample").distinct().orderBy("sample").collect()]  # the samples of a run
+    rows = trace.groupBy("chain", "iteration").pivot("sample", names).agg(F.first("rate"))
+    means = trace.where(F.col("iteration") >= burn_in).groupBy().pivot("sample", names).agg(F.avg("rate")).select(F.lit(0).alias("chain"), F.lit(0).alias("iteration"), *(F.col(f"`{n}`") for n in names))
+    whole = rows.withColumn("_last", F.lit(0)).unionByName(means.withColumn("_last", F.lit(1)))
+    whole.orderBy("_last", "chain", "iteration").drop("_last").toDF("Chain", "Iteration", *map(str, names)).coalesce(1).write.csv(path, sep="\t", header=True)
+
+
+def write_haplotypes(haplotypes: DataFrame, path: str, width: int = 60) -> None:
+    """FASTA records `chrom_hap`, a folder for each sample. haplotypes: chrom, sample, hap, seq."""
+    records = haplotypes.select("sample", F.concat_ws("_", "chrom", "hap").alias("id"), "seq")
+    records.select("sample", fasta.record("id", "seq", width).alias("value")).write.partitionBy("sample").text(path)

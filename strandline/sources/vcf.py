@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.genotypes import parse, six_digits
+from strandline.shared import first_lines
+
+from . import fasta
 
 FIXED = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
 FIELD = re.compile(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,]*)(?:,|$)')
@@ -52,9 +55,8 @@ def parse_header(lines: list[str]) -> Header:
 
 
 def read_header(spark: SparkSession, path: str) -> Header:
-    """Header lines are the only ones that start with #; their order is restored by kind."""
-    lines = [r["value"] for r in spark.read.text(path).where(F.col("value").startswith("#")).collect()]
-    return parse_header(lines)
+    """The lines at the head that start with #; the rest of the file is not read."""
+    return parse_header(first_lines(spark, path, "#"))
 
 
 def read_variants(spark: SparkSession, path: str, header: Header | None = None, partitions: int | None = None) -> DataFrame:
@@ -105,9 +107,40 @@ def precise(variants: DataFrame) -> DataFrame:
     return variants.where(~F.map_contains_key("info", "IMPRECISE"))
 
 
-def keep_declared(variants: DataFrame, info: list[str], filters: list[str]) -> DataFrame:
-    """Only these INFO keys and FILTER labels stay."""
-    return variants.withColumn("info", F.map_filter("info", lambda k, _: k.isin(info))).withColumn("filters", F.filter("filters", lambda x: x.isin(filters)))
+def keep_declared(variants: DataFrame, info: list[str], filters: list[str], formats: list[str] | None = None) -> DataFrame:
+    """Only these INFO keys, FILTER labels and, if asked, FORMAT keys (with the samples' values) stay."""
+    out = variants.withColumn("info", F.map_filter("info", lambda k, _: k.isin(info))).withColumn("filters", F.filter("filters", lambda x: x.isin(filters)))
+    if formats is None:
+        return out
+    kept = F.filter(F.sequence(F.lit(0), F.size("format") - 1), lambda i: F.get("format", i).isin(formats))
+    values = F.transform("raw", lambda r: F.array_join(F.array_compact(F.transform(F.col("_kept"), lambda i: F.get(F.split(r, ":"), i))), ":"))
+    return out.withColumn("_kept", kept).withColumn("raw", values).withColumn("format", F.transform("_kept", lambda i: F.get("format", i))).drop("_kept")
+
+
+def by_number(fields: str, key: str, number: str) -> Column:
+    """A FORMAT value of a call by its declared Number: an array for A, R and G (the places of alts, alleles, genotypes; `.` is
+    null), else the text."""
+    value = F.try_element_at(F.col(fields), F.lit(key))
+    return F.transform(F.split(value, ","), lambda x: F.when(x != ".", x)) if number in ("A", "R", "G") else F.when(value != ".", value)
+
+
+def with_genome_reference(variants: DataFrame, genome: DataFrame) -> DataFrame:
+    """variants whose REF is the genome's (id, seq) at their place; a REF of N takes the genome's base first."""
+    pieces = fasta.chunks(genome, fasta.CHUNK, 0)
+    found = fasta.lookup(variants.select("chrom", "pos").distinct().withColumns({"at": F.col("pos") - 1, "n": F.lit(1)}), pieces, fasta.CHUNK).select("chrom", "pos", F.col("bases").alias("_base"))
+    named = variants.join(found, ["chrom", "pos"]).withColumn("ref", F.when(F.col("ref") == "N", F.col("_base")).otherwise(F.col("ref"))).drop("_base")
+    places = named.select(F.struct("chrom", "pos", F.length("ref").alias("n")).alias("key")).distinct()
+    spans = places.select("key", F.col("key.chrom").alias("chrom"), (F.col("key.pos") - 1).alias("start"), (F.col("key.pos") - 1 + F.col("key.n")).alias("end"))
+    bases = fasta.segments(spans, genome).select("key", "bases")
+    return named.withColumn("key", F.struct("chrom", "pos", F.length("ref").alias("n"))).join(bases, "key").where("bases = ref").drop("key", "bases")
+
+
+def out_of_order(rows: DataFrame) -> DataFrame:
+    """line, why (contig, position) of (line, contig_idx, pos), lines numbered without gaps: a contig that comes before the last
+    line's, or a place before it on the same contig. A line meets the one before it by number, so no sort is needed."""
+    before = rows.select((F.col("line") + 1).alias("line"), F.col("contig_idx").alias("_c"), F.col("pos").alias("_p"))
+    why = F.when(F.col("contig_idx") < F.col("_c"), "contig").when((F.col("contig_idx") == F.col("_c")) & (F.col("pos") < F.col("_p")), "position")
+    return rows.join(before, "line").select("line", why.alias("why")).where("why is not null")
 
 
 def check_order(variants: DataFrame, lengths: dict[str, int]) -> DataFrame:
