@@ -17,9 +17,9 @@ def _prefix(a: str, b: str, most: str) -> str:
 
 
 def kind(allele: str) -> Column:
-    """id (symbolic or breakend), missing (*) or sequence."""
+    """id (symbolic or breakend), missing (*), sequence (of IUPAC letters, in any case) or invalid."""
     a = F.col(allele)
-    return F.when(a == "*", "missing").when(a.rlike(r"^<.*>$|[\[\]]"), "id").otherwise("sequence")
+    return F.when(a == "*", "missing").when(a.rlike(r"^<.*>$|^[\[\]]|[\[\]]$"), "id").when(a.rlike("^[ACGTRYSWKMBDHVNacgtryswkmbdhvn]+$"), "sequence").otherwise("invalid")
 
 
 def right_trim(ref: str, alt: str) -> Column:
@@ -112,7 +112,10 @@ def is_homopolymer_change(trimmed_ref: str, trimmed_alt: str, base: str, most: i
     return only(trimmed_ref) & only(trimmed_alt) & (F.abs(F.length(trimmed_ref) - F.length(trimmed_alt)).between(1, most))
 
 
-def without_trailing_missing(alts: str) -> Column:
-    """The alts without a last `*`."""
+def without_trailing_missing(alts: str, dependent: Column | None = None) -> Column:
+    """The alts without a last `*`; one of a variant that depends on no earlier one raises, where `dependent` tells."""
     a = F.col(alts)
-    return F.when(F.element_at(a, -1) == "*", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
+    cut = F.slice(a, 1, F.size(a) - 1)
+    if dependent is not None:
+        cut = F.when(dependent, cut).otherwise(F.raise_error(F.lit("a missing allele without an earlier variant over it")).cast("array<string>"))
+    return F.when(F.element_at(a, -1) == "*", cut).otherwise(a)

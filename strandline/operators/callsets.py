@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import alleles, sequence
+from strandline.functions.variants import right_trimmed, shared_suffix
 
 
-def combine(calls: DataFrame) -> DataFrame:
+def combine(calls: DataFrame, unambiguous: bool = False) -> DataFrame:
     """Of (chrom, pos, callset, ref, alt), an allele a row: per (chrom, pos) the longest ref and a row for each distinct alt
     padded to it, with its sorted origins. Refs of one place are prefixes of one another. Symbolic and missing alts, and
-    rows without a change, are left out."""
+    rows without a change, are left out; if `unambiguous`, so are those with other letters than A, C, G and T."""
     own = calls.where(alleles.kind("alt") == "sequence").where("ref <> alt")
+    if unambiguous:
+        own = without_ambiguous(own)
     longest = own.groupBy("chrom", "pos").agg(F.max_by("ref", F.struct(F.length("ref"), F.col("ref"))).alias("full"))
     padded = own.join(longest, ["chrom", "pos"]).withColumn("alt", F.expr("concat(alt, substring(full, length(ref) + 1))"))
     return padded.groupBy("chrom", "pos", F.col("full").alias("ref"), "alt").agg(F.array_join(F.array_sort(F.collect_set("callset")), ":").alias("aco"))
@@ -62,6 +65,50 @@ def sv_filter(calls: DataFrame, max_allele: int, min_sv: int, max_sv: int) -> Da
     return alleles.allele_type(calls).where((F.length("alt") <= max_allele) & F.col("sv_length").between(min_sv, max_sv)).select(*calls.columns, "sv_length")
 
 
+def combined(calls: DataFrame, genome: DataFrame | None = None, unambiguous: bool = False) -> DataFrame:
+    """The whole tool: `combine`, redundant alleles resolved against the genome (id, seq) if given, and a row for each place:
+    chrom, pos, ref, alts (sorted), aco (an origin list for each), without the suffix that all alleles share."""
+    rows = combine(calls, unambiguous)
+    if genome is not None:
+        rows = resolve_redundant(rows, genome)
+    # what is left of a place may need a shorter REF than before
+    sites = rows.groupBy("chrom", "pos").agg(F.max("ref").alias("ref"), F.sort_array(F.collect_list(F.struct("alt", "aco"))).alias("x"))
+    return right_trimmed(sites.select("chrom", "pos", "ref", F.col("x.alt").alias("alts"), F.col("x.aco").alias("aco"))).drop("trimmed")
+
+
+def annotated(calls: DataFrame, annotations: DataFrame, **how) -> DataFrame:
+    """The whole tool: of variants (variant_id, chrom, pos, ids, ref, alts, aai: an array, null or `.` for none) and annotation
+    alleles (annotation_id as text), the variants with the ids of all that match an alt added to ids, and of each alt to its
+    aai (a sorted colon list, `.` for none)."""
+    each = calls.select("variant_id", "chrom", "pos", "ref", F.posexplode("alts").alias("_i", "alt"))
+    met = annotate(each.withColumn("_v", F.struct("variant_id", "_i")).drop("variant_id").withColumnRenamed("_v", "variant_id"), annotations, **how)
+    found = met.groupBy(F.col("variant_id.variant_id").alias("_id"), F.col("variant_id._i").alias("_i")).agg(F.array_sort(F.collect_set(F.col("annotation_id").cast("string"))).alias("a"))
+    per = found.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_i", "a"))).alias("_m"))
+    none = F.array().cast("array<string>")
+    told = calls.join(per, calls["variant_id"] == per["_id"], "left").drop("_id")
+    new = lambda i: F.coalesce(F.try_element_at("_m", i), none)
+    before = lambda x: F.when(F.coalesce(x, F.lit(".")) == ".", none).otherwise(F.split(x, ":"))
+    joined = lambda x, i: F.array_join(F.array_sort(F.array_union(before(x), new(i))), ":")
+    aai = F.transform("aai", lambda x, i: F.when(joined(x, i) == "", ".").otherwise(joined(x, i)))
+    every = F.flatten(F.transform("alts", lambda _, i: new(i)))
+    return told.withColumn("ids", F.array_union(F.coalesce("ids", none), every)).withColumn("aai", aai).drop("_m")
+
+
+def without_origins(variants: DataFrame, tags: list[str], missing: bool = False) -> DataFrame:
+    """(…, ref, alts, aco: an array) without the alts that only call sets in `tags` have (nor, if `missing`, those without
+    origins), and `keep`, the places of the alts that stay, from 1; variants of which no alt or only `*` stays go, the others
+    lose the suffix that all their alleles share."""
+    listed = F.array(*map(F.lit, tags)).cast("array<string>")
+    stays = lambda x: F.when(F.coalesce(x, F.lit(".")) == ".", F.lit(not missing)).otherwise(F.size(F.array_except(F.split(x, ":"), listed)) > 0)
+    told = variants.withColumn("keep", F.filter(F.sequence(F.lit(1), F.size("alts")), lambda i: stays(F.get("aco", i - 1))))
+    changed = F.size("keep") < F.size("alts")
+    picked = lambda c: F.transform("keep", lambda i: F.get(c, i - 1))
+    told = told.withColumn("_changed", changed).withColumns({"alts": picked("alts"), "aco": picked("aco")})
+    left = told.where((F.size("keep") > 0) & ~(F.col("_changed") & (F.size("alts") == 1) & (F.get("alts", F.lit(0)) == "*")))
+    trimmed = left.withColumn("trimmed", F.when(F.col("_changed"), shared_suffix("ref", "alts")).otherwise(0))
+    return trimmed.withColumn("ref", F.expr("left(ref, length(ref) - trimmed)")).withColumn("alts", F.expr("transform(alts, alt -> left(alt, length(alt) - trimmed))")).drop("_changed", "trimmed")
+
+
 def origin_filter(calls: DataFrame, tags: list[str], aco: str = "aco") -> DataFrame:
     """Alleles that not only call sets in `tags` have."""
     return calls.where(F.size(F.array_except(F.split(aco, ":"), F.array(*map(F.lit, tags)))) > 0)
@@ -87,14 +134,84 @@ def expand_symbolic(calls: DataFrame) -> DataFrame:
     return calls.withColumn("new_ref", F.when(keep, F.col("ref")).otherwise(F.concat(base, seg))).withColumn("new_alt", spelled)
 
 
-def to_symbolic(calls: DataFrame, least: int) -> DataFrame:
-    """Add symbol: <DEL>, <DUP> or <INV> for a change of at least `least` bases, else null. `after`: the reference behind
-    the allele, at least as long as an insertion, which makes it a duplication if it repeats it."""
-    t = alleles.allele_type(calls)
-    repeats = F.expr("left(after, length(trimmed_alt)) = trimmed_alt")
-    long_ = F.greatest(F.abs("sv_length"), F.when(F.col("type") == "Inversion", F.col("length")).otherwise(0)) >= least
-    symbol = F.when(long_ & (F.col("type") == "Deletion"), "<DEL>").when(long_ & (F.col("type") == "Insertion") & repeats, "<DUP>").when(long_ & (F.col("type") == "Inversion"), "<INV>")
-    return t.select(*calls.columns, symbol.alias("symbol"))
+def convert_alleles(variants: DataFrame, genome: DataFrame, named: DataFrame | None = None, elements: DataFrame | None = None, partial: bool = False, imprecise: bool = False) -> DataFrame:
+    """The whole tool: variants (chrom, pos, ref, alts, info: a map with END and what else is known) with symbolic alleles as
+    sequences, one row each with those that can be spelled; rows with none are left out, as are those marked IMPRECISE unless
+    `imprecise`, and those whose REF is not the genome's (id, seq; a REF of N is read from it).
+
+    <CNV> has an allele for each number of copies but 1 that GSCNDIST counts, <CNn> n copies but not 1, <DUP> two, <DEL> (with
+    any addition) none; <INV> begins a base later; <INS> takes SEQ, then SVINSSEQ, then, if `partial`, ten N between
+    LEFT_SVINSSEQ and RIGHT_SVINSSEQ; an id of `named` (id, seq) its sequence; <INS:ME:x> the part from and to the places in
+    MEINFO (name, from, to, strand) of x in `elements` (id, seq). Breakends and <TRA> are not spelled. An alt that is a
+    sequence already stays and gets what REF is longer by behind it.
+    """
+    from strandline.sources import fasta, vcf
+
+    own = variants if imprecise else vcf.precise(variants)
+    rows = vcf.with_genome_reference(own, genome).withColumn("_end", F.try_element_at("info", F.lit("END")).try_cast("int"))
+    asked = rows.where(F.col("_end") > F.col("pos")).select(F.struct("chrom", "pos", "_end").alias("key"), "chrom", F.col("pos").alias("start"), F.col("_end").alias("end")).distinct()
+    spans = fasta.segments(asked, genome).select("key", F.col("bases").alias("_seg"))
+    told = rows.withColumn("key", F.struct("chrom", "pos", "_end")).join(spans, "key", "left").drop("key").withColumn("_seg", F.coalesce("_seg", F.lit("")))
+    given = lambda k: F.try_element_at("info", F.lit(k))
+    each = told.select("*", F.posexplode("alts").alias("_i", "alt"))
+    numbers = F.filter(F.transform(F.split(given("GSCNDIST"), ","), lambda x, i: F.when((x.try_cast("int") > 0) & (i != 1), i)), lambda x: x.isNotNull())
+    digits = F.regexp_extract("alt", "^<CN([0-9]+)>$", 1)
+    copies = F.when(F.col("alt") == "<CNV>", numbers).when(digits != "", F.array(digits.try_cast("int"))).when(F.col("alt").isin("<DUP>", "<DUP:TANDEM>"), F.array(F.lit(2))).when((F.col("alt") == "<DEL>") | F.col("alt").startswith("<DEL:"), F.array(F.lit(0)))
+    each = each.withColumn("_copies", copies).withColumn("_n", F.explode_outer("_copies")).where("_copies is null or _n <> 1")
+    for table, key, name in ((named, F.col("alt"), "_named"), (elements, F.regexp_extract("alt", "^<INS:ME:(.+)>$", 1), "_element")):
+        if table is None:
+            each = each.withColumn(name, F.lit(None).cast("string"))
+        else:
+            each = each.withColumn("_key", key).join(table.select(F.col("id").alias("_key"), F.col("seq").alias(name)), "_key", "left").drop("_key")
+    base, seg = F.left("ref", F.lit(1)), F.col("_seg")
+    fits = F.octet_length(seg).cast("decimal(20, 0)") * F.col("_n") <= (1 << 31) - 32
+    me = F.split(given("MEINFO"), ",")
+    strand = F.when(F.get(me, F.lit(3)) == "-", sequence.reverse_complement("_element")).otherwise(F.col("_element"))
+    begin, stop = (F.get(me, F.lit(i)).try_cast("int") for i in (1, 2))
+    middle = F.when(F.lit(partial), F.concat(given("LEFT_SVINSSEQ"), F.lit("N" * 10), given("RIGHT_SVINSSEQ")))
+    inserted = F.when(F.col("alt") == "<INS>", F.coalesce(given("SEQ"), given("SVINSSEQ"), middle)).when(F.col("_named").isNotNull(), F.col("_named")).when(F.col("_element").isNotNull() & (begin > 0), F.substr(strand, begin, stop - begin + 1))
+    turned = (F.col("alt") == "<INV>") & seg.rlike("^[ACGTN]+$")
+    spelled = (
+        F.when(alleles.kind("alt").isin("sequence", "missing"), F.col("alt")).when(F.col("_copies").isNotNull(), F.when((F.length(seg) > 0) & fits, F.concat(base, F.repeat(seg, F.when(fits, F.col("_n")).otherwise(0)))))
+        .when(turned, sequence.reverse_complement("_seg")).when(inserted.isNotNull(), F.concat(base, inserted))
+    )
+    longer = F.col("_copies").isNotNull()
+    new = each.withColumn("_alt", spelled).where("_alt is not null").withColumn("_ref", F.when(turned, seg).when(longer, F.concat(base, seg)).otherwise(F.col("ref"))).withColumn("_pos", F.col("pos") + turned.cast("int"))
+    kept = [c for c in variants.columns if c not in ("pos", "ref", "alts")]
+    group = new.groupBy("chrom", F.col("_pos").alias("pos"), F.col("pos").alias("_at"), "ref", F.array_join("alts", ",").alias("_alts")).agg(
+        F.max(F.struct(F.length("_ref").alias("n"), F.col("_ref").alias("r"))).alias("_long"), F.sort_array(F.collect_list(F.struct("_i", F.coalesce("_n", F.lit(0)).alias("n"), F.col("_alt").alias("a"), F.col("_ref").alias("r")))).alias("_x"), *(F.any_value(c).alias(c) for c in kept if c != "chrom")
+    )
+    behind = F.array_distinct(F.expr("transform(_x, x -> if(x.a = '*', x.a, concat(x.a, substring(_long.r, length(x.r) + 1))))"))
+    return group.select(*("chrom", "pos"), F.col("_long.r").alias("ref"), behind.alias("alts"), *(c for c in kept if c != "chrom"))
+
+
+def to_symbolic(calls: DataFrame, genome: DataFrame, least: int) -> DataFrame:
+    """Structural variants of (chrom, pos, ref, alt, an allele a row; extra columns go): chrom, pos, ref (a base), alt (<DEL>,
+    <DUP> or <INV>), end, svtype, cipos and ciend, of changes of at least `least` bases. A deletion or insertion keeps one base in common;
+    an insertion counts if the genome (id, seq) goes on from it with the same sequence; an inversion turns all of REF, or all
+    behind a first base in common."""
+    from strandline.sources import fasta
+
+    t = calls.select("chrom", "pos", F.upper("ref").alias("ref"), F.upper("alt").alias("alt")).where(alleles.kind("alt") == "sequence").withColumn("_right", alleles.right_trim("ref", "alt"))
+    cut = lambda x: F.expr(f"left({x}, length({x}) - _right)")
+    t = t.withColumns({"ref": cut("ref"), "alt": cut("alt")})
+    r, a = F.length("ref"), F.length("alt")
+    anchored = F.left("ref", F.lit(1)) == F.left("alt", F.lit(1))
+    rest = lambda x: F.expr(f"substring({x}, 2)")
+    deletion, insertion = (r > 1) & (a == 1) & anchored & (r - 1 >= least), (r == 1) & (a > 1) & anchored & (a - 1 >= least)
+    behind = anchored & (r == a) & (r - 1 >= least) & (r > 1) & (rest("ref") == sequence.reverse_complement(rest("alt")))
+    whole = ~anchored & (r == a) & (r > 1) & (r >= least) & (F.col("ref") == sequence.reverse_complement("alt"))
+    kind = F.when(deletion, "DEL").when(insertion, "DUP").when(behind | whole, "INV")
+    told = t.withColumn("svtype", kind).withColumn("_whole", F.coalesce(whole, F.lit(False))).where("svtype is not null")
+    # the genome is asked for what follows insertions, and for the base before inversions of a whole REF
+    asked = told.where("svtype = 'DUP' or _whole").select(F.struct("chrom", "pos", F.when(F.col("_whole"), -1).otherwise(F.length("alt")).alias("n")).alias("key")).distinct()
+    start = F.when(F.col("key.n") < 0, F.col("key.pos") - 2).otherwise(F.col("key.pos") - 1)
+    spans = asked.select("key", F.col("key.chrom").alias("chrom"), start.alias("start"), (start + F.abs("key.n")).alias("end"))
+    bases = fasta.segments(spans, genome).select("key", "bases")
+    met = told.withColumn("key", F.struct("chrom", "pos", F.when(F.col("_whole"), -1).otherwise(F.length("alt")).alias("n"))).join(bases, "key", "left")
+    found = met.where("svtype <> 'DUP' or bases = alt")
+    n = F.when(F.col("svtype") == "DUP", F.length("alt")).otherwise(F.length("ref"))
+    return found.select("chrom", (F.col("pos") - F.col("_whole").cast("int")).alias("pos"), F.when(F.col("_whole"), F.col("bases")).otherwise(F.left("ref", F.lit(1))).alias("ref"), F.concat(F.lit("<"), "svtype", F.lit(">")).alias("alt"), (F.col("pos") + n - 1).alias("end"), "svtype", F.lit("0,0").alias("cipos"), F.lit("0,0").alias("ciend"))
 
 
 def resolve_redundant(calls: DataFrame, genome: DataFrame) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.alleles import _prefix
 from strandline.functions.genotypes import genotype_index
 
-from .intervals import clear_of_earlier
+from .intervals import clear_of_earlier, contained_in
 
 
 def allele_stats(calls: DataFrame, filtered: Column | None = None) -> DataFrame:
@@ -48,28 +47,57 @@ def trios(calls: DataFrame, pedigree: DataFrame) -> DataFrame:
     )
 
 
+def allele_pairs(genotype: str, ref: str, alts: str) -> Column:
+    """Of each called allele REF and allele without the suffix that they share; nulls (not called) go."""
+    own = f"if(g = 0, {ref}, {alts}[g - 1])"
+    cut = _prefix("reverse(p.r)", "reverse(p.a)", "least(length(p.r), length(p.a)) - 1")
+    spelled = f"transform(filter({genotype}, g -> g is not null), g -> named_struct('g', g, 'r', {ref}, 'a', {own}))"
+    return F.expr(f"transform({spelled}, p -> named_struct('g', p.g, 'r', left(p.r, length(p.r) - {cut}), 'a', left(p.a, length(p.a) - {cut})))")
+
+
 def concordance(truth: DataFrame, calls: DataFrame) -> DataFrame:
-    """Per (variant_id, sample) of a full outer join, gtco: T, P or F by the alleles that agree in any order; of a row on one
-    side only, T if all are reference, P if one is, else F."""
-    left = truth.select("variant_id", "sample", F.col("a").alias("ta"), F.col("b").alias("tb"))
-    right = calls.select("variant_id", "sample", F.col("a").alias("ca"), F.col("b").alias("cb"))
-    eq = lambda x, y: F.col(x) == F.col(y)
-    both = F.when((eq("ta", "ca") & eq("tb", "cb")) | (eq("ta", "cb") & eq("tb", "ca")), "T").when(eq("ta", "ca") | eq("tb", "cb") | eq("ta", "cb") | eq("tb", "ca"), "P").otherwise("F")
-    a, b = F.coalesce("ta", "ca"), F.coalesce("tb", "cb")
-    one = F.when(F.greatest(a, b) == 0, "T").when(F.least(a, b) == 0, "P").otherwise("F")
-    return left.join(right, ["variant_id", "sample"], "full_outer").select("variant_id", "sample", F.when(F.col("ta").isNotNull() & F.col("ca").isNotNull(), both).otherwise(one).alias("gtco"))
-
-
-def transmission(calls: DataFrame, letters: DataFrame, alleles: int = 3) -> DataFrame:
-    """htv per variant: over all assignments of alleles to the four founder haplotypes A to D (letters: sample, first,
-    second), how many agree with every complete call: FALSE for none, TRUE for one, MULTI-TRUE for more."""
-    ways = F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(way, "ABCD", strict=True))) for way in product(range(alleles), repeat=4)))
-    own = calls.where("missing = 0").join(F.broadcast(letters), "sample")  # a row for each sample of the pedigree
-    needs = own.groupBy("variant_id").agg(F.collect_set(F.struct("first", "second", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))).alias("needs"))
-    of = "map('A', w.A, 'B', w.B, 'C', w.C, 'D', w.D)"
-    fits = f"filter(ways, w -> forall(needs, n -> least({of}[n.first], {of}[n.second]) = n.low and greatest({of}[n.first], {of}[n.second]) = n.high))"
-    counts = needs.withColumn("ways", ways).select("variant_id", F.size(F.expr(fits)).cast("long").alias("n_ways"))
-    return counts.withColumn("htv", F.when(F.col("n_ways") == 0, "FALSE").when(F.col("n_ways") == 1, "TRUE").otherwise("MULTI-TRUE"))
+    """side (truth or call), id, sample, gtco of two call sets (id, chrom, pos, sample, ref, alts, genotype: allele indices).
+
+    Where both have the place: F for unequal numbers of called alleles, I for none, else T, P or F as all, some or none of the
+    trimmed alleles agree in any order; of several rows at the place a truth row takes the best. Where one has it: I without
+    a called allele, T for the reference alone, P with it, else F."""
+    pairs = lambda df: df.select("id", "chrom", "pos", "sample", allele_pairs("genotype", "ref", "alts").alias("x"))
+    t, c = pairs(truth).toDF("t_id", "chrom", "pos", "sample", "tx"), pairs(calls).toDF("c_id", "chrom", "pos", "sample", "cx")
+    both = t.join(c, ["chrom", "pos", "sample"], "full_outer")
+    spelled = lambda x, i: f"concat_ws('>', {x}[{i}].r, {x}[{i}].a)"
+    eq = lambda i, j: f"{spelled('tx', i)} = {spelled('cx', j)}"
+    two = f"case when ({eq(0, 0)} and {eq(1, 1)}) or ({eq(0, 1)} and {eq(1, 0)}) then 'T' when {eq(0, 0)} or {eq(1, 1)} or {eq(0, 1)} or {eq(1, 0)} then 'P' else 'F' end"
+    met = f"case when size(tx) <> size(cx) then 'F' when size(tx) = 2 then {two} when size(tx) = 1 then if({eq(0, 0)}, 'T', 'F') else 'I' end"
+    alone = "case when size(x) = 0 then 'I' when array_max(x.g) = 0 then 'T' when array_min(x.g) = 0 then 'P' else 'F' end"
+    told = both.withColumn("x", F.coalesce("tx", "cx")).withColumn("gtco", F.expr(f"if(tx is not null and cx is not null, {met}, {alone})"))
+    best = F.element_at(F.array(*map(F.lit, "IFPT")), F.max(F.expr("array_position(array('I', 'F', 'P', 'T'), gtco)")).cast("int"))
+    of_truth = told.where("t_id is not null").groupBy(F.col("t_id").alias("id"), "sample").agg(best.alias("gtco"))
+    of_calls = told.where("c_id is not null").select(F.col("c_id").alias("id"), "sample", "gtco")
+    return of_truth.select(F.lit("truth").alias("side"), "id", "sample", "gtco").unionByName(of_calls.select(F.lit("call").alias("side"), "id", "sample", "gtco"))
+
+
+def transmission(variants: DataFrame, calls: DataFrame, letters: DataFrame) -> DataFrame:
+    """variant_id, n_ways, htv: over all assignments of alleles to the four founder haplotypes A to D, how many agree with every
+    complete call: FALSE for none, TRUE for one, MULTI-TRUE for more; NA for a variant that no block holds.
+
+    variants: variant_id, chrom, pos, end_pos, n_alleles; calls: variant_id, sample, genotype (array), the complete ones;
+    letters: chrom, start, end (blocks that don't overlap), sample, first, second (null for one haplotype). A haplotype that
+    a call has can only carry one of its alleles, so at most two are tried for each; one that none has may carry any.
+    """
+    blocks = letters.select(F.col("chrom").alias("contig"), F.col("start").alias("block_start"), F.col("end").alias("block_end")).distinct()
+    placed = contained_in(variants.select("variant_id", F.col("chrom").alias("contig"), "pos", "end_pos"), blocks).select("variant_id", F.col("contig").alias("chrom"), F.col("block_start").alias("start"))
+    told = calls.join(placed, "variant_id").join(letters.select("chrom", "start", "sample", "first", "second"), ["chrom", "start", "sample"])
+    need = F.struct("first", "second", F.array_sort("genotype").alias("g"))
+    needs = told.groupBy("variant_id").agg(F.collect_set(need).alias("needs"))  # at most a row for each sample
+    per = placed.select("variant_id").join(needs, "variant_id", "left").join(variants.select("variant_id", "n_alleles"), "variant_id").withColumn("needs", F.coalesce("needs", F.array().cast(needs.schema["needs"].dataType)))
+    choices = lambda h: f"if(exists(needs, n -> n.first = '{h}' or n.second = '{h}'), aggregate(transform(filter(needs, n -> n.first = '{h}' or n.second = '{h}'), n -> array_distinct(n.g)), cast(null as array<int>), (s, x) -> if(s is null, x, array_intersect(s, x))), array(-1))"
+    per = per.withColumns({h: F.expr(choices(h)) for h in "ABCD"})
+    ways = "flatten(flatten(flatten(transform(A, a -> transform(B, b -> transform(C, c -> transform(D, d -> map('A', a, 'B', b, 'C', c, 'D', d))))))))"
+    agrees = "forall(needs, n -> n.g = if(n.second is null, array(w[n.first]), array_sort(array(w[n.first], w[n.second]))))"
+    free = " * ".join(f"if({h} = array(-1), n_alleles, 1)" for h in "ABCD")
+    counts = per.select("variant_id", F.expr(f"cast(size(filter({ways}, w -> {agrees})) * {free} as bigint)").alias("n_ways"))
+    out = variants.select("variant_id").join(counts, "variant_id", "left")
+    return out.withColumn("htv", F.when(F.col("n_ways").isNull(), "NA").when(F.col("n_ways") == 0, "FALSE").when(F.col("n_ways") == 1, "TRUE").otherwise("MULTI-TRUE"))
 
 
 def summary(rows: DataFrame, *by: str) -> DataFrame:

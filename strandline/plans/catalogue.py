@@ -405,32 +405,6 @@ def trio_concordance(spark, d):
     return genotyping.trios(load(spark, d, "call"), pedigree)
 
 
-@registered(
-    "concordance",
-    f"""{duck('call')}, t as (select variant_id, sample, a as ta, b as tb from call where sample < 7), c as (select variant_id, sample, cast((a + variant_id) % 3 as int) as ca, b as cb from call where sample > 3)
-    select variant_id, sample, case when ta is not null and ca is not null then case when (ta = ca and tb = cb) or (ta = cb and tb = ca) then 'T' when ta = ca or tb = cb or ta = cb or tb = ca then 'P' else 'F' end
-      when greatest(coalesce(ta, ca), coalesce(tb, cb)) = 0 then 'T' when least(coalesce(ta, ca), coalesce(tb, cb)) = 0 then 'P' else 'F' end as gtco from t full join c using (variant_id, sample)""",
-)
-def concordance(spark, d):
-    c = load(spark, d, "call")
-    return genotyping.concordance(c.where("sample < 7"), c.where("sample > 3").withColumn("a", ((F.col("a") + F.col("variant_id")) % 3).cast("int")))
-
-
-LETTERS_ = [(0, "A", "B"), (1, "C", "D"), (2, "A", "C"), (3, "B", "D"), (4, "A", "D")]
-
-
-@registered(
-    "haplotype_transmission",
-    f"""{duck('call')}, l as (select * from (values {', '.join(f"({s}, '{a}', '{b}')" for s, a, b in LETTERS_)}) v(sample, f, s)), w as (select a.i as "A", b.i as "B", c.i as "C", d.i as "D" from range(3) a(i), range(3) b(i), range(3) c(i), range(3) d(i)),
-    o as (select variant_id, f, s, least(a, b) as low, greatest(a, b) as high from call join l using (sample) where missing = 0),
-    x as (select variant_id, "A", "B", "C", "D", bool_and(least(case f when 'A' then "A" when 'B' then "B" when 'C' then "C" else "D" end, case s when 'A' then "A" when 'B' then "B" when 'C' then "C" else "D" end) = low
-      and greatest(case f when 'A' then "A" when 'B' then "B" when 'C' then "C" else "D" end, case s when 'A' then "A" when 'B' then "B" when 'C' then "C" else "D" end) = high) as fits from o, w group by all),
-    n as (select variant_id, sum(cast(fits as int))::bigint as n_ways from x group by variant_id) select variant_id, n_ways, case when n_ways = 0 then 'FALSE' when n_ways = 1 then 'TRUE' else 'MULTI-TRUE' end as htv from n""",
-)
-def haplotype_transmission(spark, d):
-    return genotyping.transmission(load(spark, d, "call"), spark.createDataFrame(LETTERS_, "sample int, first string, second string"))
-
-
 @registered("summary_table", f"{duck('call')} select a, b, missing, app >= 0.95 as confident, count(*) as n_rows from call group by all")
 def summary_table(spark, d):
     return genotyping.summary(load(spark, d, "call").withColumn("confident", F.col("app") >= 0.95), "a", "b", "missing", "confident")
@@ -540,14 +514,6 @@ def symbolic_expand(spark, d):
     return callsets.expand_symbolic(p).select("id", "new_ref", "new_alt")
 
 
-@registered(
-    "symbolic_name",
-    f"""{TRIM} select variant_id, case when base_type = 'Deletion' and length(tr) >= 2 then '<DEL>' when base_type = 'Insertion' and length(ta) >= 2 and left('ACG', length(ta)) = ta then '<DUP>' when base_type = 'Complex' and inv then '<INV>' end as symbol from ty""",
-)
-def symbolic_name(spark, d):
-    return callsets.to_symbolic(load(spark, d, "allele").withColumn("after", F.lit("ACG")), 2).select("variant_id", "symbol")
-
-
 @registered("genome_lookup", f"{duck('seq')}, g as (select cast(seq_id as varchar) as id, string_agg(run, '' order by run) as seq from seq group by seq_id) select id as chrom, cast(x as int) as \"at\", nullif(substr(seq, cast(x as int) + 1, 4), '') as bases from g, (select unnest(range(0, 57, 7)) as x) a")
 def genome_lookup(spark, d):
     g = load(spark, d, "seq").groupBy(F.col("seq_id").cast("string").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("run")), "").alias("seq"))

@@ -8,7 +8,7 @@ import pytest
 from strandline.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = ("documents", "benchmark", "conversations", "lineitem", "part", "nation")
+TABLES = ("documents", "benchmark", "conversations", "lineitem", "part", "nation", "events")
 
 
 @pytest.fixture(scope="module")

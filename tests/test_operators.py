@@ -132,8 +132,38 @@ def test_combine_and_filters(spark):
         [("A", "<DEL>", "CGT", None), ("A", "<DUP>", "CGT", None), ("A", "<INV>", "CGG", None), ("A", "<CN0>", "CG", None), ("A", "<CN3>", "CG", None), ("A", "<INS>", "", "TT"), ("A", "<XYZ>", "C", None)], "ref string, alt string, segment string, insert string"
     )
     assert [r["new_alt"] for r in callsets.expand_symbolic(symbolic).collect()] == ["A", "ACGTCGT", "ACCG", "A", "ACGCGCG", "ATT", None]
-    back = callsets.to_symbolic(spark.createDataFrame([("ACGTACGT", "A", ""), ("A", "ACGTACG", "CGTACGTT"), ("A", "ACGTACG", "TTTTTTTT"), ("A", "C", "")], "ref string, alt string, after string"), 5)
-    assert [r["symbol"] for r in back.collect()] == ["<DEL>", "<DUP>", None, None]
+    genome = spark.createDataFrame([("c", "GGACGTACGTTCCC")], "id string, seq string")
+    rows = [(3, "ACGTACGT", "A"), (3, "A", "ACGTACG"), (3, "A", "AGGGGGG"), (3, "A", "C"), (3, "ACGTACGT", "ACGTACGG"), (9, "GTTCC", "GGGAA"), (9, "GTTCC", "GGAAC"), (10, "TTCCC", "GGGAA"), (3, "ACGT", "A")]
+    back = callsets.to_symbolic(spark.createDataFrame([("c", *r) for r in rows], "chrom string, pos int, ref string, alt string"), genome, 4)
+    got = sorted((r["pos"], r["ref"], r["alt"], r["end"]) for r in back.collect())
+    assert got == [(3, "A", "<DEL>", 10), (3, "A", "<DUP>", 9), (9, "G", "<INV>", 13), (9, "G", "<INV>", 14)]
+
+
+def test_convert_alleles(spark):
+    genome = spark.createDataFrame([("c", "GGACGTACGTTCCC")], "id string, seq string")
+    rows = [(1, 3, "A", ["<DEL>", "G"], {"END": "6"}), (2, 3, "A", ["<CNV>"], {"END": "5", "GSCNDIST": "1,5,0,2"}), (3, 3, "N", ["<INV>"], {"END": "7"}), (4, 3, "T", ["G"], {}), (5, 3, "A", ["<DUP>"], {"END": "3"}), (6, 3, "A", ["<DUP>", "*"], {"END": "5", "IMPRECISE": ""}), (7, 3, "A", ["<CN2>", "<TRA>", "<CN1>"], {"END": "4"}), (8, 3, "A", ["<INS:ME:ALU>"], {"MEINFO": "AluY,0,0,+"})]
+    df = spark.createDataFrame([(i, "c", p, r, a, x) for i, p, r, a, x in rows], "id int, chrom string, pos int, ref string, alts array<string>, info map<string, string>")
+    elements = spark.createDataFrame([("ALU", "GGTA")], "id string, seq string")
+    got = {r["id"]: (r["pos"], r["ref"], r["alts"]) for r in callsets.convert_alleles(df, genome, elements=elements).collect()}
+    assert got == {1: (3, "ACGT", ["A", "GCGT"]), 2: (3, "ACG", ["A", "ACGCGCG"]), 3: (4, "CGTA", ["TACG"]), 7: (3, "AC", ["ACC"])}
+    assert {r["id"] for r in callsets.convert_alleles(df, genome, imprecise=True).collect()} == {1, 2, 3, 6, 7}
+
+
+def test_concordance(spark):
+    kinds = "id int, chrom string, pos int, sample string, ref string, alts array<string>, genotype array<int>"
+    truth = spark.createDataFrame([(1, "c", 5, "s", "AC", ["GC"], [0, 1]), (2, "c", 6, "s", "A", ["G"], [1, 1]), (3, "c", 7, "s", "A", ["G"], []), (4, "c", 8, "s", "A", ["G"], [0, 1]), (5, "c", 9, "s", "A", ["G"], [None, None]), (6, "c", 10, "s", "A", ["G"], [0, 1]), (7, "c", 11, "s", "A", ["G"], [1])], kinds)
+    calls = spark.createDataFrame([(1, "c", 5, "s", "A", ["G"], [1, 0]), (2, "c", 6, "s", "A", ["T", "G"], [0, 2]), (3, "c", 7, "s", "A", ["G"], [None]), (4, "c", 8, "s", "A", ["G"], [1]), (6, "c", 10, "s", "A", ["T"], [1, 1]), (8, "c", 10, "s", "A", ["G"], [0, 0]), (7, "c", 11, "s", "A", ["G"], [1]), (9, "d", 1, "s", "A", ["G"], [0, 0])], kinds)
+    got = {(r["side"], r["id"]): r["gtco"] for r in genotyping.concordance(truth, calls).collect()}
+    assert got == {("truth", 1): "T", ("call", 1): "T", ("truth", 2): "P", ("call", 2): "P", ("truth", 3): "I", ("call", 3): "I", ("truth", 4): "F", ("call", 4): "F", ("truth", 5): "I", ("truth", 6): "P", ("call", 6): "F", ("call", 8): "P", ("truth", 7): "T", ("call", 7): "T", ("call", 9): "T"}
+
+
+def test_transmission(spark):
+    letters = spark.createDataFrame([("c", 1, 100, s, a, b) for s, a, b in [("f", "A", "B"), ("m", "C", "D"), ("k", "A", "C"), ("y", "B", None)]], "chrom string, start int, end int, sample string, first string, second string")
+    told = spark.createDataFrame([(1, "c", 10, 12, 2), (2, "c", 10, 12, 2), (3, "c", 10, 12, 3), (4, "c", 95, 105, 2), (5, "d", 10, 10, 2), (6, "c", 50, 50, 2), (7, "c", 60, 60, 2)], "variant_id int, chrom string, pos int, end_pos int, n_alleles int")
+    calls = [(1, "f", [0, 1]), (1, "m", [0, 0]), (1, "k", [1, 0]), (2, "f", [0, 1]), (2, "m", [0, 0]), (2, "k", [1, 1]), (3, "k", [0, 2]), (6, "y", [0, 1]), (7, "f", [0, 1]), (7, "y", [1])]
+    got = {r["variant_id"]: (r["n_ways"], r["htv"]) for r in genotyping.transmission(told, spark.createDataFrame(calls, "variant_id int, sample string, genotype array<int>"), letters).collect()}
+    # 3: two ways for A and C, three each for B and D; 6: two alleles called of one haplotype; 7: A and B are settled, C and D free
+    assert got == {1: (1, "TRUE"), 2: (0, "FALSE"), 3: (18, "MULTI-TRUE"), 4: (None, "NA"), 5: (None, "NA"), 6: (0, "FALSE"), 7: (4, "MULTI-TRUE")}
 
 
 def test_annotate_needs_the_place_for_single_bases(spark):
