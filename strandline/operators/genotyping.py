@@ -31,19 +31,34 @@ def inbreeding(calls: DataFrame, eligible: Column | None = None) -> DataFrame:
 
 
 def trios(calls: DataFrame, pedigree: DataFrame) -> DataFrame:
-    """Per (variant_id, family) of pedigree (family, father, mother, child): filtered, concordant, reference_call,
-    child_heterozygote, de_novo. A call set's calls meet the small pedigree by sample; no self-join."""
+    """Per (variant_id, family) of calls (variant_id, sample, ploidy, genotype: allele indices with nulls for none, n_alleles,
+    open: whether the last allele is `*`) and pedigree (family, father, mother, child): filtered, diploid, informative,
+    concordant, simple_heterozygote, reference_call, de_novo, ancestral and new (alleles of a new mutation).
+
+    filtered: not all three are whole; informative: the child has a copy; concordant: its alleles come from either parent;
+    simple_heterozygote: both parents are, of two alleles; de_novo: the child alone is heterozygous, all have two copies, and
+    one of its alleles is neither parent's. A call set's calls meet the small pedigree by sample; no self-join."""
     roles = pedigree.select("family", F.explode(F.map_from_arrays(F.array(F.lit("father"), F.lit("mother"), F.lit("child")), F.array("father", "mother", "child"))).alias("role", "sample"))
-    per = calls.join(roles, "sample").groupBy("variant_id", "family").agg(*(F.max(F.when(F.col("role") == r, F.struct("a", "b", "missing"))).alias(r[0]) for r in ("father", "mother", "child")))
+    own = F.struct("ploidy", "genotype", "n_alleles", "open")
+    per = calls.join(roles, "sample").groupBy("variant_id", "family").agg(*(F.max(F.when(F.col("role") == r, own)).alias(r[0]) for r in ("father", "mother", "child")))
     whole = per.where("f is not null and m is not null and c is not null")
-    has = lambda p, x: F.coalesce((F.col(f"{p}.a") == F.col(f"c.{x}")) | (F.col(f"{p}.b") == F.col(f"c.{x}")), F.lit(False))
-    missing = (F.col("f.missing") + F.col("m.missing") + F.col("c.missing")) > 0
-    concordant = (has("f", "a") & has("m", "b")) | (has("f", "b") & has("m", "a"))
-    only_child = (F.col("c.a") != F.col("c.b")) & (F.col("f.a") == F.col("f.b")) & (F.col("m.a") == F.col("m.b"))
-    new = (~has("f", "a") & ~has("m", "a") & (has("f", "b") | has("m", "b")) & (F.col("c.a") > 0)) | (~has("f", "b") & ~has("m", "b") & (has("f", "a") | has("m", "a")) & (F.col("c.b") > 0))
-    return whole.select(
-        "variant_id", "family", missing.alias("filtered"), (~missing & concordant).alias("concordant"), (~missing & (F.greatest("f.a", "f.b", "m.a", "m.b", "c.a", "c.b") == 0)).alias("reference_call"),
-        (~missing & only_child).alias("child_heterozygote"), (~missing & ~concordant & only_child & new).alias("de_novo"),
+    out = whole.withColumns({
+        "filtered": F.expr("exists(array(f, m, c), x -> exists(x.genotype, g -> g is null))"), "diploid": F.expr("f.ploidy = 2 and m.ploidy = 2 and c.ploidy = 2"),
+        "_x": F.expr("get(c.genotype, 0)"), "_y": F.expr("get(c.genotype, size(c.genotype) - 1)"), "_f": F.expr("get(f.genotype, 0)"), "_m": F.expr("get(m.genotype, 0)"), "_all": F.expr("flatten(array(f.genotype, m.genotype, c.genotype))"),
+    })
+    told = lambda x: F.coalesce(F.expr(x), F.lit(False)) & ~F.col("filtered")
+    out = out.withColumns({f"_{c}{p}": F.expr(f"coalesce(array_contains({p}.genotype, _{c}), false)") for c in "xy" for p in "fm"})
+    out = out.withColumns({
+        "informative": F.col("filtered") | (F.col("c.ploidy") > 0), "concordant": told("c.ploidy > 0 and ((_xf and _ym) or (_yf and _xm))"), "reference_call": told("forall(_all, g -> g = 0)"),
+        "simple_heterozygote": told("c.ploidy > 0 and c.n_alleles = 2 and size(f.genotype) = 2 and size(m.genotype) = 2 and f.genotype[0] <> f.genotype[1] and m.genotype[0] <> m.genotype[1]"),
+        "_alone": told("c.ploidy = 2 and _x <> _y and f.ploidy > 0 and m.ploidy > 0 and _f = get(f.genotype, size(f.genotype) - 1) and _m = get(m.genotype, size(m.genotype) - 1)"),
+        "new": F.expr("case when not _xf and not _xm and (_yf or _ym) then _x when not _yf and not _ym and (_xf or _xm) then _y else 0 end"),
+    })
+    de_novo = told("diploid and _alone and not concordant and not (c.open and array_contains(_all, c.n_alleles - 1)) and new > 0")
+    out = out.withColumn("de_novo", de_novo)
+    return out.select(
+        "variant_id", "family", "filtered", "diploid", "informative", "concordant", "simple_heterozygote", "reference_call", "de_novo",
+        F.when(F.col("de_novo"), F.when(F.col("new") == F.col("_f"), F.col("_m")).otherwise(F.col("_f"))).alias("ancestral"), F.when(F.col("de_novo"), F.col("new")).alias("new"),
     )
 
 
@@ -131,3 +146,69 @@ def least_kmers(calls: DataFrame) -> DataFrame:
     each = calls.select("variant_id", F.posexplode(F.arrays_zip("nak", "fak")).alias("allele", "x"))
     known = lambda c: F.min(F.when(F.col(f"x.{c}") != -1, F.col(f"x.{c}"))).alias(c)
     return each.groupBy("variant_id", "allele").agg(known("nak"), known("fak"))
+
+
+#: The attributes that variants and alleles are summarised by.
+VARIANT_ATTRIBUTES = ["ChromType", "Filter", "VariantType", "HasMissing", "HasRedundant", "NumAlleles", "EffectiveNumAlleles", "MaxAltACP", "MaxAltAC", "AN", "ACO", "HPL", "HasHomopolymer", "HTV", "NumCompleteSamples", "NumCONCTrue", "NumCONCFalse", "BASE", "CALL", "GTCO", "MED"]
+ALLELE_ATTRIBUTES = ["ChromType", "Filter", "AlleleType", "AlleleLength", "AlleleSVLength", "IsRedundant", "NumAlleles", "EffectiveNumAlleles", "ACP", "AC", "AN", "ACO", "HPL", "IsHomopolymer", "HTV", "NumCompleteSamples", "NumCONCTrue", "NumCONCFalse", "BASE", "CALL", "GTCO", "MED", "MinNAK", "MinFAK"]
+
+
+def _text(value: Column, kind: str = "text", digits: int = 2) -> Column:
+    """As summaries spell it: NA for null and `.`, 1 and 0 for TRUE and FALSE."""
+    if kind == "flag":
+        return F.when(value.isNull(), "NA").otherwise(value.cast("int").cast("string"))
+    if kind == "float":
+        return F.when(value.isNull(), "NA").otherwise(F.format_string(f"%.{digits}f", value))
+    text = value.cast("string")
+    return F.when(text.isNull() | (text == "."), "NA").when(text == "TRUE", "1").when(text == "FALSE", "0").otherwise(text)
+
+
+def summary_attributes(variants: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row a variant with VARIANT_ATTRIBUTES, a row an allele with ALLELE_ATTRIBUTES), all as text.
+
+    variants: variant_id, chrom, filters, ref, alts, aco (array), hpl (`length:base`), info (map: HTV, BASE, CALL); calls:
+    variant_id, sample, ploidy, genotype, saf, app, nak, fak and info (map: CONC, GTCO, MED). GTCO and MED are told for a
+    single sample only. Statistics leave filtered alleles out; HPL counts as a base whose alleles differ by one.
+    """
+    from strandline.functions.alleles import allele_type, contig_class
+    from strandline.functions.variants import has_missing, homopolymer_alleles, variant_type
+
+    from . import calling
+
+    stats = calling.statistics(calls, missing="false")
+    given = lambda k: F.try_element_at("info", F.lit(k))
+    conc = given("CONC")
+    per = calls.groupBy("variant_id").agg(
+        F.sum(F.expr("cast(not exists(genotype, g -> g is null) as int)")).alias("complete"), F.sum(conc.isin("TRUE", "1").cast("int")).alias("yes"), F.sum(conc.isin("FALSE", "0").cast("int")).alias("no"), F.count("*").alias("samples"),
+        F.first(given("GTCO")).alias("gtco"), F.first(given("MED")).alias("med"),
+    )
+    least = least_kmers(calls)
+    # the reference's own count, which the alts' are told of the total
+    counts = stats.withColumn("acs", F.concat(F.array(F.col("an") - F.aggregate("ac", F.lit(0), lambda s, x: s + x)), "ac"))
+    base, length = F.get(F.split("hpl", ":"), F.lit(1)), F.get(F.split("hpl", ":"), F.lit(0))
+    homo = homopolymer_alleles(variants.where("hpl is not null and hpl <> '.'").withColumn("base", base), 1)
+    told = variant_type(variants).withColumn("missing", has_missing("alts")).join(counts.drop("filter", "qual"), "variant_id").join(per, "variant_id", "left").join(homo, "variant_id", "left")
+    every = F.concat(F.array("ref"), "alts")
+    told = told.withColumn("alleles", every).withColumn("repeated", F.transform(every, lambda a: F.size(F.filter(F.col("alleles"), lambda b: a == b)) > 1))
+    one = F.col("samples") == 1
+    aco = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter("aco", lambda x: F.coalesce(x != ".", F.lit(False))), lambda x: F.split(x, ":"))))), ":")
+    filters = F.when(F.size("filters") == 0, "NA").otherwise(F.array_join("filters", ";"))
+    shared = {
+        "ChromType": contig_class("chrom"), "Filter": filters, "NumAlleles": _text(F.size("alleles")), "EffectiveNumAlleles": _text(F.size(F.filter("acs", lambda n: n > 0))), "AN": _text(F.col("an")), "HPL": _text(length), "HTV": _text(given("HTV")),
+        "NumCompleteSamples": _text(F.coalesce("complete", F.lit(0))), "NumCONCTrue": _text(F.coalesce("yes", F.lit(0))), "NumCONCFalse": _text(F.coalesce("no", F.lit(0))), "BASE": _text(given("BASE")), "CALL": _text(given("CALL")),
+        "GTCO": _text(F.when(one, F.col("gtco"))), "MED": _text(F.when(one, F.col("med")).cast("double"), "float"),
+    }
+    alt = lambda c: F.array_max(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))))
+    whole = shared | {
+        "VariantType": F.col("type"), "HasMissing": _text(F.col("missing"), "flag"), "HasRedundant": _text(F.array_contains("repeated", True), "flag"), "MaxAltACP": _text(F.coalesce(alt("acp"), F.lit(0.0)), "float"), "MaxAltAC": _text(F.coalesce(alt("acs"), F.lit(0))),
+        "ACO": _text(F.nullif(aco, F.lit(""))), "HasHomopolymer": _text(F.array_contains("flags", True), "flag"),
+    }
+    rows = told.select(*(whole[c].alias(c) for c in VARIANT_ATTRIBUTES))
+    each = told.withColumn("acs", F.when(F.size("ac") > 0, F.col("acs")).otherwise(F.transform("alleles", lambda _: F.lit(0)))).select("*", F.posexplode("alleles").alias("allele", "alt"))
+    each = allele_type(each.withColumnRenamed("type", "_type")).join(least, ["variant_id", "allele"], "left")
+    at = lambda c: F.get(c, F.col("allele"))
+    own = shared | {
+        "AlleleType": F.col("type"), "AlleleLength": _text(F.col("length")), "AlleleSVLength": _text(F.col("sv_length")), "IsRedundant": _text(at("repeated"), "flag"), "ACP": _text(F.coalesce(at("acp"), F.lit(0.0)), "float"), "AC": _text(F.coalesce(at("acs"), F.lit(0))),
+        "ACO": _text(F.when(F.col("allele") > 0, F.get("aco", F.col("allele") - 1))), "IsHomopolymer": _text(at("flags"), "flag"), "MinNAK": _text(F.col("nak"), "float", 1), "MinFAK": _text(F.col("fak"), "float", 2),
+    }
+    return rows, each.select(*(own[c].alias(c) for c in ALLELE_ATTRIBUTES))

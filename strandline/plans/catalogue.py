@@ -391,20 +391,6 @@ def inbreeding(spark, d):
     return rounded(genotyping.inbreeding(load(spark, d, "call"), F.expr("missing = 0 and sample < 9 and nak >= 2")), "ibc")
 
 
-@registered(
-    "trio_concordance",
-    f"""{duck('call')}, t as (select f.variant_id, cast(f.sample / 3 as int) as family, f.a fa, f.b fb, m.a ma, m.b mb, c.a ca, c.b cb, f.missing + m.missing + c.missing > 0 as filtered
-      from call f join call m on f.variant_id = m.variant_id and m.sample = f.sample + 1 join call c on f.variant_id = c.variant_id and c.sample = f.sample + 2 where f.sample in (0, 3, 6)),
-    u as (select *, ca in (fa, fb) as c1f, cb in (fa, fb) as c2f, ca in (ma, mb) as c1m, cb in (ma, mb) as c2m from t),
-    v as (select *, (c1f and c2m) or (c2f and c1m) as conc, ca <> cb and fa = fb and ma = mb as het from u)
-    select variant_id, family, filtered, not filtered and conc as concordant, not filtered and greatest(fa, fb, ma, mb, ca, cb) = 0 as reference_call, not filtered and het as child_heterozygote,
-      not filtered and not conc and het and ((not c1f and not c1m and (c2f or c2m) and ca > 0) or (not c2f and not c2m and (c1f or c1m) and cb > 0)) as de_novo from v""",
-)
-def trio_concordance(spark, d):
-    pedigree = spark.createDataFrame([(f, 3 * f, 3 * f + 1, 3 * f + 2) for f in range(3)], "family int, father int, mother int, child int")
-    return genotyping.trios(load(spark, d, "call"), pedigree)
-
-
 @registered("summary_table", f"{duck('call')} select a, b, missing, app >= 0.95 as confident, count(*) as n_rows from call group by all")
 def summary_table(spark, d):
     return genotyping.summary(load(spark, d, "call").withColumn("confident", F.col("app") >= 0.95), "a", "b", "missing", "confident")

@@ -320,3 +320,110 @@ def haplotype_transmission(spark, d):
 def pedigree_names(spark, d):
     names = [f"F{r[0]}-0{n}" for r in spark.read.parquet(f"{d}/nation.parquet").select("n_regionkey").distinct().collect() for n in (1, 2, 3)]  # the samples of a run
     return spark.createDataFrame(tables.pedigree_of_names(names), "family string, father string, mother string, child string")
+
+
+TRIOS = f"""{duck('rich')}, gc as (select variant_id, sample, ploidy, case when ploidy = 0 then [] when missing = 1 then case ploidy when 2 then [null, null] else [null] end when ploidy = 2 then [a, b] else [a] end as g, variant_id % 2 = 0 as open from (select r.variant_id, r.sample, r.ploidy, c.a, c.b, c.missing from rich r join call c using (variant_id, sample)) z),
+t as (select f.variant_id, cast(f.sample / 3 as int) as family, f.g as f, m.g as m, c.g as c, f.ploidy as fp, m.ploidy as mp, c.ploidy as cp, c.open as open, len(list_filter(f.g || m.g || c.g, lambda x: x is null)) > 0 as filtered
+  from gc f join gc m on f.variant_id = m.variant_id and m.sample = f.sample + 1 join gc c on f.variant_id = c.variant_id and c.sample = f.sample + 2 where f.sample in (1, 4, 7)),
+u as (select *, fp = 2 and mp = 2 and cp = 2 as diploid, c[1] as x, c[-1] as y, coalesce(list_contains(f, c[1]), false) as xf, coalesce(list_contains(m, c[1]), false) as xm, coalesce(list_contains(f, c[-1]), false) as yf, coalesce(list_contains(m, c[-1]), false) as ym from t),
+v as (select *, not filtered and cp > 0 and ((xf and ym) or (yf and xm)) as concordant, case when not xf and not xm and (yf or ym) then x when not yf and not ym and (xf or xm) then y else 0 end as nw,
+  cp = 2 and x <> y and fp > 0 and mp > 0 and f[1] = f[-1] and m[1] = m[-1] as alone from u),
+w as (select *, coalesce(not filtered and diploid and alone and not concordant and not (open and list_contains(f || m || c, 2)) and nw > 0, false) as de_novo from v)"""
+
+
+@registered(
+    "trio_concordance",
+    f"""{TRIOS} select variant_id, family, filtered, diploid, filtered or cp > 0 as informative, concordant, false as simple_heterozygote, not filtered and len(list_filter(f || m || c, lambda x: x > 0)) = 0 as reference_call, de_novo,
+    case when de_novo then case when nw = f[1] then m[1] else f[1] end end as ancestral, case when de_novo then nw end as new from w""",
+)
+def trio_concordance(spark, d):
+    return genotyping.trios(trio_calls(spark, d), spark.createDataFrame([(round(f / 3), f, f + 1, f + 2) for f in (1, 4, 7)], "family int, father int, mother int, child int"))
+
+
+def trio_calls(spark, d):
+    """Calls with missing ones, one copy in sample 9 and none in some of sample 8."""
+    none = F.lit(None).cast("int")
+    whole = load(spark, d, "rich").select("variant_id", "sample", "ploidy").join(load(spark, d, "call").select("variant_id", "sample", "a", "b", "missing"), ["variant_id", "sample"])
+    genotype_ = F.when(F.col("ploidy") == 0, F.array().cast("array<int>")).when(F.col("missing") == 1, F.when(F.col("ploidy") == 2, F.array(none, none)).otherwise(F.array(none))).when(F.col("ploidy") == 2, F.array("a", "b")).otherwise(F.array("a"))
+    return whole.select("variant_id", "sample", "ploidy", genotype_.alias("genotype"), F.lit(3).alias("n_alleles"), (F.col("variant_id") % 2 == 0).alias("open"))
+
+
+@registered("concordance_attribute", f"{TRIOS} select variant_id, sum(concordant::int)::varchar || '/' || count(*) as conc from w where not filtered and cp > 0 group by variant_id")
+def concordance_attribute(spark, d):
+    from strandline.operators import tools
+
+    return tools.concordance_attribute(trio_calls(spark, d), spark.createDataFrame([(f, f, f + 1, f + 2) for f in (1, 4, 7)], "family int, father int, mother int, child int"))
+
+
+@registered("uncovered_alleles", f"{duck('call')}, v as (select distinct variant_id from call), e as (select variant_id as cluster, cast(p as int) as variant, cast(i as int) as allele from v, range(2) p(p), range(3) i(i)), t as (select variant_id as cluster, 0 as variant, a as allele from call union select variant_id, 1, b from call) select * from e anti join t using (cluster, variant, allele)")
+def uncovered_alleles(spark, d):
+    from strandline.operators import graph
+
+    haps = load(spark, d, "call").select(F.col("variant_id").alias("cluster"), F.array("a", "b").alias("alleles"))
+    told = haps.select("cluster").distinct().select("cluster", F.explode(F.array(F.lit(0), F.lit(1))).alias("variant"), F.lit(3).alias("n_alleles"))
+    return graph.uncovered_alleles(told, haps)
+
+
+@registered("kmer_excluded", f"{duck('occ')}, p as (select kmer, source, count(*) as n from occ group by kmer, source) select kmer, max(cast(source = 'src0' as int)) = 1 or max(n) > 2 or count(*) > 1 as excluded from p group by kmer")
+def kmer_excluded(spark, d):
+    from strandline.operators import kmers
+
+    p = load(spark, d, "occ").groupBy("kmer", "source").agg(F.count("*").alias("n"))
+    told = p.groupBy("kmer").agg((F.max((F.col("source") == "src0").cast("int")) == 1).alias("decoy"), (F.max("n") > 2).alias("over"), (F.count("*") > 1).alias("multigroup"))
+    return told.select("kmer", kmers.excluded("decoy", "over", "multigroup").alias("excluded"))
+
+
+@registered("contig_order", "select cast(row_number() over (order by n_nationkey) - 1 as int) as place, n_name as contig from nation")
+def contig_order(spark, d):
+    names = [(r[0], r[1]) for r in spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()]  # the contigs of a genome
+    merged = tables.contig_order([[n for k, n in names if k % 3 != 1], [n for k, n in names if k % 3 != 2], [n for k, n in names if k % 2 == 0 or k % 3 == 0]] + [[n for _, n in names[i : i + 2]] for i in range(len(names) - 1)])
+    return spark.createDataFrame(list(enumerate(merged)), "place int, contig string")
+
+
+SUMMARY = f"""{duck('rich')}, g as (select *, case when ploidy = 0 then [] when ploidy = 1 then [variant_id % 3] when sample % 4 = 3 then [null, null] else [variant_id % 2, sample % 3] end as gt, case when ploidy > 0 then [0, sample % 2, 0] else [] end as saf from rich),
+al as (select variant_id, sample, i, gt, saf, app, nak, fak from g, range(3) i(i)), ct as (select variant_id, i, sum(len(list_filter(gt, lambda x: x = i and saf[x + 1] = 0)))::int as n, max(case when len(app) > 0 and saf[i + 1] = 0 then app[i + 1] else 0 end) as p, min(case when nak[i + 1] <> -1 then nak[i + 1] end) as nak, min(case when fak[i + 1] <> -1 then fak[i + 1] end) as fak from al group by variant_id, i),
+sm as (select variant_id, sum(len(list_filter(gt, lambda x: x is null)) = 0)::int as complete, sum((sample % 3 = 0)::int)::int as yes, sum((sample % 3 = 1)::int)::int as no from g group by variant_id),
+vt as (select variant_id, list(n order by i) as acs, list(p order by i) as acp, list(nak order by i) as nak, list(fak order by i) as fak, sum(n)::int as an from ct group by variant_id),
+sv as (select *, variant_id % 2 = 0 as two, case when variant_id % 2 = 0 then ['A', 'C', 'AT'] else ['A', 'G', '*'] end as als from vt join sm using (variant_id)),
+cm as (select *, case variant_id % 3 when 0 then 'x' when 1 then 'autosomal' else 'unknown' end as ct, case when variant_id % 5 = 0 then 'NA' else 'PASS' end as fl, len(list_filter(acs, lambda n: n > 0)) as eff, case when variant_id % 2 = 0 then '3' else 'NA' end as hpl, case when variant_id % 7 = 0 then '1' else 'NA' end as htv from sv)"""
+
+
+@registered(
+    "summary_variants",
+    SUMMARY
+    + """, r as (select ct as "ChromType", fl as "Filter", case when two then 'Multi' else 'SNP' end as "VariantType", case when two then '0' else '1' end as "HasMissing", '0' as "HasRedundant", '3' as "NumAlleles", cast(eff as varchar) as "EffectiveNumAlleles", printf('%.2f', greatest(acp[2], acp[3])) as "MaxAltACP",
+    cast(greatest(acs[2], acs[3]) as varchar) as "MaxAltAC", cast(an as varchar) as "AN", 'x:y' as "ACO", hpl as "HPL", case when two then '1' else 'NA' end as "HasHomopolymer", htv as "HTV", cast(complete as varchar) as "NumCompleteSamples", cast(yes as varchar) as "NumCONCTrue", cast(no as varchar) as "NumCONCFalse", 'b' as "BASE", 'NA' as "CALL", 'NA' as "GTCO", 'NA' as "MED" from cm)
+    select *, count(*) as n_rows from r group by all""",
+)
+def summary_variants(spark, d):
+    rows, _ = genotyping.summary_attributes(*summary_inputs(spark, d))
+    return genotyping.summary(rows, *rows.columns)
+
+
+@registered(
+    "summary_alleles",
+    SUMMARY
+    + """, e as (select *, unnest(range(0, 3)) as i from cm), r as (select ct as "ChromType", fl as "Filter", case when i = 0 then 'Reference' when i = 1 then 'SNP' when two then 'Insertion' else 'Missing' end as "AlleleType", case when i = 2 and not two then '0' else '1' end as "AlleleLength", case when i = 2 and two then '1' else '0' end as "AlleleSVLength", '0' as "IsRedundant", '3' as "NumAlleles",
+    cast(eff as varchar) as "EffectiveNumAlleles", printf('%.2f', acp[i + 1]) as "ACP", cast(acs[i + 1] as varchar) as "AC", cast(an as varchar) as "AN", case i when 0 then 'NA' when 1 then 'y:x' else 'NA' end as "ACO", hpl as "HPL", case when two then case when i = 1 then '0' else '1' end else 'NA' end as "IsHomopolymer", htv as "HTV",
+    cast(complete as varchar) as "NumCompleteSamples", cast(yes as varchar) as "NumCONCTrue", cast(no as varchar) as "NumCONCFalse", 'b' as "BASE", 'NA' as "CALL", 'NA' as "GTCO", 'NA' as "MED", case when nak[i + 1] is null then 'NA' else printf('%.1f', nak[i + 1]) end as "MinNAK", case when fak[i + 1] is null then 'NA' else printf('%.2f', fak[i + 1]) end as "MinFAK" from e)
+    select *, count(*) as n_rows from r group by all""",
+)
+def summary_alleles(spark, d):
+    _, rows = genotyping.summary_attributes(*summary_inputs(spark, d))
+    return genotyping.summary(rows, *rows.columns)
+
+
+def summary_inputs(spark, d):
+    """(variants, calls) with every attribute that a summary tells."""
+    rich, v, s = load(spark, d, "rich"), F.col("variant_id"), F.col("sample")
+    none, ints = F.lit(None).cast("int"), F.array().cast("array<int>")
+    genotype_ = F.when(F.col("ploidy") == 0, ints).when(F.col("ploidy") == 1, F.array((v % 3).cast("int"))).when(s % 4 == 3, F.array(none, none)).otherwise(F.array((v % 2).cast("int"), (s % 3).cast("int")))
+    conc = F.create_map(F.lit("CONC"), F.when(s % 3 == 0, "TRUE").when(s % 3 == 1, "FALSE").otherwise(F.lit("NA")), F.lit("GTCO"), F.lit("T"))
+    calls = rich.select("variant_id", "sample", "ploidy", genotype_.alias("genotype"), F.when(F.col("ploidy") > 0, F.array(F.lit(0), (s % 2).cast("int"), F.lit(0))).otherwise(ints).alias("saf"), "app", "nak", "fak", conc.alias("info"))
+    two = v % 2 == 0
+    info = F.map_filter(F.create_map(F.lit("HTV"), F.when(v % 7 == 0, "TRUE"), F.lit("BASE"), F.lit("b"), F.lit("CALL"), F.lit(".")), lambda _, x: x.isNotNull())
+    told = rich.select("variant_id").distinct().select(
+        "variant_id", F.when(v % 3 == 0, "chrX").when(v % 3 == 1, "7").otherwise(F.lit("GL1")).alias("chrom"), F.when(v % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("PASS"))).alias("filters"), F.lit("A").alias("ref"),
+        F.when(two, F.array(F.lit("C"), F.lit("AT"))).otherwise(F.array(F.lit("G"), F.lit("*"))).alias("alts"), F.array(F.lit("y:x"), F.lit(".")).alias("aco"), F.when(two, "3:T").otherwise(F.lit(".")).alias("hpl"), info.alias("info"),
+    )
+    return told, calls

@@ -176,10 +176,21 @@ def test_statistics(spark):
     calls = spark.createDataFrame([(1, 0, 0, 0), (1, 1, 0, 1), (1, 2, 1, 1), (1, 3, 0, 1)], "variant_id int, sample int, a int, b int").withColumns({"app": F.lit(1.0), "nak": F.lit(5), "fak": F.lit(1.0), "missing": F.lit(0)})
     assert one(genotyping.inbreeding(calls))["ibc"] == 0
     assert one(genotyping.inbreeding(calls, F.col("sample") < 3))["n_samples"] == 3
-    trio = spark.createDataFrame([(0, 0, 1, 2)], "family int, father int, mother int, child int")
-    assert one(genotyping.trios(calls, trio)).asDict() == {"variant_id": 1, "family": 0, "filtered": False, "concordant": False, "reference_call": False, "child_heterozygote": False, "de_novo": False}
-    new = spark.createDataFrame([(1, 0, 0, 0, 0), (1, 1, 0, 0, 0), (1, 2, 0, 1, 0)], "variant_id int, sample int, a int, b int, missing int")
-    assert one(genotyping.trios(new, trio))["de_novo"] is True
+
+
+def test_trios(spark):
+    """father, mother, child, n_alleles, open: what is told."""
+    cases = {
+        1: ([0, 0], [0, 0], [0, 1], 2, False, {"de_novo", "diploid", "informative"}, 0, 1), 2: ([0, 1], [0, 1], [1, 1], 2, False, {"concordant", "simple_heterozygote", "diploid", "informative"}, None, None), 3: ([0, 0], [0, 0], [0, 0], 3, False, {"concordant", "reference_call", "diploid", "informative"}, None, None),
+        4: ([0, None], [0, 0], [0, 0], 2, False, {"filtered", "diploid", "informative"}, None, None), 5: ([0, 0], [0, 0], [0, 2], 3, True, {"diploid", "informative"}, None, None), 6: ([1], [0, 0], [1], 2, False, {"informative"}, None, None), 7: ([0], [0, 0], [], 2, False, {"reference_call"}, None, None),
+        8: ([1, 1], [0, 0], [1, 2], 3, False, {"de_novo", "diploid", "informative"}, 1, 2), 9: ([0, 1], [0, 1], [0, 1], 3, False, {"concordant", "diploid", "informative"}, None, None),
+    }
+    calls = [(i, s, len(g), g, c[3], c[4]) for i, c in cases.items() for s, g in zip("fmk", c[:3], strict=True)]
+    df = spark.createDataFrame(calls, "variant_id int, sample string, ploidy int, genotype array<int>, n_alleles int, open boolean")
+    told = ("filtered", "diploid", "informative", "concordant", "simple_heterozygote", "reference_call", "de_novo")
+    got = {r["variant_id"]: ({c for c in told if r[c]}, r["ancestral"], r["new"]) for r in genotyping.trios(df, spark.createDataFrame([(0, "f", "m", "k")], "family int, father string, mother string, child string")).collect()}
+    assert got == {i: c[5:] for i, c in cases.items()}
+    assert one(tools.concordance_attribute(df.where("variant_id = 6"), spark.createDataFrame([(0, "f", "m", "k")], "family int, father string, mother string, child string")))["conc"] == "0/1"
 
 
 RICH = "variant_id int, sample string, ploidy int, gpp array<double>, app array<double>, nak array<double>, fak array<double>, mac array<double>"
