@@ -149,6 +149,45 @@ def ordered(variants: list) -> list[tuple[int, str, list[str]]]:
     return sorted(((v["pos"], v["ref"], list(v["alts"])) for v in variants), key=lambda v: (v[0], len(v[1])))
 
 
+def described(path: Path, variants: list[tuple[int, str, list[str]]], low: int, missing: list[int]) -> tuple[list[int], list[tuple[int, int]]]:
+    """(allele of each variant, where it stands in the path's sequence). The path begins at place `low`. Of a variant whose place
+    an earlier allele of the path removes, the allele is missing[v] (0 where that is -1) and stands nowhere, (0, -1); as do
+    reference alleles of which a part is removed. A first base that REF and allele share isn't counted."""
+    taken, at, length, kept = dict(path.alleles), low, 0, []
+    where: dict[int, tuple[int, int]] = {}
+    for v, allele in path.alleles:
+        pos, ref, alts = variants[v]
+        kept.append((at, pos, length))
+        length += pos - at
+        alt = alts[allele - 1]
+        where[v] = (length + (alt[0] == ref[0]), length + len(alt))
+        at, length = pos + len(ref), length + len(alt)
+    kept.append((at, 1 << 62, length))
+    alleles, places = [], []
+    for v, (pos, ref, alts) in enumerate(variants):
+        if v in taken:
+            alleles.append(taken[v])
+            places.append(where[v])
+            continue
+        whole = next(((a, n) for a, b, n in kept if a <= pos and pos + len(ref) <= b), None)
+        gone = not any(a <= pos < b for a, b, _ in kept)
+        alleles.append(max(0, missing[v]) if gone else 0)
+        shared = any(x[0] == ref[0] for x in alts if x != "*")
+        places.append((whole[1] + pos - whole[0] + shared, whole[1] + pos - whole[0] + len(ref)) if whole else (0, -1))
+    return alleles, places
+
+
+def removers(path: Path, variants: list[tuple[int, str, list[str]]], inner: dict) -> dict:
+    """Of the inner clusters (name: first place, last place) those that an allele of the path removes, and whose: the variant."""
+    out = {}
+    for v, allele in path.alleles:
+        pos, ref, alts = variants[v]
+        for name, (first, last) in inner.items():
+            if pos + len(alts[allele - 1]) <= first and last < pos + len(ref):
+                out[name] = v
+    return out
+
+
 def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     """cluster, hap (from 0), seq, alleles (an index per variant, 0 for the reference). clusters: cluster, variants (array of
     struct pos, ref, alts), reference (its bases), first (their place), kmers (the sample's canonical k-mers there)."""
@@ -179,24 +218,56 @@ def windows(clusters: DataFrame, k: int, wide: int) -> DataFrame:
 
 
 def looked_up(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
-    """`haplotypes` where some of the sample's k-mers may not have been looked up: clusters has `known` (those looked up)
-    beside kmers (those found). A cluster whose beam asks for others gives them, in rows with a kmer and no hap, instead."""
+    """Candidate haplotypes where some of the sample's k-mers may not have been looked up: clusters has `known` (those looked up)
+    beside kmers (those found). A cluster whose beam asks for others gives them, in rows with a kmer and no hap, instead.
+
+    Beside hap, seq and alleles: places (start and end of each variant's allele in seq) and lacks (inner cluster -> the variant
+    that removes it), by the columns missing (index of `*` of each variant, -1 for none) and inner (array of struct name,
+    first, last) of clusters, where they are given."""
     import pandas as pd
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples(index=False):
             variants, seen = ordered(r.variants), Lookup(set(r.kmers), set(r.known))
-            paths = find_paths(build(variants, r.reference, r.first, k), seen, k, most)
+            vertices = build(variants, r.reference, r.first, k)
+            paths = find_paths(vertices, seen, k, most)
             if seen.missing:
-                out += [(r.cluster, None, None, None, x) for x in sorted(seen.missing)]
+                out += [(r.cluster, None, None, None, None, None, x) for x in sorted(seen.missing)]
                 continue
+            missing = list(getattr(r, "missing", [-1] * len(variants)))
+            inner = {x["name"]: (x["first"], x["last"]) for x in getattr(r, "inner", [])}
             for h, p in enumerate(paths):
-                taken = dict(p.alleles)
-                out.append((r.cluster, h, p.seq, [taken.get(i, 0) for i in range(len(variants))], None))
-        return pd.DataFrame(out, columns=["cluster", "hap", "seq", "alleles", "kmer"]).astype({"hap": "Int32"})
+                alleles, places = described(p, variants, vertices[0].start, missing)
+                out.append((r.cluster, h, p.seq, alleles, [{"start": a, "end": b} for a, b in places], removers(p, variants, inner), None))
+        return pd.DataFrame(out, columns=["cluster", "hap", "seq", "alleles", "places", "lacks", "kmer"]).astype({"hap": "Int32"})
+
+    kind = dict(clusters.dtypes)["cluster"]
+    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {kind}, hap int, seq string, alleles array<int>, places array<struct<start: int, end: int>>, lacks map<{kind}, int>, kmer string")
+
+
+def covering_kmers(haps: DataFrame, k: int) -> DataFrame:
+    """cluster, hap, kmer, mult (at most 255), variants: which of the haplotype's variants the k-mer covers, by a base of the
+    allele or, where it has none of its own, by the bases on both sides. Row by row, without a shuffle."""
+    import pandas as pd
 
-    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {dict(clusters.dtypes)['cluster']}, hap int, seq string, alleles array<int>, kmer string")
+    def run(batches):
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                found: dict[str, list] = {}
+                clean = 0
+                for i, base in enumerate(r.seq):
+                    clean = clean + 1 if base in "ACGT" else 0
+                    if clean >= k:
+                        own = found.setdefault(canonical(r.seq[i - k + 1 : i + 1]), [0, set()])
+                        own[0] += 1
+                        own[1].update(v for v, x in enumerate(r.places) if i - k + 1 < x["end"] and i >= x["start"])
+                out += [(r.cluster, r.hap, x, min(255, n), sorted(vs)) for x, (n, vs) in found.items()]
+            yield pd.DataFrame(out, columns=["cluster", "hap", "kmer", "mult", "variants"])
+
+    kind = dict(haps.dtypes)["cluster"]
+    return haps.select("cluster", "hap", "seq", "places").mapInPandas(run, f"cluster {kind}, hap int, kmer string, mult int, variants array<int>")
 
 
 def haplotype_kmers(haps: DataFrame, k: int) -> DataFrame:
