@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline import shared
+from strandline.shared import dropped
+
 #: Below so many bytes a side may be broadcast; the size is measured, not assumed.
 BROADCAST_BYTES = 32 << 20
-#: Used only where a local session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+#: The same for tables of keys, of which a run makes many: the driver holds each for a while.
+KEYS_BYTES = 4 << 20
 _scopes: list[list[DataFrame]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share, as a full URI; a local one of our own where a
-    local session leaves it unset. On a cluster it must be set: a folder of one machine would lose tables in silence."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{FALLBACK_DIR}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage, survives lost executors. A lasting table
-    outlives the scope in which it is written."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_at = path
+    """`shared.stored`: a lasting table outlives the scope in which it is written."""
+    out = shared.stored(df, name)
     if _scopes and not lasting:
         _scopes[-1].append(out)
     return out
@@ -54,14 +36,6 @@ def scratch() -> Iterator[None]:
         dropped(*_scopes.pop())
 
 
-def dropped(*tables: DataFrame) -> None:
-    """Delete stored tables that nothing lazy reads any more."""
-    for df in tables:
-        jvm, path = df.sparkSession._jvm, df._stored_at
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def plan_bytes(df: DataFrame) -> int:
     """Bytes of df: Catalyst's estimate (for a file scan the size of its files) or, where it has none, its measured texts."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -87,7 +61,7 @@ def looked_up(rows: DataFrame, table: DataFrame, key: str, spread: Column, ask:
     one the keys with more than a 256th of all rows, 256 at most, are; rows left without a question are dealt by `spread`."""
     ask, own = F.lit(True) if ask is None else F.coalesce(ask, F.lit(False)), [c for c in table.columns if c not in (key, "n")]
     told = table.select(F.col(key).alias("_key"), "n", F.struct(*own).alias("_told"))
-    if 8 * plan_bytes(table) <= BROADCAST_BYTES:
+    if 8 * plan_bytes(table) <= KEYS_BYTES:
         met = rows.withColumn("_ask", ask).join(F.broadcast(told.drop("n")), F.col("_ask") & (F.col(key) == F.col("_key")), "left")
     else:
         total = table.agg(F.sum("n")).first()[0] or 0

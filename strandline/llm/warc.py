@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, looked_up, new_dir, partitions_for, stored
+from strandline.shared import new_dir
+
+from .common import dropped, looked_up, partitions_for, stored
 
 #: Bytes of one archive file, of the gap that is read over rather than skipped, and of one coalesced read.
 FILE_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 64 << 10, 8 << 20

@@ -166,6 +166,7 @@ def brute_components(rows, k, num, den):
 def test_near_duplicates_match_brute_force(spark, k, similarity, num, small, monkeypatch):
     if not small:  # as on tables too large to broadcast
         monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "KEYS_BYTES", 0)
     rows = corpus(3)
     draw = random.Random(4)
     base = [f"b{i}" for i in range(120)]
@@ -313,7 +314,7 @@ def test_keys_are_looked_up_alike_whatever_the_size(spark, monkeypatch):
     small_ = told()
     least = {r["k"]: r["least"] for r in table.collect()}
     assert small_ == sorted(((r["id"], r["k"], least.get(r["k"]) if r["id"] % 3 else None) for r in rows.collect()), key=repr)
-    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "KEYS_BYTES", 0)
     assert told() == small_
 
 
