@@ -1,6 +1,6 @@
 """Variant graphs, candidate haplotype paths, haplotype k-mers, redundant alleles and copy-number extension, by cluster.
 
-A cluster is small and independent once groups are known, so its graph lives inside one grouped pandas call; everything
+A cluster is small and independent once groups are known, so its graph lives in one row's turn of a pandas call; everything
 before and after (grouping, the sample's k-mers, k-mer tables of the paths) is DataFrame work.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Container
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -191,8 +192,6 @@ def removers(path: Path, variants: list[tuple[int, str, list[str]]], inner: dict
 def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     """cluster, hap (from 0), seq, alleles (an index per variant, 0 for the reference). clusters: cluster, variants (array of
     struct pos, ref, alts), reference (its bases), first (their place), kmers (the sample's canonical k-mers there)."""
-    import pandas as pd
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples(index=False):
@@ -203,18 +202,16 @@ def haplotypes(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
         return pd.DataFrame(out, columns=["cluster", "hap", "seq", "alleles"])
 
     kind = dict(clusters.dtypes)["cluster"]
-    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {kind}, hap int, seq string, alleles array<int>")
+    return clusters.mapInPandas(lambda batches: map(run, batches), f"cluster {kind}, hap int, seq string, alleles array<int>")
 
 
 def windows(clusters: DataFrame, k: int, wide: int) -> DataFrame:
     """cluster, kmer: local_kmers of each cluster's graph. clusters as for `haplotypes`, without kmers."""
-    import pandas as pd
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = [(r.cluster, x) for r in rows.itertuples(index=False) for x in sorted(local_kmers(build(ordered(r.variants), r.reference, r.first, k), k, wide))]
         return pd.DataFrame(out, columns=["cluster", "kmer"])
 
-    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {dict(clusters.dtypes)['cluster']}, kmer string")
+    return clusters.mapInPandas(lambda batches: map(run, batches), f"cluster {dict(clusters.dtypes)['cluster']}, kmer string")
 
 
 def looked_up(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
@@ -224,8 +221,6 @@ def looked_up(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
     Beside hap, seq and alleles: places (start and end of each variant's allele in seq) and lacks (inner cluster -> the variant
     that removes it), by the columns missing (index of `*` of each variant, -1 for none) and inner (array of struct name,
     first, last) of clusters, where they are given."""
-    import pandas as pd
-
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in rows.itertuples(index=False):
@@ -243,14 +238,12 @@ def looked_up(clusters: DataFrame, k: int, most: int = 32) -> DataFrame:
         return pd.DataFrame(out, columns=["cluster", "hap", "seq", "alleles", "places", "lacks", "kmer"]).astype({"hap": "Int32"})
 
     kind = dict(clusters.dtypes)["cluster"]
-    return clusters.groupBy("cluster").applyInPandas(run, f"cluster {kind}, hap int, seq string, alleles array<int>, places array<struct<start: int, end: int>>, lacks map<{kind}, int>, kmer string")
+    return clusters.mapInPandas(lambda batches: map(run, batches), f"cluster {kind}, hap int, seq string, alleles array<int>, places array<struct<start: int, end: int>>, lacks map<{kind}, int>, kmer string")
 
 
 def covering_kmers(haps: DataFrame, k: int) -> DataFrame:
     """cluster, hap, kmer, mult (at most 255), variants: which of the haplotype's variants the k-mer covers, by a base of the
     allele or, where it has none of its own, by the bases on both sides. Row by row, without a shuffle."""
-    import pandas as pd
-
     def run(batches):
         for rows in batches:
             out = []
@@ -307,8 +300,6 @@ def copy_number_extension(allele: str, after: str, k: int, threshold: float = 0.
 
 def extension(allele: str, after: str, k: int, threshold: float = 0.5) -> Column:
     """copy_number_extension of two string columns; alleles of k bases are rare, so the pandas call sees few rows."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([copy_number_extension(x or "", y or "", k, threshold) for x, y in zip(a, b, strict=True)])

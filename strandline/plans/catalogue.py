@@ -161,9 +161,11 @@ def kmer_hash_sample(spark, d):
     return kmers.drawn_sample(load(spark, d, "occ").select("kmer").distinct().where(sequence.drawn("kmer", 0.5, 7)), 1000, 7)
 
 
-@registered("ambiguous_bases")
+@registered("ambiguous_bases", f"{duck('seq')} select seq_id, run, cast(length(run) + 2 as int) as length, true as kept, true as filled from seq")
 def ambiguous_bases(spark, d):
-    return load(spark, d, "seq").select("seq_id", sequence.sample_ambiguous(F.concat("run", F.lit("NN")), F.col("seq_id"), 1).alias("filled"))
+    """Runs with two ambiguous bases behind: the known ones stay, the others become bases."""
+    told = load(spark, d, "seq").withColumn("x", sequence.sample_ambiguous(F.concat("run", F.lit("NN")), F.col("seq_id"), 1))
+    return told.select("seq_id", "run", F.length("x").alias("length"), F.startswith("x", "run").alias("kept"), sequence.is_nucleotides("x").alias("filled"))
 
 
 # ---- intervals
@@ -558,12 +560,13 @@ def homopolymer_alleles(spark, d):
 def joint_noise(spark, d):
     counts = load(spark, d, "talk")
     terms = inference.diplotype_terms(load(spark, d, "hap"), counts, counts.select("sample").distinct(), MODEL)
-    return inference.joint_noise(inference.drawn_batch(terms, 1000, 1), chains=4)
+    return inference.joint_noise(terms, chains=4)
 
 
-@registered("kmer_subsample")
+@registered("kmer_subsample", f"{duck('hap')}, r as (select *, row_number() over (partition by cluster, hap order by kmer) as n from hap) select * from hap where (cluster, kmer) in (select (cluster, kmer) from r where n <= 5)")
 def kmer_subsample(spark, d):
-    return inference.subsample_kmers(load(spark, d, "hap"), 0.1, 5, 1)
+    """The first five k-mers of each haplotype of each cluster, with their copies in the others."""
+    return inference.subsample_kmers(load(spark, d, "hap").withColumn("variants", F.array(F.lit(0))), 1.0, 5, None).drop("variants")
 
 
 @registered(
@@ -581,4 +584,4 @@ def diplotypes(spark, d):
     return tools.diplotypes(calls, calls.select(F.col("chrom").alias("id")).distinct().withColumn("seq", F.lit("ACGTTGCATCAG" * 8)))
 
 
-from . import output, roundtrips, variants  # noqa: E402, F401  (they register their queries)
+from . import output, roundtrips, runs, variants  # noqa: E402, F401  (they register their queries)

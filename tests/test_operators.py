@@ -403,8 +403,13 @@ def test_joint_noise_finds_the_rate(spark):
     terms = inference.diplotype_terms(haps, counts, counts.select("sample").distinct(), model)
     rate = one(inference.noise_rates(inference.joint_noise(terms, chains=2, burn_in=50, draws=150, shape=1.0, scale=1.0), 50))["rate"]
     assert 0.25 < rate < 0.55
-    assert inference.drawn_batch(terms, 5, 1).select("cluster").distinct().count() == 5
-    assert inference.subsample_kmers(haps, 0.0, 3, 1).groupBy("cluster").agg(F.countDistinct("kmer").alias("n")).where("n <> 3").count() == 0
+    sizes = spark.createDataFrame([(c, 1 + c % 3) for c in range(12)], "cluster int, n_variants int")
+    for want in (1, 5, 11, 100):
+        batch = inference.drawn_batch(sizes, want, 1).join(sizes, "cluster").collect()
+        held = sum(r["n_variants"] for r in batch)
+        assert len({r["cluster"] for r in batch}) == len(batch) and (held == 24 if want == 100 else want <= held < want + 3)
+    drawn = inference.subsample_kmers(haps.withColumn("variants", F.array(F.lit(0))), 0.5, 4, 1)
+    assert drawn.groupBy("cluster", "hap").agg(F.countDistinct("kmer").alias("n")).where("n > 4").count() == 0 and drawn.count() > 50
 
 
 def test_vcf_pruning_and_small_predicates(spark, tmp_path):
@@ -417,3 +422,37 @@ def test_vcf_pruning_and_small_predicates(spark, tmp_path):
     assert [r[0] for r in alts] == [["T", "AC"], []]
     df = spark.createDataFrame([("", "AA", "A"), ("A", "AAAAA", "A"), ("", "AT", "A")], "r string, a string, base string")
     assert [r[0] for r in df.select(alleles.is_homopolymer_change("r", "a", "base", 3)).collect()] == [True, False, False]
+
+
+def test_copy_number_extension_of_columns(spark):
+    unit = "ACGTTGCATC"
+    rows = spark.createDataFrame([(unit, unit * 2 + "T" * 20), (unit, "T" * 30), ("ACG", unit), (unit, None), (None, unit)], "allele string, after string")
+    got = [r[0] for r in rows.select(graph.extension("allele", "after", 4)).collect()]
+    assert got == [graph.copy_number_extension(a or "", b or "", 4) for a, b in [(unit, unit * 2 + "T" * 20), (unit, "T" * 30), ("ACG", unit), (unit, None), (None, unit)]] and got[0] >= 20
+    reached = ivl(spark, [("c", 1, 5), ("c", 20, 20), ("c", 40, 40)]).withColumn("copies_end", F.col("end_pos") + F.when(F.col("pos") == 1, 30).otherwise(0))
+    assert [r["group_no"] for r in intervals.groups(reached, 10, end="copies_end").orderBy("pos").collect()] == [0, 0, 0]
+    assert [r["group_no"] for r in intervals.groups(reached, 10).orderBy("pos").collect()] == [0, 1, 2]
+
+
+def test_only_the_training_subpackage_may_be_missing(tmp_path):
+    """The entry point imports without the subpackage, and doesn't hide a dependency that is missing."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = __import__("pathlib").Path(__file__).resolve().parent.parent
+    for name in ("strandline", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = root / name
+        if source.exists():
+            (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
+    told = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sum(q.startswith('op') for q in e.queries()), len(e.queries()) > 50)"], cwd=tmp_path, capture_output=True, text=True)
+    if (tmp_path / "strandline" / "llm").exists():
+        assert told().stdout.split() == ["10", "True"]
+        common = tmp_path / "strandline" / "llm" / "common.py"
+        text = common.read_text()
+        common.write_text(text + "\nimport no_such_module\n")
+        assert "no_such_module" in told().stderr
+        shutil.rmtree(tmp_path / "strandline" / "llm")
+    assert told().stdout.split() == ["0", "True"]
+    (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert told().stdout.split() == ["0", "True"]
