@@ -37,11 +37,14 @@ def shared_between(occurrences: DataFrame, cluster: Column, group: Column) -> Da
     return per.withColumn("multigroup", F.col("n_groups") > 1).withColumn("multicluster", F.col("n_clusters") > 1)
 
 
-def census(occurrences: DataFrame, cluster: Column, group: Column, decoy: Column, limit: int = MULTIPLICITY_LIMIT) -> DataFrame:
-    """class, n_kmers: decoy before max_multiplicity (over `limit` in a cluster) before multigroup, multicluster, unique."""
-    per_cluster = occurrences.groupBy("kmer", group.alias("g"), cluster.alias("c")).agg(F.count("*").alias("n"), F.max(decoy.cast("int")).alias("d"))
-    per = per_cluster.groupBy("kmer").agg(F.max("n").alias("n"), F.max("d").alias("d"), F.countDistinct("g").alias("gs"), F.count("*").alias("cs"))
-    kind = F.when(F.col("d") == 1, "decoy").when(F.col("n") > limit, "max_multiplicity").when(F.col("gs") > 1, "multigroup").when(F.col("cs") > 1, "multicluster").otherwise("unique")
+def census(occurrences: DataFrame, cluster: Column, group: Column, decoy: Column, limit: int = MULTIPLICITY_LIMIT, inside: Column | None = None) -> DataFrame:
+    """class, n_kmers: non_cluster (never `inside` a cluster), then decoy before max_multiplicity (over `limit` in a cluster)
+    before multigroup, multicluster, unique. Occurrences outside count for decoys only."""
+    told = occurrences.select("kmer", group.alias("g"), cluster.alias("c"), decoy.cast("int").alias("d"), (inside if inside is not None else F.lit(True)).cast("int").alias("i"))
+    per_cluster = told.groupBy("kmer", "g", "c", "i").agg(F.count("*").alias("n"), F.max("d").alias("d"))
+    own = lambda x: F.when(F.col("i") == 1, x)
+    per = per_cluster.groupBy("kmer").agg(F.max(own(F.col("n"))).alias("n"), F.max("d").alias("d"), F.countDistinct(own(F.col("g"))).alias("gs"), F.sum("i").alias("cs"))
+    kind = F.when(F.col("cs") == 0, "non_cluster").when(F.col("d") == 1, "decoy").when(F.col("n") > limit, "max_multiplicity").when(F.col("gs") > 1, "multigroup").when(F.col("cs") > 1, "multicluster").otherwise("unique")
     return per.groupBy(kind.alias("class")).agg(F.count("*").alias("n_kmers"))
 
 
@@ -75,8 +78,11 @@ def saturating_counts(occurrences: DataFrame, cluster: Column, haplotype: Column
     return most.groupBy("kmer").agg(F.least(F.lit(LARGEST), F.sum("n")).cast("int").alias("multiplicity"), (F.max("n") > MULTIPLICITY_LIMIT).alias("over"))
 
 
-def intercluster_multiplicity(occurrences: DataFrame, female: Column, male: Column, decoy: Column) -> DataFrame:
-    """kmer, female, male (ploidies summed), haploid (occurrences), each at most 255, and decoy."""
+def intercluster_multiplicity(occurrences: DataFrame, female: Column, male: Column, decoy: Column, paths: DataFrame | None = None) -> DataFrame:
+    """kmer, female, male (ploidies summed), haploid (occurrences), each at most 255, and decoy; of the k-mers in paths alone, if
+    given."""
+    if paths is not None:
+        occurrences = members(occurrences, paths)
     cap = lambda x, name: F.least(F.lit(LARGEST), F.sum(x)).cast("int").alias(name)
     return occurrences.groupBy("kmer").agg(cap(female, "female"), cap(male, "male"), cap(F.lit(1), "haploid"), F.max(decoy.cast("int")).cast("boolean").alias("decoy"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import alleles, genotypes, sequence
 from strandline.operators import callsets, genotyping, graph, inference, intervals, kmers, tools
-from strandline.sources import fasta, vcf
+from strandline.sources import fasta, tables, vcf
 
 from .adapters import K, duck, load
 from .registry import QUERIES, SQL, registered, rounded
@@ -64,12 +64,19 @@ def kmer_multigroup(spark, d):
 
 @registered(
     "kmer_class_census",
-    f"""{duck('occ')}, p as (select kmer, source as g, lang as c, count(*) as n, max(cast(source = 'src0' as int)) as d from occ group by all),
-    q as (select kmer, max(n) as n, max(d) as d, count(distinct g) as gs, count(*) as cs from p group by kmer)
-    select case when d = 1 then 'decoy' when n > 2 then 'max_multiplicity' when gs > 1 then 'multigroup' when cs > 1 then 'multicluster' else 'unique' end as class, count(*) as n_kmers from q group by 1""",
+    f"""{duck('occ')}, o as (select *, seq_id % 3 > 0 as inside from occ), p as (select kmer, source as g, lang as c, count(*) as n from o where inside group by all), d as (select kmer, max(cast(source = 'src0' as int)) as d from o group by kmer),
+    q as (select kmer, max(n) as n, count(distinct g) as gs, count(*) as cs from p group by kmer)
+    select case when cs is null then 'non_cluster' when d = 1 then 'decoy' when n > 2 then 'max_multiplicity' when gs > 1 then 'multigroup' when cs > 1 then 'multicluster' else 'unique' end as class, count(*) as n_kmers from d left join q using (kmer) group by 1""",
 )
 def kmer_class_census(spark, d):
-    return kmers.census(load(spark, d, "occ"), F.col("lang"), F.col("source"), F.col("source") == "src0", limit=2)
+    return kmers.census(load(spark, d, "occ"), F.col("lang"), F.col("source"), F.col("source") == "src0", limit=2, inside=F.col("seq_id") % 3 > 0)
+
+
+@registered("allele_kmers", f"{duck('occ')} select seq_id, count(distinct kmer) as n_kmers, min(kmer) as first, max(kmer) as last from occ group by seq_id")
+def allele_kmers(spark, d):
+    """The set of canonical k-mers of each sequence, all its runs together."""
+    sets = load(spark, d, "seq").groupBy("seq_id").agg(F.array_join(F.collect_list("run"), "N").alias("allele")).select("seq_id", F.array_distinct(sequence.canonical_kmers("allele", K)).alias("ks"))
+    return sets.select("seq_id", F.size("ks").cast("long").alias("n_kmers"), F.array_min("ks").alias("first"), F.array_max("ks").alias("last"))
 
 
 @registered("kmer_semi_join", f"{duck('occ')}, k as (select kmer, count(*) as n from occ where lang = 'de' group by kmer) select * from k where kmer in (select kmer from occ where lang = 'en')")
@@ -108,12 +115,12 @@ def kmer_saturating_counts(spark, d):
 
 @registered(
     "kmer_intercluster",
-    f"""{duck('occ')} select kmer, cast(least(255, sum(case when lang = 'de' then 2 when lang = 'fr' then 0 else 2 end)) as int) as female, cast(least(255, sum(case when lang in ('de', 'fr') then 1 else 2 end)) as int) as male,
-    cast(least(255, count(*)) as int) as haploid, bool_or(source = 'src0') as decoy from occ group by kmer""",
+    f"""{duck('occ', 'talk_occ')} select kmer, cast(least(255, sum(case when lang = 'de' then 2 when lang = 'fr' then 0 else 2 end)) as int) as female, cast(least(255, sum(case when lang in ('de', 'fr') then 1 else 2 end)) as int) as male,
+    cast(least(255, count(*)) as int) as haploid, bool_or(source = 'src0') as decoy from occ where kmer in (select kmer from talk_occ) group by kmer""",
 )
 def kmer_intercluster(spark, d):
     female, male = F.when(F.col("lang") == "fr", 0).otherwise(2), F.when(F.col("lang").isin("de", "fr"), 1).otherwise(2)
-    return kmers.intercluster_multiplicity(load(spark, d, "occ"), female, male, F.col("source") == "src0")
+    return kmers.intercluster_multiplicity(load(spark, d, "occ"), female, male, F.col("source") == "src0", load(spark, d, "talk_occ"))
 
 
 def sample_counts(spark, d) -> DataFrame:
@@ -243,8 +250,8 @@ def nearest_enclosing(spark, d):
     select contig, pos, end_pos, len from ivl where exists (select 1 from r where r.contig = ivl.contig and (r.b is null or pos <= r.b) and (r.a is null or end_pos >= r.a))""",
 )
 def region_filter(spark, d):
-    regions = spark.createDataFrame([(7, 100, 400), (11, -500, 20), (11, 300, 301), (13, None, None), (17, 250, None)], "contig long, region_start int, region_end int")
-    return intervals.overlapping(load(spark, d, "ivl"), regions).select("contig", "pos", "end_pos", "len")
+    regions = tables.regions(spark, "7:100-400,11:-500-20,11:300-301,13").withColumn("contig", F.col("contig").cast("long"))
+    return intervals.overlapping(load(spark, d, "ivl"), regions.unionByName(spark.createDataFrame([(17, 250, None)], "contig long, region_start int, region_end int"))).select("contig", "pos", "end_pos", "len")
 
 
 @registered(

@@ -233,10 +233,18 @@ def callset_list(spark, d):
     return tables.read_callsets(spark, ",".join(f"{n}:{p}" for n, p in paths.items()), lambda s, p: s.read.text(p).withColumnRenamed("value", "name"))
 
 
-@registered("bed_file", f"{GROUPED} select cast(contig as varchar) as contig, cast(start as int) as start, cast(\"end\" as int) as \"end\" from e")
+def _bed_sql() -> str:
+    from .registry import SQL
+
+    return f"select cast(contig as varchar) as contig, start, \"end\" from ({SQL['genomic_intervals']}) t"
+
+
+@registered("bed_file", _bed_sql())
 def bed_file(spark, d):
+    from .catalogue import genomic_intervals
+
     path = new_dir(spark, "bed")
-    tables.write_bed(intervals.group_extents(load(spark, d, "ivl"), 3), path)
+    tables.write_bed(genomic_intervals(spark, d), path)
     return spark.read.csv(path, sep="\t", schema="contig string, start int, end int")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,20 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema="chrom string, is_decoy int, start int, end int").withColumn("is_decoy", F.col("is_decoy") == 1)
 
 
+def regions(spark: SparkSession, spec: str) -> DataFrame:
+    """contig, region_start, region_end of `chrom:start-end,chrom`; a contig alone is whole (null bounds). A contig may be given
+    whole once, or in parts; anything else raises."""
+    rows, whole = [], set()
+    for part in filter(None, spec.split(",")):
+        m = re.fullmatch(r"([^:]+)(?::(-?\d+)-(-?\d+))?", part)
+        if not m or m[1] in whole or (m[2] is None and any(r[0] == m[1] for r in rows)) or (m[2] is not None and int(m[2]) > int(m[3])):
+            raise ValueError(f"not a region, or a contig twice: {part}")
+        if m[2] is None:
+            whole.add(m[1])
+        rows.append((m[1], None if m[2] is None else int(m[2]), None if m[3] is None else int(m[3])))
+    return spark.createDataFrame(rows, "contig string, region_start int, region_end int")
+
+
 def write_regions(regions: DataFrame, path: str) -> None:
     """The longest first."""
     regions.orderBy(F.desc(F.col("end") - F.col("start")), "chrom", "start").select("chrom", F.col("is_decoy").cast("int"), "start", "end").write.csv(path, sep="\t", compression="gzip")

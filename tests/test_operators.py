@@ -456,3 +456,11 @@ def test_only_the_training_subpackage_may_be_missing(tmp_path):
     assert told().stdout.split() == ["0", "True"]
     (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
     assert told().stdout.split() == ["0", "True"]
+
+
+def test_regions_of_a_text(spark):
+    got = [tuple(r) for r in tables.regions(spark, "chr1:5-9,chr2,chr1:20-20").collect()]
+    assert got == [("chr1", 5, 9), ("chr2", None, None), ("chr1", 20, 20)] and tables.regions(spark, "").count() == 0
+    for bad in ("chr1,chr1:1-2", "chr1:1-2,chr1", "chr1:9-5", "chr1:x-5", "a:b:c"):
+        with pytest.raises(ValueError):
+            tables.regions(spark, bad)
