@@ -131,7 +131,7 @@ def nested_genotypes(calls: DataFrame) -> DataFrame:
     span: reference bases of the allele after the right trim, 1 for the reference and for `*`; the reference takes its base
     as any other allele."""
     rows = calls.withColumnRenamed("chrom", "contig").withColumn("end_pos", F.col("pos") + F.col("span") - 1)
-    told = clear_of_earlier(rows, "sample", "hap")
+    told = clear_of_earlier(rows, "sample", "hap", ties=("allele", "phased", "missing"))
     gone = F.when(F.col("phased"), ~F.col("clear")).otherwise(F.col("missing"))
     return told.withColumn("allele", F.when(gone, 0).otherwise(F.col("allele")).cast(dict(calls.dtypes)["allele"])).withColumnRenamed("contig", "chrom").select(*calls.columns)
 

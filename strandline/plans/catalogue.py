@@ -177,8 +177,9 @@ def ambiguous_bases(spark, d):
 
 # ---- intervals
 
-GROUPED = f"""{duck('ivl')}, w as (select *, max(end_pos) over (partition by contig order by pos, end_pos rows between unbounded preceding and 1 preceding) as b from ivl),
-n as (select *, sum(case when b is null or pos - b >= 3 then 1 else 0 end) over (partition by contig order by pos, end_pos rows unbounded preceding) - 1 as group_no from w),
+GROUPED = f"""{duck('ivl')}, pl as (select contig, pos, max(end_pos) as m from ivl group by contig, pos), pb as (select *, max(m) over (partition by contig order by pos rows between unbounded preceding and 1 preceding) as pe from pl),
+pn as (select *, sum(case when pe is null or pos - pe >= 3 then 1 else 0 end) over (partition by contig order by pos rows unbounded preceding) - 1 as group_no from pb),
+w as (select *, max(end_pos) over (partition by contig order by pos, end_pos rows between unbounded preceding and 1 preceding) as b from ivl), n as (select w.*, group_no from w join pn using (contig, pos)),
 e as (select contig, cast(group_no as int) as group_no, min(pos) as start, max(end_pos) as "end", count(*) as n_variants from n group by contig, group_no)"""
 
 
@@ -256,7 +257,7 @@ def region_filter(spark, d):
 
 @registered(
     "genomic_intervals",
-    f"""{GROUPED.replace("pos - b >= 3", "pos - b >= 1")}, t as (select contig, start + 1201 as start, coalesce(sum(n_variants) over (partition by contig order by group_no rows between unbounded preceding and 1 preceding), 0) as before from e),
+    f"""{GROUPED.replace("pos - pe >= 3", "pos - pe >= 1")}, t as (select contig, start + 1201 as start, coalesce(sum(n_variants) over (partition by contig order by group_no rows between unbounded preceding and 1 preceding), 0) as before from e),
     r as (select distinct contig, cast(0 as hugeint) as before, 1 as start from e union all select t.contig, cast(min(t.before) as hugeint), min(t.start) from r join t on t.contig = r.contig where t.before >= r.before + 5 group by t.contig)
     select contig, start - 1 as start, coalesce(lead(start) over (partition by contig order by start) - 2, 3999) as "end" from r""",
 )

@@ -282,9 +282,9 @@ def concordance(spark, d):
 
 @registered(
     "concordance_windows",
-    f"""{duck('ivl')}, u as (select 'truth' as side, contig, pos, end_pos + 10 as e from ivl where len % 2 = 0 union all select 'call', contig, pos, end_pos + 10 from ivl where len % 3 = 0),
-    w as (select *, max(e) over (partition by contig order by pos, e rows between unbounded preceding and 1 preceding) as b from u), n as (select *, sum(case when b is null or pos > b then 1 else 0 end) over (partition by contig order by pos, e rows unbounded preceding) - 1 as g from w)
-    select contig, cast(g as int) as group_no, min(pos) as start, max(e) as "end", count(*) filter (where side = 'truth') as n_truth, count(*) filter (where side = 'call') as n_call from n group by contig, g""",
+    f"""{duck('ivl')}, u as (select 'truth' as side, contig, pos, end_pos + 10 as e from ivl where len % 2 = 0 union all select 'call', contig, pos, end_pos + 10 from ivl where len % 3 = 0), pl as (select contig, pos, max(e) as e from u group by contig, pos),
+    w as (select *, max(e) over (partition by contig order by pos rows between unbounded preceding and 1 preceding) as b from pl), n as (select *, sum(case when b is null or pos > b then 1 else 0 end) over (partition by contig order by pos rows unbounded preceding) - 1 as g from w)
+    select contig, cast(g as int) as group_no, min(pos) as start, max(u.e) as "end", count(*) filter (where side = 'truth') as n_truth, count(*) filter (where side = 'call') as n_call from n join u using (contig, pos) group by contig, g""",
 )
 def concordance_windows(spark, d):
     """Windows of two call sets whose variants lie within a read's length of one another."""
