@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import dropped, looked_up, stored
 from .components import components
-from .tokens import ODD, chunks, mix, split_words, word_hashes
+from .tokens import ODD, chunks, mix, split_words, trimmed, trimmed_group, word_hashes
 
 #: Chosen probability of missing a pair that lies at the threshold, by the bands and by the pruning.
 MISS, SIGNATURE, BATCH = 1e-6, 120, 20
@@ -204,7 +204,7 @@ class _Search:
     def __init__(self, rows: DataFrame, k: int, similarity: Fraction) -> None:
         self.k, self.similarity, self.scratch = k, similarity, []
         bands, length = banding(float(similarity))
-        self.signed = stored(rows.mapInArrow(signer(k, bands, length), SIGNED), "signed")
+        self.signed = stored(rows.mapInArrow(trimmed(signer(k, bands, length)), SIGNED), "signed")
         has = self.signed.where("n_shingles > 0 and doc_id is not null")
         self.classes = stored(has.groupBy("class").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "classes")
         # a class's smallest document stands for it
@@ -236,10 +236,10 @@ class _Search:
         self.compared = pairs if self.compared is None else self.compared.union(pairs)
         sides = self.nodes.select("node", "signature")
         signed = pairs.join(sides.select(F.col("node").alias("u"), F.col("signature").alias("su")), "u").join(sides.select(F.col("node").alias("v"), F.col("signature").alias("sv")), "v")
-        alive = self.held(signed.mapInArrow(pruner(float(self.similarity)), CHECKED), "alive")
+        alive = self.held(signed.mapInArrow(trimmed(pruner(float(self.similarity))), CHECKED), "alive")
         asked = self.texts.join(alive.select(F.col("u").alias("node")).union(alive.select(F.col("v").alias("node"))).distinct(), "node", "left_semi")
         full = alive.join(asked.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v").join(asked.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u")
-        new = self.held(full.select("u", "v", "tu", "tv").mapInArrow(confirmer(self.k, self.similarity.numerator, self.similarity.denominator), CHECKED).distinct(), "links")
+        new = self.held(full.select("u", "v", "tu", "tv").mapInArrow(trimmed(confirmer(self.k, self.similarity.numerator, self.similarity.denominator)), CHECKED).distinct(), "links")
         self.links = new if self.links is None else self.links.union(new)
         return new
 
@@ -265,7 +265,7 @@ class _Search:
         """(members that may still have a link to another component of their bucket; node, shingle: those of their
         shingles that occur in another component at all)."""
         nodes = around.select("node", "comp").distinct()
-        shingles = self.held(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(shingler(self.k), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
+        shingles = self.held(self.texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(trimmed(shingler(self.k)), "node bigint, shingle bigint").distinct().join(nodes, "node"), "shingles")
         common = shingles.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("shingle")
         shared = self.held(shingles.join(common, "shingle").select("node", "shingle"), "shared")
         left = around.join(shared.groupBy("node").agg(F.count("*").alias("shared")), "node")
@@ -301,7 +301,7 @@ class _Search:
         hashed = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
         own = told.select(*columns, hashed("rows").alias("i"), F.explode(F.sequence(F.lit(0), F.col("guests") - 1)).alias("j"), F.lit(0).alias("guest"))
         guests = told.where("comp <> main").select(*columns, F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), hashed("guests").alias("j"), F.lit(1).alias("guest"))
-        return own.union(guests).groupBy(*group, "i", "j").applyInArrow(blocks(self.similarity), CHECKED).distinct()
+        return own.union(guests).groupBy(*group, "i", "j").applyInArrow(trimmed_group(blocks(self.similarity)), CHECKED).distinct()
 
     def labels(self) -> DataFrame:
         """(node, component) of linked nodes."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import chunks, split_words
+from .tokens import chunks, split_words, trimmed
 
 #: Stems whose ids a task remembers before it starts anew, stems looked up together, and bytes of text worked on at once.
 REMEMBERED, TOGETHER, PART_BYTES = 400_000, 20_000, 4 << 20
@@ -292,7 +292,7 @@ def placer(slots: tuple[np.ndarray, ...]):
 def pieces_of(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """PIECES of every text, stored: the numbering by task must not change once it is counted."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return stored(rows.mapInArrow(cutter(path, capacity, end), PIECES), "pieces")
+    return stored(rows.mapInArrow(trimmed(cutter(path, capacity, end)), PIECES), "pieces")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

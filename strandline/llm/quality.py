@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .common import carried
 from .samples import labelled_sample
-from .tokens import ODD, chunks, mix, split_words, word_hashes
+from .tokens import ODD, chunks, mix, split_words, trimmed, word_hashes
 
 BUCKETS, GRAMS, SAMPLE = 1 << 17, (2, 3, 4), 3000
 DIMENSIONS, EPOCHS, RATE, SEED = 8, 12, 2.0, 5
@@ -130,7 +130,7 @@ def train(examples: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", size: int = SAMPLE) -> tuple[np.ndarray, float]:
-    sample = labelled_sample(docs, labels, target, size).mapInArrow(counter, "doc_id bigint, y int, buckets binary, counts binary")
+    sample = labelled_sample(docs, labels, target, size).mapInArrow(trimmed(counter), "doc_id bigint, y int, buckets binary, counts binary")
     rows = sorted(sample.collect(), key=lambda r: (r["doc_id"], r["buckets"], r["counts"]))  # at most `size` labelled ids
     return train([(r["y"], bytes(r["buckets"]), bytes(r["counts"])) for r in rows])
 
@@ -157,4 +157,4 @@ def scorer(weights: np.ndarray, bias: float):
 def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row doc_id, text, score (the probability of label 1), and a struct `carried` of the columns in `carry`."""
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"), *carried(docs, carry))
-    return rows.mapInArrow(scorer(*model), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(trimmed(scorer(*model)), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))

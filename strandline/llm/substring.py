@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import carried, plan_bytes
-from .tokens import chunks, mix, rolling, split_words, word_hash_pairs
+from .tokens import chunks, mix, rolling, split_words, trimmed, trimmed_group, word_hash_pairs
 
 NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
@@ -87,6 +87,7 @@ def hasher(width: int, buckets: int):
 
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
         hashes, bucket, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
         known = np.array(ids, np.int64).reshape(-1, 2)
         # of equal windows of one document the first speaks for all, and says so in the low bit of its place; a stable sort
         # by hash keeps documents and places in order
@@ -102,6 +103,7 @@ def hasher(width: int, buckets: int):
         mine = d == np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
         sent, covered = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
         sent[order[mine]], covered[order[~mine]] = True, True
+        del h, k, d, new, heads, many, first, mine, order
         rows = []
         if covered.any():
             rows.append(_pack(int(bucket[0]), docs[covered], places[covered], None, known))
@@ -232,9 +234,9 @@ def substring_dedup(docs: DataFrame, width: int = 13, doc_id: str = "doc_id", te
     repeated = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
     rows = rows.withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")) if repeated else F.lit(0).cast("long"))
     buckets = max(16, -(-plan_bytes(docs.select(text)) // BUCKET_BYTES))
-    packed = rows.select("id", "crc", "text").mapInArrow(hasher(width, buckets), PACKED)
+    packed = rows.select("id", "crc", "text").mapInArrow(trimmed(hasher(width, buckets)), PACKED)
     # as many tasks as buckets, so that what one reads doesn't grow with the input
-    settled = packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(settler(buckets), SETTLED)
-    covered = settled.repartitionById(buckets, "part").groupBy("part").applyInArrow(gather, COVERED)
+    settled = packed.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(trimmed_group(settler(buckets)), SETTLED)
+    covered = settled.repartitionById(buckets, "part").groupBy("part").applyInArrow(trimmed_group(gather), COVERED)
     joined = rows.join(covered.hint("shuffle_hash"), ["id", "crc"], "left").select(*own.columns, "places")
-    return joined.mapInArrow(cutter(width), T.StructType([*own.schema.fields, *SPLIT]))
+    return joined.mapInArrow(trimmed(cutter(width)), T.StructType([*own.schema.fields, *SPLIT]))
