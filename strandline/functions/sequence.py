@@ -30,9 +30,10 @@ def runs(seq: str | Column, k: int) -> Column:
 
 
 def kmers(run: str | Column, k: int) -> Column:
-    """All k-mers of a run, in order."""
+    """All k-mers of a run, in order. They are cut from its bytes, as a place in a string is found by reading up to it."""
     run = _c(run)
-    return F.when(F.length(run) >= k, F.transform(F.sequence(F.lit(1), F.length(run) - (k - 1)), lambda i: F.substr(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    cut = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (k - 1)), lambda i: F.substr(b, i, F.lit(k)).cast("string"))
+    return F.when(F.octet_length(run) >= k, F.transform(F.array(run.cast("binary")), cut)[0]).otherwise(F.array().cast("array<string>"))
 
 
 def canonical_kmers(seq: str | Column, k: int) -> Column:
