@@ -263,12 +263,13 @@ def covering_kmers(haps: DataFrame, k: int) -> DataFrame:
     return haps.select("cluster", "hap", "seq", "places").mapInPandas(run, f"cluster {kind}, hap int, kmer string, mult int, variants array<int>")
 
 
-def haplotype_kmers(haps: DataFrame, k: int) -> DataFrame:
-    """cluster, hap, kmer, mult (at most 255)."""
+def haplotype_kmers(haps: DataFrame, k: int, most: int | None = 255) -> DataFrame:
+    """cluster, hap, kmer, mult (at most 255, or `most`; None: as many as there are)."""
     from strandline.functions.sequence import canonical_kmers as kmers_of
 
     rows = haps.select("cluster", "hap", F.explode(kmers_of("seq", k)).alias("kmer"))
-    return rows.groupBy("cluster", "hap", "kmer").agg(F.least(F.lit(255), F.count("*")).cast("int").alias("mult"))
+    many = F.count("*") if most is None else F.least(F.lit(most), F.count("*"))
+    return rows.groupBy("cluster", "hap", "kmer").agg(many.cast("int").alias("mult"))
 
 
 def uncovered_alleles(variants: DataFrame, haps: DataFrame) -> DataFrame:
