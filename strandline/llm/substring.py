@@ -34,6 +34,8 @@ from .tokens import chunks, mix, rolling, split_words, trimmed, trimmed_group, w
 NO_ID = (1 << 63) - 1
 #: A map task packs so many windows at a time; a bucket is for so many bytes of (compressed) input.
 FLUSH_WINDOWS, BUCKET_BYTES = 1 << 20, 4 << 20
+#: Hashes are sorted in ranges by so many high bits; a batch of packed rows holds about so many bytes, or one row.
+SLICE_BITS, BATCH_BYTES = 4, 2 << 20
 WORD = re.compile(r"[^ \t-\r]+")
 PACKED = "bucket int, n int, n_docs int, docs binary, counts binary, hashes binary, places binary"
 SETTLED = "part int, n int, ids binary, crcs binary, places binary"
@@ -63,12 +65,30 @@ def _pack(bucket: int, doc: np.ndarray, place: np.ndarray, hashes: np.ndarray |
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, crcs, places), an entry each."""
-    n = row["n"]
+    ids, crcs, counts = _documents(row)
+    return np.repeat(ids, counts), np.repeat(crcs, counts), _places(row, counts)
+
+
+def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, crcs, counts) of the documents of a packed row."""
     counts = np.frombuffer(pa.decompress(row["counts"], 4 * row["n_docs"], codec="zstd", asbytes=True), "<u4")
-    ids, crcs = _unzip(row["docs"], np.int64, 2 * len(counts)).reshape(2, -1)
-    steps = np.ascontiguousarray(_unzip(row["places"], np.uint8, 4 * n).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return (*_unzip(row["docs"], np.int64, 2 * len(counts)).reshape(2, -1), counts)
+
+
+def _places(row: dict, counts: np.ndarray) -> np.ndarray:
+    steps = np.ascontiguousarray(_unzip(row["places"], np.uint8, 4 * row["n"]).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
     total, first = np.cumsum(steps), np.cumsum(counts) - counts
-    return np.repeat(ids, counts), np.repeat(crcs, counts), total - np.repeat(total[first] - steps[first], counts)
+    return total - np.repeat(total[first] - steps[first], counts)
+
+
+def _slices(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The indices of the hashes of each range by SLICE_BITS that has any: equal ones fall together, and a sort of one range
+    needs a small part of the memory that a sort of all would take."""
+    high = (hashes >> np.uint64(64 - SLICE_BITS)).astype(np.uint8)
+    for s in range(1 << SLICE_BITS):
+        at = np.flatnonzero(high == s)
+        if len(at):
+            yield at
 
 
 def window_hashes(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -85,26 +105,30 @@ def window_hashes(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, n
 def hasher(width: int, buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int32()), ("n_docs", pa.int32()), ("docs", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def flush(held: list, ids: list) -> Iterator[pa.RecordBatch]:
-        hashes, bucket, docs, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        columns = [list(x) for x in zip(*held, strict=True)]
         held.clear()
+        hashes, bucket, docs, places = (np.concatenate(columns.pop(0)) for _ in range(4))
         known = np.array(ids, np.int64).reshape(-1, 2)
         # of equal windows of one document the first speaks for all, and says so in the low bit of its place; a stable sort
         # by hash keeps documents and places in order
-        order = np.argsort(hashes, kind="stable")
-        h, k, d = hashes[order], bucket[order], docs[order]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
-        heads = np.flatnonzero(new | np.concatenate(([True], d[1:] != d[:-1])))
-        many = np.diff(np.append(heads, len(order))) > 1
-        order, new, d = order[heads], new[heads], known[d[heads], 0]
-        places = places * np.uint32(2)
-        places[order[many]] += np.uint32(1)
-        first = np.flatnonzero(new)
-        mine = d == np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
+        places *= np.uint32(2)
         sent, covered = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
-        sent[order[mine]], covered[order[~mine]] = True, True
-        del h, k, d, new, heads, many, first, mine, order
-        rows = []
+        for order in _slices(hashes):
+            order = order[np.argsort(hashes[order], kind="stable")]
+            h, k, d = hashes[order], bucket[order], docs[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])))
+            heads = np.flatnonzero(new | np.concatenate(([True], d[1:] != d[:-1])))
+            many = np.diff(np.append(heads, len(order))) > 1
+            order, new, d = order[heads], new[heads], known[d[heads], 0]
+            places[order[many]] += np.uint32(1)
+            first = np.flatnonzero(new)
+            mine = d == np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))
+            sent[order[mine]], covered[order[~mine]] = True, True
+        rows, held_bytes = [], 0
         if covered.any():
             rows.append(_pack(int(bucket[0]), docs[covered], places[covered], None, known))
         order = np.flatnonzero(sent)
@@ -112,7 +136,12 @@ def hasher(width: int, buckets: int):
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
         for own in np.split(order, edges[1:]):
             rows.append(_pack(int(bucket[own[0]]), docs[own], places[own], hashes[own], known))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            held_bytes += 8 * len(own)
+            if held_bytes >= BATCH_BYTES:
+                yield batch_of(rows)
+                rows, held_bytes = [], 0
+        if rows:
+            yield batch_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ids, windows = [], [], 0
@@ -120,7 +149,7 @@ def hasher(width: int, buckets: int):
             for part in chunks(batch, "text"):
                 one, two, docs, places = window_hashes(part.column("text"), width)
                 if len(one):
-                    held.append((one, (two % np.uint64(buckets)).astype(np.int32), docs + len(ids), places))
+                    held.append((one, (two % np.uint64(buckets)).astype(np.int32), (docs + len(ids)).astype(np.int32), places))
                 ids += zip(part.column("id").to_pylist(), part.column("crc").to_pylist(), strict=True)
                 windows += len(one)
                 if windows >= FLUSH_WINDOWS:
@@ -153,17 +182,29 @@ def _by_document(ids: np.ndarray, crcs: np.ndarray, places: np.ndarray) -> pa.Ta
 def settler(parts: int):
     def settle(bucket: pa.Table) -> pa.Table:
         """The covered windows of one bucket, packed by parts of the document ids."""
-        rows = bucket.to_pylist()
-        done = [_unpack(r) for r in rows if not r["hashes"]]
-        open_ = [(*_unpack(r), np.frombuffer(r["hashes"], np.uint64)) for r in rows if r["hashes"]]
+        rows = [{c: x.as_buffer() if pa.types.is_binary(x.type) else x.as_py() for c, x in zip(bucket.column_names, own, strict=True)} for batch in bucket.to_batches() for own in zip(*batch.columns, strict=True)]
+        done = [_unpack(r) for r in rows if not len(r["hashes"])]
+        open_ = [(r, np.frombuffer(r["hashes"], np.uint64)) for r in rows if len(r["hashes"])]
         if open_:
-            ids, crcs, places, hashes = (np.concatenate(x) for x in zip(*open_, strict=True))
-            order = np.lexsort((ids, hashes))
-            h, d = hashes[order], ids[order]
-            first = np.concatenate(([True], h[1:] != h[:-1]))
-            covered = order[d > d[first][np.cumsum(first) - 1]]
-            done.append((ids[covered], crcs[covered], places[covered]))
+            told = [_documents(r) for r, _ in open_]
+            known = np.unique(np.concatenate([ids for ids, _, _ in told]))
+            rank = np.concatenate([np.repeat(np.searchsorted(known, ids).astype(np.int32), counts) for ids, _, counts in told])
+            hashes, covered = np.concatenate([h for _, h in open_]), np.zeros(len(rank), bool)
+            for order in _slices(hashes):
+                order = order[np.argsort(hashes[order], kind="stable")]
+                h, d = hashes[order], rank[order]
+                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                covered[order[d > np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(d))))]] = True
+            del hashes, rank
+            starts = np.cumsum([0, *(r["n"] for r, _ in open_)]).tolist()
+            for (r, _), (ids, crcs, counts), a in zip(open_, told, starts[:-1], strict=True):
+                own = covered[a : a + r["n"]]
+                if own.any():
+                    at = np.repeat(np.arange(len(ids)), counts)[own]
+                    done.append((ids[at], crcs[at], _places(r, counts)[own]))
+        done.append((np.zeros(0, np.int64),) * 3)
         ids, crcs, places = (np.concatenate(x) for x in zip(*done, strict=True))
+        del done
         part = (mix(ids.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
         order = np.lexsort((places, crcs, ids, part))
         ids, crcs, places, part = ids[order], crcs[order], places[order], part[order]
